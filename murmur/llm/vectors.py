@@ -19,8 +19,8 @@ from murmur.sources.shared import stored
 #: Keys of rows to leave out are sent to every executor up to this number (8 bytes each); beyond it they are joined.
 BROADCAST_KEYS = 1_000_000
 #: Vectors used to place the cells: a bounded sample by hash of id, at most this many and this many a cell.
-SAMPLE, PER_CELL = 65_536, 16
-#: The most cells; beyond about 16 million vectors cells grow with the input instead.
+SAMPLE, PER_CELL = 65_536, 128
+#: The most cells; beyond about 270 million vectors cells grow with the input instead.
 MOST_CELLS = 16_384
 
 
@@ -117,12 +117,12 @@ def vectors(df: DataFrame, field: str, number: int, classes: DataFrame, every: D
     return without(rows.withColumn("k", row_key(number)), excluded).select("id", "x")
 
 
-def place_cells(rows: DataFrame, n: int, dim: int, seeds: np.ndarray | None = None, rounds: int = 3) -> np.ndarray:
-    """Unit centres of about 4 sqrt(n) cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
+def place_cells(rows: DataFrame, n: int, dim: int, seeds: np.ndarray | None = None, rounds: int = 4) -> np.ndarray:
+    """Unit centres of about sqrt(n) cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
 
     The sample has at most SAMPLE vectors; all rows are assigned to cells afterwards. ``seeds``: starting centres.
     """
-    wanted = int(min(MOST_CELLS, max(1, 4 * np.sqrt(n)))) if seeds is None else len(seeds)
+    wanted = int(min(MOST_CELLS, max(1, np.sqrt(n)))) if seeds is None else len(seeds)
     size = min(SAMPLE, PER_CELL * wanted)
     share = min(1.0, 1.1 * size / max(1, n))
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit("cells")), F.lit(1 << 30)) < int(share * (1 << 30)))
