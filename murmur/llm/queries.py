@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import cap, knn, quantiles, topn
+from murmur.llm import cap, clusters, encode, knn, mixing, neardup, quantiles, topn
 from murmur.operators.versions import latest
 from murmur.sources.tables import table
 
@@ -23,11 +23,30 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return lists.select("field", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
 
 
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neardup.record_pairs(*neardup.pairs(table(spark, sf, "posts"), "content", run=3, overlap=0.6, least_words=30))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Every usable post with the class of its word sequence and the class's links, by the default of five words and 0.8."""
+    links, members = neardup.pairs(table(spark, sf, "posts"), "content")
+    ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    return members.join(ends, "cls", "left").select(F.col("id").alias("post_id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     posts = latest(table(spark, sf, "posts"), ["author_id", "x_score"]).where(_named("author_id"))
     return topn.top_n(posts, "author_id", "x_score", "id", 5).select("author_id", F.col("id").alias("post_id"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.clusters(table(spark, sf, "posts"), "embedding", 128, text="content").select(F.col("id").alias("post_id"), "cluster_id")
+
+
+def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.describe(clusters.clusters(table(spark, sf, "posts"), "embedding", 128, text="content"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     posts = latest(table(spark, sf, "posts"), ["author_id", "weighted_score", "creator_baseline"]).where(_named("author_id"))
     return quantiles.score_shapes(posts, "author_id", "weighted_score", "creator_baseline")
@@ -48,8 +67,29 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return kept.where("total > 20").select("author_id", F.col("id").alias("post_id"))
 
 
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.corpus_ids(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def _sizes(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.token_counts(table(spark, sf, "documents"), ["doc_id", "source"], "text")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_shares(spark, sf).where("capped").select("source")
+
+
+def p9_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixture(_sizes(spark, sf), "doc_id", "source", "tokens", table(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.report(_sizes(spark, sf), "doc_id", "source", "tokens", table(spark, sf, "mix_targets"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p6_found, p6_percentiles, p7_found)}
+    found = (p1_found, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p6_found, p6_percentiles, p7_found, p8_ids, p9_found, p9_mixture, p9_shares)
+    return {f.__name__: f for f in found}
 
 
 LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY scraped_at DESC) AS version FROM posts) WHERE version = 1)"
