@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import cap, clusters, encode, knn, mixing, neardup, quantiles, topn
+from murmur.llm import cap, clusters, encode, knn, langid, mixing, neardup, quantiles, topn
 from murmur.operators.versions import latest
 from murmur.sources.tables import table
 
@@ -87,8 +87,26 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.report(_sizes(spark, sf), "doc_id", "source", "tokens", table(spark, sf, "mix_targets"))
 
 
+def _segments(spark: SparkSession, sf: str) -> DataFrame:
+    documents = table(spark, sf, "documents")
+    trained = langid.train(documents, "doc_id", "text", "lang", table(spark, sf, "lang_samples"))
+    return langid.classify(documents, "doc_id", "text", "lang", trained)
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.wrong_labels(_segments(spark, sf), "doc_id")
+
+
+def p10_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return _segments(spark, sf).select("doc_id", "segment", "lang", "sentences", "chars", "confidence")
+
+
+def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.held_languages(_segments(spark, sf), "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p6_found, p6_percentiles, p7_found, p8_ids, p9_found, p9_mixture, p9_shares)
+    found = (p1_found, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p6_found, p6_percentiles, p7_found, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_segments, p10_languages)
     return {f.__name__: f for f in found}
 
 

@@ -157,12 +157,13 @@ def nearest(x: np.ndarray, centres: np.ndarray, chunk: int = 2048) -> np.ndarray
     return np.concatenate([(x[i : i + chunk] @ centres.T).argmax(1) for i in range(0, len(x), chunk)]) if len(x) else np.empty(0, np.int64)
 
 
-def to_cells(rows: DataFrame, centres: np.ndarray, dim: int, slack: float, block: int) -> DataFrame:
+def to_cells(rows: DataFrame, centres: np.ndarray, dim: int, slack: float, block: int, codes: bool = False) -> DataFrame:
     """(cell, part, role, id, x): every vector in its nearest cell (role 0) and as a visitor (role 1) in all cells
     whose centre's cosine is within ``slack`` of the nearest.
 
     Cells of more than ``block`` members, by an exact count, are split into parts by hash of id; a member is at home
-    in one part and visits the others, so that no task holds a whole cell. ``x`` is the vector's bytes.
+    in one part and visits the others, so that no task holds a whole cell. ``x`` is the vector's bytes; with ``codes``,
+    a visitor's are its int8 code, scale and error (``packed``), a quarter of the size.
     """
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
@@ -181,12 +182,15 @@ def to_cells(rows: DataFrame, centres: np.ndarray, dim: int, slack: float, block
             ids = batch.column(0)
             for i in range(0, len(at), 1024):
                 raw = x[i : i + 1024]
-                s = unit(raw).astype(np.float32) @ c.T
+                u = unit(raw)
+                s = u.astype(np.float32) @ c.T
                 home = s.argmax(1)
                 r, cell = np.nonzero(s >= s[np.arange(len(s)), home][:, None] - np.float32(slack))
                 data = [v.tobytes() for v in raw]
+                small = packed(u) if codes else data
+                away = cell != home[r]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array((cell != home[r]).astype(np.int8)), ids.take(pa.array(at[i : i + 1024][r])), pa.array([data[j] for j in r], pa.binary())],
+                    [pa.array(cell.astype(np.int32)), pa.array(away.astype(np.int8)), ids.take(pa.array(at[i : i + 1024][r])), pa.array([(small if y else data)[j] for j, y in zip(r, away)], pa.binary())],
                     names=["cell", "role", "id", "x"],
                 )
 
@@ -211,6 +215,28 @@ def quantised(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8).astype(np.float32), scale, error
 
 
+def packed(u: np.ndarray) -> list[bytes]:
+    """Unit rows as bytes: int8 code, scale and error (rounded up), both float32."""
+    q, scale, error = quantised(u)
+    scale, error = scale.astype(np.float32), (error * (1 + 1e-6) + 1e-7).astype(np.float32)
+    return [a.tobytes() + s.tobytes() + e.tobytes() for a, s, e in zip(q.astype(np.int8), scale, error)]
+
+
+def quantised_rows(rows: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``quantised`` of rows that are packed codes or vectors."""
+    q, scale, error = np.empty((len(rows), dim), np.float32), np.empty(len(rows)), np.empty(len(rows))
+    coded = np.array([len(r) == dim + 8 for r in rows])
+    if coded.any():
+        raw = np.frombuffer(b"".join(r for r, c in zip(rows, coded) if c), np.uint8).reshape(-1, dim + 8)
+        q[coded] = raw[:, :dim].view(np.int8)
+        ends = np.ascontiguousarray(raw[:, dim:]).view(np.float32)
+        scale[coded], error[coded] = ends[:, 0], ends[:, 1]
+    if not coded.all():
+        plain = quantised(unit(np.frombuffer(b"".join(r for r, c in zip(rows, coded) if not c), np.float32).reshape(-1, dim)))
+        q[~coded], scale[~coded], error[~coded] = plain
+    return q, scale, error
+
+
 def tile(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Upper bounds on the cosines of two quantised blocks: (upper, margin) with upper - 2 margin a lower bound.
 
