@@ -6,20 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from murmur.plans import trailing_growth
+Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (trailing_growth,)
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    for m in MODULES:
-        out |= m.queries()
-    return out
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under ``name``; ``sql`` is the DuckDB statement over the same tables."""
+
+    def add(f: Query) -> Query:
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from murmur.plans import corpus, facets, search, trailing_growth  # noqa: F401
+
+
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in MODULES:
-        out |= m.oracle_sql()
-    return out
+    _load()
+    return dict(_SQL)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmur.operators import rolling
+from murmur.plans.registry import query
 from murmur.sources.tables import table
 
 SERIES = ["author_id", "platform"]
@@ -38,20 +37,6 @@ def trailing_gains(snapshots: DataFrame) -> DataFrame:
     return rolling.trailing(nodes, dates, SERIES, "captured_on", PERIODS)
 
 
-def p5_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    out = trailing_gains(table(spark, sf, "follower_snapshots"))
-    return out.select(*SERIES, F.date_format("captured_on", "yyyy-MM-dd").alias("captured_day"), "total_7", F.round("average_7", 6).alias("average_7"), "total_30", F.round("average_30", 6).alias("average_30"))
-
-
-def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    out = trailing_gains(table(spark, sf, "follower_snapshots")).where("total_7 < 0 AND total_30 > 0")
-    return out.select(*SERIES, F.date_format("captured_on", "yyyy-MM-dd").alias("captured_day"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p5_found": p5_found, "p5_rolling": p5_rolling}
-
-
 _DAILY = """WITH c AS (SELECT author_id, platform, captured_on, max_by(followers, captured_at) AS followers FROM follower_snapshots
     WHERE followers <> 0 AND captured_on IS NOT NULL GROUP BY ALL),
   g AS (SELECT author_id, platform, captured_on, coalesce(followers - lag(followers) OVER (PARTITION BY author_id, platform ORDER BY captured_on), 0) AS gain FROM c),
@@ -63,8 +48,13 @@ _DAILY = """WITH c AS (SELECT author_id, platform, captured_on, max_by(followers
     sum(gain) OVER (PARTITION BY author_id, platform ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)::BIGINT AS total_30 FROM f) """
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p5_found": _DAILY + "SELECT author_id, platform, captured_day FROM t WHERE total_7 < 0 AND total_30 > 0",
-        "p5_rolling": _DAILY + "SELECT author_id, platform, captured_day, total_7, round(total_7 / 7.0::DOUBLE, 6) AS average_7, total_30, round(total_30 / 30.0::DOUBLE, 6) AS average_30 FROM t",
-    }
+@query("p5_rolling", _DAILY + "SELECT author_id, platform, captured_day, total_7, round(total_7 / 7.0::DOUBLE, 6) AS average_7, total_30, round(total_30 / 30.0::DOUBLE, 6) AS average_30 FROM t")
+def p5_rolling(spark: SparkSession, sf: str) -> DataFrame:
+    out = trailing_gains(table(spark, sf, "follower_snapshots"))
+    return out.select(*SERIES, F.date_format("captured_on", "yyyy-MM-dd").alias("captured_day"), "total_7", F.round("average_7", 6).alias("average_7"), "total_30", F.round("average_30", 6).alias("average_30"))
+
+
+@query("p5_found", _DAILY + "SELECT author_id, platform, captured_day FROM t WHERE total_7 < 0 AND total_30 > 0")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    out = trailing_gains(table(spark, sf, "follower_snapshots")).where("total_7 < 0 AND total_30 > 0")
+    return out.select(*SERIES, F.date_format("captured_on", "yyyy-MM-dd").alias("captured_day"))
