@@ -144,9 +144,9 @@ def posts_in_window(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("author_id").agg(F.count("*").alias("posts"), F.max(F.when(F.col("x_provisional") == 0, F.col("x_score"))).alias("best"))
 
 
-@query("Q12_O11_comment_threads", f"""WITH c AS (SELECT id, post_id, parent_comment_id, coalesce(epoch_ms(commented_at), -1) AS at FROM {COMMENTS}),
-    j AS (SELECT c.*, p.id AS root, coalesce(p.at, c.at) AS root_at, coalesce(p.id, c.id) AS root_id FROM c LEFT JOIN c p ON p.id = c.parent_comment_id AND p.post_id = c.post_id)
-    SELECT post_id, id, (root IS NOT NULL)::BIGINT AS depth, row_number() OVER (PARTITION BY post_id ORDER BY root_at, root_id, root IS NOT NULL, at, id) AS place FROM j""")
+@query("Q12_O11_comment_threads", f"""WITH c AS (SELECT id, post_id, parent_comment_id, coalesce(epoch_ms(commented_at), -1) AS ts FROM {COMMENTS}),
+    j AS (SELECT c.*, p.id AS root, coalesce(p.ts, c.ts) AS root_at, coalesce(p.id, c.id) AS root_id FROM c LEFT JOIN c p ON p.id = c.parent_comment_id AND p.post_id = c.post_id)
+    SELECT post_id, id, (root IS NOT NULL)::BIGINT AS depth, row_number() OVER (PARTITION BY post_id ORDER BY root_at, root_id, root IS NOT NULL, ts, id) AS place FROM j""")
 def comment_threads(spark: SparkSession, sf: str) -> DataFrame:
     """A reply stands under its stored parent, an orphan reply stays at the top level; oldest first."""
     c = comments(spark, sf, ["post_id", "parent_comment_id", "commented_at"]).select("id", "post_id", "parent_comment_id", F.coalesce(F.unix_millis("commented_at"), F.lit(-1)).alias("at"))
