@@ -101,3 +101,32 @@ def manifest(spark: SparkSession, sf: str) -> DataFrame:
     names = sorted(registry.queries())
     rows = spark.createDataFrame([(n,) for n in names], "query string")
     return rows.withColumn("operators", F.array_join(F.filter(F.split("query", "_"), lambda x: x.rlike(r"^[A-Z]+\d+$")), ","))
+
+
+@query("S17_J16_drafts", f"""WITH d AS (SELECT id AS draft, content, posted_at FROM {POSTS} WHERE author_id = '{OWN}' AND posted_at IS NOT NULL), p AS (SELECT id, posted_at FROM {POSTS} WHERE author_id = '{OWN}' AND posted_at IS NOT NULL AND epoch_ms(posted_at) >= {S.NOW_MS - 30 * _D})
+    SELECT p.id, count(*) AS drafts, max((d.posted_at AT TIME ZONE 'UTC')::DATE)::VARCHAR AS last_day FROM p JOIN d ON d.draft <> p.id AND (d.posted_at AT TIME ZONE 'UTC')::DATE BETWEEN (p.posted_at AT TIME ZONE 'UTC')::DATE - 10 AND (p.posted_at AT TIME ZONE 'UTC')::DATE GROUP BY p.id""")
+def drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """Own posts and the own texts of their day and the ten days before: an equi-join on the days of the window."""
+    own = posts(spark, sf, ["author_id", "posted_at"]).where((F.col("author_id") == OWN) & F.col("posted_at").isNotNull()).select("id", F.to_date("posted_at").alias("day"), F.unix_millis("posted_at").alias("ms"))
+    recent = own.where(F.col("ms") >= S.NOW_MS - 30 * _D).select("id", F.explode(F.sequence(F.date_sub("day", 10), F.col("day"))).alias("day"))
+    both = recent.join(own.select(F.col("id").alias("draft"), "day"), "day").where("draft <> id")
+    return both.groupBy("id").agg(F.count("*").alias("drafts"), F.max("day").cast("string").alias("last_day"))
+
+
+@query("C19_creator_input", "SELECT * FROM (VALUES ('https://links.example/in/Ana-B/', 'linkedin', 'Ana-B'), ('@cy_1', 'twitter', 'cy_1'), ('https://chirp.example/cy_1', 'twitter', 'cy_1'), ('https://dee.letters.example/', 'substack', 'dee'), ('https://photos.example/Ed/', 'instagram', 'ed'), ('what is this', NULL, NULL)) v(x, platform, slug)")
+def creator_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines a user types, one or more accounts each, to platform and slug."""
+    typed = spark.createDataFrame([("https://links.example/in/Ana-B/, @cy_1\nhttps://chirp.example/cy_1",), ("https://dee.letters.example/\n https://photos.example/Ed/ ,what is this,",)], "t string")
+    x = F.col("x")
+    rows = typed.select(F.explode(F.split("t", r"[\n,]")).alias("x")).select(F.trim("x").alias("x")).where("x <> ''")
+    platform = F.when(sc.host_within(x, "links.example"), "linkedin").when(x.startswith("@") | sc.host_within(x, "chirp.example"), "twitter").when(sc.host_within(x, "letters.example"), "substack").when(sc.host_within(x, "photos.example"), "instagram")
+    slug = F.when(platform == "linkedin", sc.profile_slug(x)).when(platform == "twitter", sc.micro_blog_handle(x)).when(platform == "substack", sc.newsletter_handle(x, "letters.example")).when(platform == "instagram", sc.photo_handle(x))
+    return rows.select("x", platform.alias("platform"), slug.alias("slug"))
+
+
+@query("J20_group_members", f"WITH g AS (SELECT author_id, string_agg(id, '|' ORDER BY id) AS ids FROM {POSTS} WHERE author_id <> '' GROUP BY author_id HAVING count(*) BETWEEN 2 AND 5), e AS (SELECT author_id, unnest(string_split(ids, '|')) AS id FROM g) SELECT e.author_id, e.id, p.likes FROM e JOIN {POSTS} p USING (id)")
+def group_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups given as lists of ids, expanded to their posts."""
+    rows = posts(spark, sf, ["author_id", "likes"])
+    g = rows.where("author_id <> ''").groupBy("author_id").agg(F.collect_list("id").alias("ids"), F.count("*").alias("n")).where("n BETWEEN 2 AND 5")
+    return g.select("author_id", F.explode("ids").alias("id")).join(rows.select("id", "likes"), "id").select("author_id", "id", "likes")

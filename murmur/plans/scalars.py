@@ -159,7 +159,7 @@ def embedding_texts(spark: SparkSession, sf: str) -> DataFrame:
     return posts(spark, sf, ["content", "image_description"]).select("id", c.embedding_text(F.col("content"), F.col("image_description")).alias("text"))
 
 
-@query("C36_A20_costs", f"SELECT platform, round(sum(ceil(length(coalesce(content, '')) / 4.0) / 1e6 * 0.06), 6) AS embedding_cost, round(count(*) * 0.002, 6) AS refresh_cost FROM {POSTS} GROUP BY platform")
+@query("C36_A20_costs", f"SELECT platform, round(sum(ceil(length(coalesce(content, '')) / 4.0) / 1e6 * 0.06), 6) AS embedding_cost, round(count(*) * 0.002::DOUBLE, 6) AS refresh_cost FROM {POSTS} GROUP BY platform")
 def costs(spark: SparkSession, sf: str) -> DataFrame:
     rows = posts(spark, sf, ["platform", "content"])
     n = F.length(F.coalesce("content", F.lit("")))
