@@ -176,7 +176,9 @@ def _answers(ps: list[float], delta: float):
             at = lambda i: v[a:b][np.searchsorted(cum, np.clip(i, 0, n - 1), side="right")]  # noqa: E731, B023
             low = np.floor(h)
             value = at(low) + (at(low + 1) - at(low)) * (h - low)
-            lo, hi = (value, value) if slack == 0 else (at(np.floor(h - slack)), at(np.ceil(h + slack)))
+            # the smallest value whose counted rank reaches a rank less, or more, the bound; beyond the ends nothing is known
+            first, last = np.floor(h - slack), np.ceil(h + 1 + slack)
+            lo, hi = (value, value) if slack == 0 else (np.where(first < 0, -np.inf, at(first)), np.where(last > n - 1, np.inf, at(last)))
             for key, x in zip(out, (g, m, n, value.tolist(), lo.tolist(), hi.tolist())):
                 out[key].append(x)
         lists = pa.list_(pa.float64())
@@ -189,7 +191,8 @@ def percentiles(state: DataFrame, group: str, ps: Sequence[float], k: int = K, d
     """(group, metric, n, value, lo, hi): arrays with one entry for each of ``ps``.
 
     ``value`` interpolates linearly between ranks; the true percentile is between ``lo`` and ``hi`` except with
-    a chance below ``delta``. All three agree for groups that were never compacted.
+    a chance below ``delta``; they are infinite where the bound reaches beyond the values. All three agree for groups that were
+    never compacted.
     """
     rows = _gathered(state, group)
     made = rows.mapInArrow(_merge(k, _answers(list(ps), delta)), f"g {dict(rows.dtypes)['g']}, m string, n long, value array<double>, lo array<double>, hi array<double>")
