@@ -57,7 +57,7 @@ def _patterns():
     import regex
 
     noise = regex.compile(r"```.*?```|`[^`\n]*`|<[^>\n]*>|&#?\w+;|(?:https?://|www\.)\S+|\S+@\S+\.\w+|[@#][\p{L}\p{N}_.\-]+", regex.S)
-    end = regex.compile(r"(?<=[.!?…]['\"»”’)]*)\s+|(?<=[。！？][」』»”]*)(?=\S)|\s*\n+\s*|\s*[«»„“”「」]\s*")
+    end = regex.compile(r"(?<=[.!?…。！？]['\"»”’)」』]*)\s+|(?<=[。！？][」』»”]*)(?=\S)|\s*\n+\s*|\s*[«»„“”「」]\s*")
     return noise, end, regex.compile(r"\p{L}"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]"), regex.compile(r"[\p{L}\p{M}']+"), regex.compile(r"[^\p{L}\p{M}\p{N}']+|(?<!\p{L})'|'(?!\p{L})"), regex.compile(r"\p{N}+")
 
 
