@@ -21,5 +21,5 @@ def test_runs(spark, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).columns == ["author_id", "platform", "captured_day"]
+    assert e.entry(spark).columns == ["id", "x_score", "tone"]
     assert set(e.oracle_sql()) <= set(e.queries())
