@@ -24,7 +24,7 @@ from murmur.operators.versions import version_of
 from murmur.sources.shared import stored
 
 #: Members of a cell in one task's tile, visitors of one tile, and the slack in cosine within which cells are visited.
-BLOCK, TILE, SLACK = 4096, 512, 0.022
+BLOCK, TILE, SLACK = 4096, 512, 0.026
 
 
 def best(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:

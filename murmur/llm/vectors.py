@@ -117,7 +117,7 @@ def vectors(df: DataFrame, field: str, number: int, classes: DataFrame, every: D
     return without(rows.withColumn("k", row_key(number)), excluded).select("id", "x")
 
 
-def place_cells(rows: DataFrame, n: int, dim: int, seeds: np.ndarray | None = None, rounds: int = 4) -> np.ndarray:
+def place_cells(rows: DataFrame, n: int, dim: int, seeds: np.ndarray | None = None, rounds: int = 10) -> np.ndarray:
     """Unit centres of about sqrt(n) cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
 
     The sample has at most SAMPLE vectors; all rows are assigned to cells afterwards. ``seeds``: starting centres.
