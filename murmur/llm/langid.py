@@ -28,6 +28,8 @@ TRAIN_DOCS, TRAIN_CHARS = 400, 36_000
 SYMBOLS = 96
 #: A sentence has at least so many letters (or so many of a script without spaces) and so many words.
 LETTERS, DENSE_LETTERS, WORDS = 10, 5, 3
+#: Characters of a stretch that is parsed at once.
+STRETCH = 2000
 #: A sentence with more pieces a character is in none of the languages; one must be this much ahead to count beside the main language.
 MOST_PIECES, AHEAD = 0.5, 0.2
 
@@ -135,14 +137,25 @@ class Parser:
             self.codes.append(code)
 
     def pieces(self, parts: list[str]) -> np.ndarray:
-        """Pieces per character of each sentence by each language."""
+        """Pieces per character of each sentence by each language; very long ones are parsed in stretches and added up."""
+        stretches = [(k, p[a : a + STRETCH]) for k, p in enumerate(parts) for a in range(0, max(1, len(p)), STRETCH)]
+        owner = np.array([k for k, _ in stretches])
+        counts = self._counts([p for _, p in stretches])
+        out = np.zeros((len(parts), len(self.languages)))
+        np.add.at(out, owner, counts)
+        return out / np.maximum(1, np.array([len(p) for p in parts]))[:, None]
+
+    def _counts(self, parts: list[str]) -> np.ndarray:
+        """Pieces of each stretch by each language."""
         n = len(parts)
         lengths = np.array([len(p) for p in parts])
         order = np.argsort(-lengths, kind="stable")
         out = np.ones((n, len(self.languages)))
-        for a in range(0, n, 4096):
-            rows = order[a : a + 4096]
-            longest = int(lengths[rows[0]])
+        a = 0
+        while a < n:
+            longest = max(1, int(lengths[order[a]]))
+            rows = order[a : a + max(1, min(4096, 2_000_000 // longest))]
+            a += len(rows)
             points = np.zeros((len(rows), longest), np.uint32)
             for k, r in enumerate(rows):
                 points[k, : lengths[r]] = np.frombuffer(parts[r].encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -160,7 +173,7 @@ class Parser:
                     count[:m] += ends
                     new[ends] = start[c[ends]]
                     state[:m] = new
-                out[rows, k] = count / lengths[rows]
+                out[rows, k] = count
         return out
 
 

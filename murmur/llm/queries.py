@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmur.llm import cap, clusters, encode, knn, langid, mixing, neardup, quantiles, topn
+from murmur.llm import cap, clusters, encode, features, knn, langid, mixing, neardup, quantiles, topn
 from murmur.operators.versions import latest
+from murmur.sources.shared import stored
 from murmur.sources.tables import table
 
 VECTOR_FIELDS = {"embedding": 128, "image_embedding": 96}
@@ -47,6 +48,12 @@ def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.describe(clusters.clusters(table(spark, sf, "posts"), "embedding", 128, text="content"))
 
 
+def p4_text_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts alike in their words: clusters over hashed weighted features of the content."""
+    rows = stored(features.text_vectors(table(spark, sf, "posts"), "id", "content", "scraped_at"), "features")
+    return clusters.describe(clusters.clusters(rows, "x", 128))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     posts = latest(table(spark, sf, "posts"), ["author_id", "weighted_score", "creator_baseline"]).where(_named("author_id"))
     return quantiles.score_shapes(posts, "author_id", "weighted_score", "creator_baseline")
@@ -106,7 +113,7 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p6_found, p6_percentiles, p7_found, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_segments, p10_languages)
+    found = (p1_found, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p4_text_clusters, p6_found, p6_percentiles, p7_found, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_segments, p10_languages)
     return {f.__name__: f for f in found}
 
 

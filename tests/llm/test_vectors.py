@@ -135,3 +135,19 @@ def test_overlapping_groups():
     for x, y in edges:
         a[x, y] = a[y, x] = True
     assert sorted(map(sorted, clusters.greedy_groups(a, np.ones(7))))[0] == [0, 1, 2, 3]
+
+
+def test_texts_as_features(spark):
+    from murmur.llm.features import text_vectors
+
+    rng = np.random.default_rng(7)
+    words = [f"w{i}" for i in range(500)]
+    base = [list(rng.choice(words, 60, replace=False)) for _ in range(20)]
+    rows = [(f"t{g:02d}-{k}", None, " ".join(b[k:] + ["the"] * 9), T[0]) for g, b in enumerate(base) for k in range(3)] + [("short", None, "the end", T[0]), ("none", None, None, T[0])]
+    df = spark.createDataFrame(rows, SCHEMA).drop("x").repartition(3)
+    v = text_vectors(df, "id", "content", "scraped_at")
+    got = {r["id"]: r["x"] for r in v.collect()}
+    assert len(got) == 62 and got["short"] is None and got["none"] is None
+    assert np.dot(got["t00-0"], got["t00-2"]) > 0.9 > 0.5 > abs(np.dot(got["t00-0"], got["t01-0"]))
+    found = clusters.clusters(v, "x", 128).groupBy("cluster_id").count().collect()
+    assert len(found) == 20 and all(r["count"] == 3 for r in found)
