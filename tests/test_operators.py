@@ -303,3 +303,14 @@ def test_landed_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text('Profile,name\n"https://a.example",x\n\n  \nhttps://b.example\n')
     assert [r["cell"] for r in landing.first_cells(landing.csv_lines(spark, str(tmp_path / "c.csv"))).collect()] == ["https://a.example", "https://b.example"]
     assert landing.raw_records(spark, str(tmp_path / "log.jsonl")).count() == 3
+
+
+def test_stored_tables_are_released(spark):
+    from murmur.sources import shared
+
+    df = shared.stored(spark.range(5), "numbers")
+    path = df.inputFiles()[0].replace("file://", "")
+    import os
+
+    assert df.count() == 5 and os.path.exists(path)
+    assert shared.release(spark) >= 1 and not os.path.exists(path) and shared.release(spark) == 0
