@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators.grouped_arrow import by_group
 from murmur.sources import settings as S
+from murmur.sources.tables import clustered
 
 SLICE_DAYS = 30
 
@@ -85,7 +86,7 @@ def scores(posts: DataFrame) -> DataFrame:
     wanted = dated.select("author_id", slice_.alias("slice")).distinct()
     spread = dated.withColumn("home", slice_).withColumn("slice", F.explode(F.sequence(slice_, ahead)))
     spread = spread.withColumn("own", F.col("slice") == F.col("home")).join(wanted, ["author_id", "slice"], "left_semi").drop("home")
-    work = spread.repartition("author_id", "slice").sortWithinPartitions("author_id", "slice")
+    work = clustered(spread, "author_id", "slice").sortWithinPartitions("author_id", "slice")
     made = work.select("author_id", "slice", "id", F.col("ws").cast("double"), "posted", "measured", "own").mapInArrow(
         by_group(["author_id", "slice"], _score), "id string, creator_baseline double, creator_spread double, x_factor double, x_score double, x_provisional long"
     )

@@ -8,3 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the directory; file or folder, Spark reads both."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many partitions as there are cores.
+
+    For stages that compute much on few bytes. A scan that already has as many partitions, as any large table has, stays as it
+    is; only one of a few small files is shuffled. ``df`` must be a scan or a projection of one.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def clustered(df: DataFrame, *keys: str) -> DataFrame:
+    """Equal keys together in as many partitions as the session's shuffles have, also where those hold few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
