@@ -11,7 +11,6 @@ A batch's sentences run through the automata in step, one character of all of th
 
 from __future__ import annotations
 
-import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -23,9 +22,11 @@ from pyspark.sql import functions as F
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "ja")
 #: Bounds of the labelled sample, a language.
-TRAIN_DOCS, TRAIN_CHARS = 400, 36_000
+TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
+#: Cells of the hashed trigrams.
+CELLS = 1 << 18
 #: Symbols of an automaton's alphabet: the most frequent letters; 0 is any other.
-SYMBOLS = 96
+SYMBOLS = 64
 #: A sentence has at least so many letters (or so many of a script without spaces) and so many words.
 LETTERS, DENSE_LETTERS, WORDS = 10, 5, 3
 #: Characters of a stretch that is parsed at once.
@@ -56,11 +57,18 @@ def canonical(label: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _patterns():
+    """What is taken out where a text holds one of some characters, sentence ends, apostrophes outside words, gaps, numbers, dense scripts."""
     import regex
 
-    noise = regex.compile(r"```.*?```|`[^`\n]*`|<[^>\n]*>|&#?\w+;|(?:https?://|www\.)\S+|\S+@\S+\.\w+|[@#][\p{L}\p{N}_.\-]+", regex.S)
+    noise = [
+        ("`<", regex.compile(r"```.*?```|`[^`\n]*`|<[^>\n]*>", regex.S)),
+        ("&", regex.compile(r"&#?\w+;")),
+        ("/.", regex.compile(r"(?:https?://|www\.)\S+")),
+        ("@#", regex.compile(r"[^\s@]+@[^\s@]+\.\w+|[@#][\p{L}\p{N}_.\-]+")),
+        ("\u200b\ufeff\u00ad", regex.compile("[\u200b\ufeff\u00ad]")),
+    ]
     end = regex.compile(r"(?<=[.!?…。！？]['\"»”’)」』]*)\s+|(?<=[。！？][」』»”]*)(?=\S)|\s*\n+\s*|\s*[«»„“”「」]\s*")
-    return noise, end, regex.compile(r"\p{L}"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]"), regex.compile(r"[\p{L}\p{M}']+"), regex.compile(r"[^\p{L}\p{M}\p{N}']+|(?<!\p{L})'|'(?!\p{L})"), regex.compile(r"\p{N}+")
+    return noise, end, regex.compile(r"(?<!\p{L})'|'(?!\p{L})"), regex.compile(r"[^\p{L}\p{M}\p{N}'\n]+"), regex.compile(r"\p{N}+"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 
 
 def sentences(text: str | None) -> list[tuple[str, bool]]:
@@ -70,18 +78,23 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
     """
     if not text:
         return []
-    noise, end, letter, dense, word, gap, number = _patterns()
+    noise, end, loose, gap, number, dense = _patterns()
+    for marks, pattern in noise:
+        if any(m in text for m in marks):
+            text = pattern.sub("" if marks[0] == "\u200b" else " ", text)
+    text = end.sub("\n", text.lower())
+    if "'" in text:
+        text = loose.sub(" ", text)
     out = []
-    for part in end.split(noise.sub(" ", text.replace("​", "").replace("﻿", "").replace("­", ""))):
-        if not part:
-            continue
-        n = len(letter.findall(part))
-        if not n:
-            continue
-        packed = len(dense.findall(part))
-        whole = packed >= DENSE_LETTERS or (n >= LETTERS and len(word.findall(part)) >= WORDS)
-        out.append((number.sub("0", gap.sub(" ", part.lower())).strip(), whole))
-    return [s for s in out if s[0]]
+    for plain in number.sub("0", gap.sub(" ", text)).split("\n"):
+        plain = plain.strip()
+        words = plain.split(" ")
+        letters = len(plain) - len(words) + 1 - plain.count("0") - plain.count("'")
+        if plain and letters > 0:
+            packed = 0 if plain.isascii() else len(dense.findall(plain))
+            whole = packed >= DENSE_LETTERS or (letters >= LETTERS and len(words) - words.count("0") >= WORDS)
+            out.append((plain, whole))
+    return out
 
 
 def automaton(text: str, symbols: dict[str, int]) -> np.ndarray:
@@ -112,7 +125,7 @@ def automaton(text: str, symbols: dict[str, int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.zeros((len(nxt), SYMBOLS), np.uint32)
+    table = np.zeros((len(nxt), SYMBOLS), np.uint16 if len(nxt) < 1 << 16 else np.uint32)  # small tables stay in the caches
     for s, row in enumerate(nxt):
         for c, t in row.items():
             if c:  # an unlisted letter never continues a piece
@@ -182,27 +195,39 @@ def _parser(key: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(key))
 
 
+def _trigrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, starts): the hashed letter trigrams of each sentence, spaces at its ends included, as a flat array."""
+    points = np.frombuffer("".join(f" {p} " for p in parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(p) + 2 for p in parts])
+    h = ((points[:-2] * np.uint64(1_000_003) + points[1:-1]) * np.uint64(1_000_003) + points[2:]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 18)
+    inside = np.arange(len(h)) + 2 < np.repeat(ends, np.diff(np.r_[0, ends]))[: len(h)]
+    sizes = np.array([len(p) for p in parts])
+    return h[inside].astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]]
+
+
 def labelled_text(rows: list[tuple[str, str, bool]]) -> dict[str, str]:
     """Text of each language from (label, text, checked) rows, checked ones first, without sentences that are ascribed elsewhere.
 
     Letter trigrams of all sentences, counted by label, decide; two rounds.
     """
     lines = [(label, s) for label, text, _ in sorted(rows, key=lambda r: not r[2]) for s, whole in sentences(text) if whole]
-    grams = [[f" {s} "[i : i + 3] for i in range(len(s))] for _, s in lines]
-    labels = [label for label, _ in lines]
+    if not lines:
+        return {}
+    known = sorted({label for label, _ in lines})
+    given = np.array([known.index(label) for label, _ in lines])
+    grams, starts = _trigrams([s for _, s in lines])
+    of = np.repeat(np.arange(len(lines)), np.diff(np.r_[starts, len(grams)]))
+    labels = given
     for _ in range(2):
-        counts: dict[str, Counter] = defaultdict(Counter)
-        for label, g in zip(labels, grams):
-            counts[label].update(g)
-        total = {x: sum(c.values()) for x, c in counts.items()}
-        score = {x: {g: math.log((n + 0.1) / (total[x] + 1e4)) for g, n in c.items()} for x, c in counts.items()}
-        none = {x: math.log(0.1 / (total[x] + 1e4)) for x in counts}
-        labels = [max(score, key=lambda x: sum(score[x].get(k, none[x]) for k in g)) for g in grams] if score else labels
+        counts = np.bincount(labels[of] * CELLS + grams, minlength=len(known) * CELLS).reshape(len(known), CELLS)
+        score = np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 1e4))
+        labels = np.stack([np.add.reduceat(row[grams], starts) for row in score]).argmax(0)
     out: dict[str, list[str]] = defaultdict(list)
     size: Counter = Counter()
     seen = set()
-    for (given, s), found in zip(lines, labels):
-        if given == found and s not in seen and size[found] + len(s) < TRAIN_CHARS:
+    for (label, s), same in zip(lines, given == labels):
+        found = label
+        if same and s not in seen and size[found] + len(s) < TRAIN_CHARS:
             seen.add(s)
             out[found].append(s)
             size[found] += len(s) + 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from murmur.llm import cap, clusters, encode, features, knn, langid, mixing, neardup, quantiles, topn
 from murmur.operators.versions import latest
 from murmur.sources.shared import stored
-from murmur.sources.tables import table
+from murmur.sources.tables import spread, table
 
 VECTOR_FIELDS = {"embedding": 128, "image_embedding": 96}
 
@@ -25,12 +25,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    return neardup.record_pairs(*neardup.pairs(table(spark, sf, "posts"), "content", run=3, overlap=0.6, least_words=30))
+    return neardup.record_pairs(*neardup.pairs(spread(table(spark, sf, "posts")), "content", run=3, overlap=0.6, least_words=30))
 
 
 def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Every usable post with the class of its word sequence and the class's links, by the default of five words and 0.8."""
-    links, members = neardup.pairs(table(spark, sf, "posts"), "content")
+    links, members = neardup.pairs(spread(table(spark, sf, "posts")), "content")
     ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     return members.join(ends, "cls", "left").select(F.col("id").alias("post_id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
@@ -50,7 +50,7 @@ def p4_clusters(spark: SparkSession, sf: str) -> DataFrame:
 
 def p4_text_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Posts alike in their words: clusters over hashed weighted features of the content."""
-    rows = stored(features.text_vectors(table(spark, sf, "posts"), "id", "content", "scraped_at"), "features")
+    rows = stored(features.text_vectors(spread(table(spark, sf, "posts")), "id", "content", "scraped_at"), "features")
     return clusters.describe(clusters.clusters(rows, "x", 128))
 
 
@@ -75,11 +75,11 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.corpus_ids(table(spark, sf, "documents"), "doc_id", "text")
+    return encode.corpus_ids(spread(table(spark, sf, "documents")), "doc_id", "text")
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.token_counts(table(spark, sf, "documents"), ["doc_id", "source"], "text")
+    return encode.token_counts(spread(table(spark, sf, "documents")), ["doc_id", "source"], "text")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,7 +95,7 @@ def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf: str) -> DataFrame:
-    documents = table(spark, sf, "documents")
+    documents = spread(table(spark, sf, "documents"))
     trained = langid.train(documents, "doc_id", "text", "lang", table(spark, sf, "lang_samples"))
     return langid.classify(documents, "doc_id", "text", "lang", trained)
 
