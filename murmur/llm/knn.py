@@ -22,6 +22,7 @@ from murmur.llm import vectors as V
 from murmur.operators.grouped_arrow import runs
 from murmur.operators.versions import version_of
 from murmur.sources.shared import stored
+from murmur.sources.tables import clustered
 
 #: Members of a cell in one task's tile, visitors of one tile, and the slack in cosine within which cells are visited.
 BLOCK, TILE, SLACK = 4096, 512, 0.026
@@ -130,7 +131,7 @@ def class_lists(rows: DataFrame, n: int, dim: int, k: int, least: float, slack:
     """(a, b, sim): for each of the ``n`` distinct vectors (id, x) its k most similar others of at least ``least``."""
     centres = V.place_cells(rows, n, dim)
     cells = V.to_cells(rows, centres, dim, slack, BLOCK)
-    found = cells.repartition("cell", "part").sortWithinPartitions("cell", "part", "role").mapInArrow(_joined(dim, k, least), "a string, b string, sim double")
+    found = clustered(cells, "cell", "part").sortWithinPartitions("cell", "part", "role").mapInArrow(_joined(dim, k, least), "a string, b string, sim double")
     found = found.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))  # a pair may meet in several cells
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators.versions import version_of
 from murmur.sources.shared import stored
+from murmur.sources.tables import spread
 
 #: Coordinates of a sketch, coordinates of a partition, and the chance to miss a pair exactly at the threshold.
 COORDINATES, WIDTH, MISS = 112, 4, 0.01
@@ -271,6 +272,7 @@ def pairs(df: DataFrame, text: str, run: int = 5, overlap: float = 0.8, least_wo
     members = stored(members, "members")
     holder = members.groupBy("cls").agg(F.min(F.struct("id", "v")).alias("s")).select("cls", "s.id", "s.v")
     classes = stored(all_rows.where("cls IS NOT NULL").select("id", "v", "sk", "t0", "t1").join(holder, ["id", "v"]).select("cls", "id", "v", "sk", "t0", "t1").dropDuplicates(["cls"]), "classes")
+    classes = spread(classes)
     parts = grouped_coordinates(correlations(classes))
     options = [0, 1]
     chosen = thresholds(estimates(classes, parts, options), len(parts), overlap, options)

@@ -117,26 +117,30 @@ def vectors(df: DataFrame, field: str, number: int, classes: DataFrame, every: D
     return without(rows.withColumn("k", row_key(number)), excluded).select("id", "x")
 
 
-def place_cells(rows: DataFrame, n: int, dim: int, seeds: np.ndarray | None = None, rounds: int = 10) -> np.ndarray:
+def place_cells(rows: DataFrame, n: int, dim: int, rounds: int = 10) -> np.ndarray:
     """Unit centres of about sqrt(n) cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
 
-    The sample has at most SAMPLE vectors; all rows are assigned to cells afterwards. ``seeds``: starting centres.
+    The sample has about SAMPLE vectors at most (a share by hash, 10 % above it); all rows are assigned to cells afterwards.
     """
-    wanted = int(min(MOST_CELLS, max(1, np.sqrt(n)))) if seeds is None else len(seeds)
+    wanted = int(min(MOST_CELLS, max(1, np.sqrt(n))))
     size = min(SAMPLE, PER_CELL * wanted)
     share = min(1.0, 1.1 * size / max(1, n))
     picked = rows.where(F.pmod(F.xxhash64("id", F.lit("cells")), F.lit(1 << 30)) < int(share * (1 << 30)))
-    table = picked.select(F.col("x")).limit(2 * SAMPLE).toArrow()
-    _, x = unpack(table.column("x"), dim)
-    x = unit(x).astype(np.float32)
-    if seeds is None:
-        if len(x) <= wanted:
-            return x if len(x) else np.zeros((1, dim), np.float32)
-        x = x[np.lexsort(x.T[:3])]
-        centres = x[np.random.default_rng(7).permutation(len(x))[:wanted]].copy()
-    else:
-        centres = seeds.astype(np.float32)
-    return lloyd(x, centres, rounds)
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Unit vectors in half precision: enough to place centres, and half of what the driver receives."""
+        for batch in batches:
+            _, x = unpack(batch.column(0), dim)
+            u = unit(x).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in u], pa.binary())], names=["u"])
+
+    received = picked.select("x").mapInArrow(halves, "u binary").toArrow().column("u")
+    x = np.frombuffer(b"".join(v.as_buffer() for c in received.chunks for v in c), np.float16).reshape(-1, dim).astype(np.float32)
+    del received
+    if len(x) <= wanted:
+        return x if len(x) else np.zeros((1, dim), np.float32)
+    x = x[np.lexsort(x.T[:3])]  # the same start whatever the order of arrival
+    return lloyd(x, x[np.random.default_rng(7).permutation(len(x))[:wanted]].copy(), rounds)
 
 
 def lloyd(x: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
