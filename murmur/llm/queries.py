@@ -79,7 +79,8 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, sf: str) -> DataFrame:
-    return encode.token_counts(spread(table(spark, sf, "documents")), ["doc_id", "source"], "text")
+    """Documents are encoded once; plan, mixture and report read the sizes."""
+    return stored(encode.token_counts(spread(table(spark, sf, "documents")), ["doc_id", "source"], "text"), "sizes")
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
