@@ -11,6 +11,7 @@ A batch's sentences run through the automata in step, one character of all of th
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -79,6 +80,8 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
     if not text:
         return []
     noise, end, loose, gap, number, dense = _patterns()
+    if max(text) >= "\uff00":  # letters in bold, script or full width are plain ones
+        text = unicodedata.normalize("NFKC", text)
     for marks, pattern in noise:
         if any(m in text for m in marks):
             text = pattern.sub("" if marks[0] == "\u200b" else " ", text)
