@@ -382,11 +382,14 @@ def clusters(df: DataFrame, field: str, dim: int, text: str | None = None, least
     joined = components(stars, "id", "root")
     pieces = joined.groupBy("component").agg(F.count("*").alias("nodes"))
     held = stars.where("x IS NOT NULL").select("id", "root", "x").dropDuplicates(["id"])
+    # linked only where they visit: their partners do not visit their home cell
+    away = stored(stars.groupBy("id").agg(F.count("x").alias("homes"), F.min("root").alias("root")).where("homes = 0").select("id", "root"), "away")
+    held = held.union(V.raw_vectors(rows, away.select("id"), dim).join(away, "id").select("id", "root", "x"))
     grp = F.when(F.col("nodes") <= MOST_NODES, F.col("component")).otherwise(F.concat_ws("|", "component", "root")).alias("grp")
     members = held.join(joined.withColumnRenamed("node", "id"), "id").join(pieces, "component").select("id", "x", grp)
     members = members.join(classes.select("id", "n"), "id")
-    found = clustered(members, "grp").sortWithinPartitions("grp").mapInArrow(_grouped(dim, least, size), "id string, cluster string, near double")
-    copies = classes.where(F.col("n") >= size).select("id").join(stars.select("id").union(stars.select(F.col("root").alias("id"))).distinct(), "id", "left_anti")
+    found = stored(clustered(members, "grp").sortWithinPartitions("grp").mapInArrow(_grouped(dim, least, size), "id string, cluster string, near double"), "groups")
+    copies = classes.where(F.col("n") >= size).select("id").join(found.select("id"), "id", "left_anti")
     found = found.union(copies.select("id", F.col("id").alias("cluster"), F.lit(1.0).alias("near")))
     found = stored(found.join(classes.select("id", "h"), "id").select("h", "cluster", "near").join(holders, "h").select("id", "cluster", "near"), "clusters")
     names = found.groupBy("cluster").agg(F.min("id").alias("cluster_id"))

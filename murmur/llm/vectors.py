@@ -117,6 +117,21 @@ def vectors(df: DataFrame, field: str, number: int, classes: DataFrame, every: D
     return without(rows.withColumn("k", row_key(number)), excluded).select("id", "x")
 
 
+def raw_vectors(rows: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
+    """(id, x): the usable vectors of ``rows`` (id, x) whose id is in ``wanted`` (id), as bytes, one an id."""
+    keyed = wanted.select(F.xxhash64("id").alias("k"))
+    if wanted.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        keyed = F.broadcast(keyed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = unpack(batch.column(1), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "x"])
+
+    few = rows.select("id", "x", F.xxhash64("id").alias("k")).join(keyed, "k", "left_semi").select("id", "x")
+    return few.mapInArrow(run, "id string, x binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
+
+
 def place_cells(rows: DataFrame, n: int, dim: int, rounds: int = 10) -> np.ndarray:
     """Unit centres of about sqrt(n) cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
 

@@ -109,6 +109,17 @@ def test_clusters_against_brute_force(spark, monkeypatch, block):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
 
 
+@pytest.mark.parametrize("copies", [1, 3])
+def test_members_linked_only_as_visitors_keep_their_cluster(spark, monkeypatch, copies):
+    # centres at 0 and 60 degrees: 29 degrees is at home in the first cell and visits the second, 45 and 50 stay in the second
+    angle = lambda d: [math.cos(math.radians(d)), math.sin(math.radians(d))]
+    monkeypatch.setattr(clusters, "seed_centres", lambda *a, **k: np.array([angle(0), angle(60)], np.float32))
+    monkeypatch.setattr(clusters, "LLOYD_ROUNDS", 0)
+    rows = [(f"a{c}", angle(29), None, T[0]) for c in range(copies)] + [("b", angle(45), None, T[0]), ("c", angle(50), None, T[0]), ("far", angle(200), None, T[0])]
+    found = clusters.clusters(spark.createDataFrame(rows, SCHEMA), "x", 2).collect()
+    assert {(r["id"], r["cluster_id"]) for r in found} == {(r[0], "a0") for r in rows[:-1]}
+
+
 def test_vectors_are_lent_by_text(spark):
     rows = [(f"a{k}", [1.0, 0.01 * k], LONG if k == 0 else None, T[0]) for k in range(2)] + [("b", None, f"  {LONG}\n", T[0]), ("c", [0.0, 0.0], "short", T[0]), ("d", [0.0, 1.0], "short", T[0]), ("0", None, LONG, T[0])]
     found = clusters.clusters(spark.createDataFrame(rows, SCHEMA), "x", 2, text="content")
