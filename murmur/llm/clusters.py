@@ -28,10 +28,6 @@ from murmur.sources.tables import clustered
 BLOCK, TILE, SLACK = 4096, 512, 0.03
 #: Rounds of oversampling and of Lloyd over all vectors.
 SEED_ROUNDS, LLOYD_ROUNDS = 2, 4
-#: Distinct vectors of a component for which all maximal groups are listed; larger ones are cut greedily.
-EXACT_NODES = 300
-#: Distinct vectors of a component in one task; larger components are taken apart into their cells' pieces.
-MOST_NODES = 8192
 
 
 def _unit_draw(ids: list[str], salt: int) -> np.ndarray:
@@ -294,7 +290,7 @@ def maximal_groups(adjacent: list[int]) -> list[list[int]]:
 
 
 def greedy_groups(a: np.ndarray, weight: np.ndarray) -> list[list[int]]:
-    """Groups of a large component: again and again the row with most open neighbours starts one, and rows similar to all
+    """Groups of a graph without the order of ``largest_groups``, which takes its place in queries: again and again the row with most open neighbours starts one, and rows similar to all
     of it join in order of their open neighbours."""
     open_, out = np.ones(len(a), bool), []
     while open_.any():
@@ -310,6 +306,139 @@ def greedy_groups(a: np.ndarray, weight: np.ndarray) -> list[list[int]]:
     return out
 
 
+def largest_groups(adjacent: list[int], weight: list[int], size: int) -> Iterator[list[int]]:
+    """What the maximal groups keep, the heaviest first and of equal ones the one with the smallest members.
+
+    A group takes what earlier ones left, if that still weighs ``size``. The next group is the heaviest of those whose rest
+    is enough, found by branch and bound with weighted colourings, so groups are not listed. Exact for graphs of any size; the
+    time is exponential at worst. ``bound``: the most that a group with this node can weigh; it only falls.
+    """
+    fresh = list(weight)
+    nodes = range(len(adjacent))
+
+    def bits(p: int) -> Iterator[int]:
+        while p:
+            low = p & -p
+            yield low.bit_length() - 1
+            p ^= low
+
+    bound = [weight[v] + sum(weight[u] for u in bits(adjacent[v])) for v in nodes]
+
+    def coloured(p: int) -> list[tuple[int, int]]:
+        """(node, most weight of a group of the nodes up to this one): a group has one node of a colour; weights are split
+        over colours."""
+        rest, out, w = {v: weight[v] for v in bits(p)}, [], 0
+        while p:
+            q, colour = p, []
+            while q:
+                low = q & -q
+                colour.append(low.bit_length() - 1)
+                q &= ~(adjacent[colour[-1]] | low)
+            step = min(rest[v] for v in colour)
+            w += step
+            for v in colour:
+                rest[v] -= step
+                if not rest[v]:
+                    p ^= 1 << v
+                    out.append((v, w))
+        return out
+
+    def open_weight(p: int) -> int:
+        """The most fresh weight of a group in ``p``."""
+        out, p = 0, sum(1 << v for v in bits(p) if fresh[v])
+        while p:
+            q, most = p, 0
+            while q:
+                low = q & -q
+                v = low.bit_length() - 1
+                q, p, most = q & ~(adjacent[v] | low), p ^ low, max(most, fresh[v])
+            out += most
+        return out
+
+    def entered(p: int, w: int, f: int) -> tuple[int, int, int, list[int]]:
+        """Nodes similar to all others of ``p`` are in every group."""
+        taken = [v for v in bits(p) if p & ~adjacent[v] == 1 << v]
+        for v in taken:
+            p, w, f = p ^ 1 << v, w + weight[v], f + fresh[v]
+        return p, w, f, taken
+
+    def heaviest(start: int, best: int) -> int:
+        """The most weight of a group with ``start``, ``best`` if none weighs more."""
+        stack: list[list] = []
+
+        def enter(p: int, w: int, f: int) -> None:
+            nonlocal best
+            p, w, f, _ = entered(p, w, f)
+            if not p:
+                best = max(best, w) if f >= size else best
+            elif f >= size or f + open_weight(p) >= size:
+                stack.append([p, w, f, coloured(p)])
+
+        enter(sum(1 << u for u in bits(adjacent[start]) if bound[u] > best), weight[start], fresh[start])
+        while stack:
+            p, w, f, order = stack[-1]
+            v, most = order.pop() if order else (-1, 0)
+            if v < 0 or w + most <= best:
+                stack.pop()
+                continue
+            stack[-1][0] = p & ~(1 << v)
+            enter(p & adjacent[v], w + weight[v], f + fresh[v])
+        return best
+
+    def smallest(best: int) -> list[int]:
+        """Of the groups that weigh ``best``, that with the smallest members."""
+        p0 = sum(1 << v for v in nodes if bound[v] >= best)
+        for s in bits(p0):
+            p0 ^= 1 << s
+            stack = [(p0 & adjacent[s], weight[s], fresh[s], [s])]
+            while stack:
+                p, w, f, group = stack.pop()
+                p, w, f, taken = entered(p, w, f)
+                group = group + taken
+                if not p:
+                    if w == best and f >= size:
+                        return sorted(group)
+                    continue
+                if f < size and f + open_weight(p) < size or w + coloured(p)[-1][1] < best:
+                    continue
+                v = (p & -p).bit_length() - 1
+                stack.append((p ^ 1 << v, w, f, group))
+                stack.append((p & adjacent[v], w + weight[v], f + fresh[v], [*group, v]))
+            bound[s] = best - 1
+        raise AssertionError("no group of the weight found")
+
+    while True:
+        best = 0
+        for v in sorted((v for v in nodes if fresh[v]), key=lambda v: -bound[v]):
+            if bound[v] <= max(best, size - 1):
+                break
+            found = heaviest(v, best)
+            best = bound[v] = found
+        if not best:
+            return
+        left = [v for v in smallest(best) if fresh[v]]
+        yield left
+        for v in left:
+            fresh[v] = 0
+
+
+def _alike(u: np.ndarray, w: np.ndarray, least: float) -> np.ndarray:
+    return np.round(u @ w.T, 6) >= least
+
+
+def _merged(u: np.ndarray, least: float) -> np.ndarray:
+    """For each row the first row that is similar to the same rows; such rows share all their groups.
+
+    Rows are told apart by sums of random numbers over the rows similar to them, 192 bits, so no square table is held.
+    """
+    draws = np.random.default_rng(11).integers(0, 1 << 32, (len(u), 6)).astype(np.float64)  # sums are exact below 2^53
+    sums = np.empty((len(u), 6))
+    for i in range(0, len(u), 1024):
+        sums[i : i + 1024] = _alike(u[i : i + 1024], u, least).astype(np.float64) @ draws
+    _, first, inverse = np.unique(sums, axis=0, return_index=True, return_inverse=True)
+    return first[inverse.ravel()]
+
+
 def _grouped(dim: int, least: float, size: int):
     """(id, cluster, near) of a component's groups; ``near`` is the cosine to the group's centre."""
 
@@ -321,27 +450,26 @@ def _grouped(dim: int, least: float, size: int):
         ids, u, n = ids[order], u[order], n[order]
         if n.sum() < size:
             return
-        a = np.zeros((len(ids), len(ids)), bool)
-        for i in range(0, len(ids), 1024):
-            a[i : i + 1024] = np.round(u[i : i + 1024] @ u.T, 6) >= least
+        first = _merged(u, least)
+        stand, of = np.unique(first, return_inverse=True)
+        of = of.ravel()
+        a = np.zeros((len(stand), len(stand)), bool)
+        for i in range(0, len(stand), 1024):
+            a[i : i + 1024] = _alike(u[stand[i : i + 1024]], u[stand], least)
+        a |= a.T
         np.fill_diagonal(a, False)
-        if len(ids) <= EXACT_NODES:
-            groups = maximal_groups([int.from_bytes(np.packbits(r, bitorder="little").tobytes(), "little") for r in a])
-        else:
-            groups = greedy_groups(a, n)
-        groups = [g for g in groups if n[g].sum() >= size]
-        groups.sort(key=lambda g: (-n[g].sum(), g))
-        used = np.zeros(len(ids), bool)
+        adjacent = [int.from_bytes(np.packbits(r, bitorder="little").tobytes(), "little") for r in a]
+        weight = np.zeros(len(stand), np.int64)
+        np.add.at(weight, of, n)
+        members = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of))[:-1])
         out: tuple[list, list, list] = ([], [], [])
-        for g in groups:
-            left = [v for v in g if not used[v]]
-            if left and n[left].sum() >= size:
-                used[left] = True
-                centre = (u[left] * n[left][:, None]).sum(0)
-                near = u[left] @ centre / max(1e-12, np.sqrt(centre @ centre))
-                out[0].extend(ids[left])
-                out[1].extend([ids[left[0]]] * len(left))
-                out[2].extend(np.round(near, 6).tolist())
+        for g in largest_groups(adjacent, weight.tolist(), size):
+            left = np.sort(np.concatenate([members[v] for v in g]))
+            centre = (u[left] * n[left][:, None]).sum(0)
+            near = u[left] @ centre / max(1e-12, np.sqrt(centre @ centre))
+            out[0].extend(ids[left])
+            out[1].extend([ids[left[0]]] * len(left))
+            out[2].extend(np.round(near, 6).tolist())
         if out[0]:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.float64())], names=["id", "cluster", "near"])
 
@@ -355,7 +483,7 @@ def clusters(df: DataFrame, field: str, dim: int, text: str | None = None, least
     is left, if that is still ``size``. ``cluster_id`` is the smallest id, ``near`` the cosine to the group's centre.
     With ``text``, a record without a usable vector takes that of the smallest id with the same text (of at least
     ``least_words`` words, white space at its ends removed). A key counts by its latest version. Records in no group do
-    not come out. Components of more than EXACT_NODES distinct vectors are cut greedily.
+    not come out. A component is grouped in one task.
     """
     known = stored(V.keys(df, {field: dim}, key, version, text, least_words), "keys")
     if text is None:
@@ -380,13 +508,11 @@ def clusters(df: DataFrame, field: str, dim: int, text: str | None = None, least
     cells = V.to_cells(rows, centres, dim, SLACK, BLOCK, codes=True)
     stars = stored(clustered(cells, "cell", "part").sortWithinPartitions("cell", "part", "role").mapInArrow(_stars(dim, least), "id string, root string, x binary"), "stars")
     joined = components(stars, "id", "root")
-    pieces = joined.groupBy("component").agg(F.count("*").alias("nodes"))
-    held = stars.where("x IS NOT NULL").select("id", "root", "x").dropDuplicates(["id"])
+    held = stars.where("x IS NOT NULL").select("id", "x").dropDuplicates(["id"])
     # linked only where they visit: their partners do not visit their home cell
-    away = stored(stars.groupBy("id").agg(F.count("x").alias("homes"), F.min("root").alias("root")).where("homes = 0").select("id", "root"), "away")
-    held = held.union(V.raw_vectors(rows, away.select("id"), dim).join(away, "id").select("id", "root", "x"))
-    grp = F.when(F.col("nodes") <= MOST_NODES, F.col("component")).otherwise(F.concat_ws("|", "component", "root")).alias("grp")
-    members = held.join(joined.withColumnRenamed("node", "id"), "id").join(pieces, "component").select("id", "x", grp)
+    away = stored(stars.groupBy("id").agg(F.count("x").alias("homes")).where("homes = 0").select("id"), "away")
+    held = held.union(V.raw_vectors(rows, away, dim))
+    members = held.join(joined.select(F.col("node").alias("id"), F.col("component").alias("grp")), "id")
     members = members.join(classes.select("id", "n"), "id")
     found = stored(clustered(members, "grp").sortWithinPartitions("grp").mapInArrow(_grouped(dim, least, size), "id string, cluster string, near double"), "groups")
     copies = classes.where(F.col("n") >= size).select("id").join(found.select("id"), "id", "left_anti")

@@ -148,6 +148,53 @@ def test_overlapping_groups():
     assert sorted(map(sorted, clusters.greedy_groups(a, np.ones(7))))[0] == [0, 1, 2, 3]
 
 
+def kept(adjacent, weight, size):
+    """What all maximal groups keep, listed."""
+    total = lambda g: sum(weight[v] for v in g)
+    used, out = set(), []
+    for g in sorted((sorted(g) for g in clusters.maximal_groups(adjacent)), key=lambda g: (-total(g), g)):
+        left = [v for v in g if v not in used]
+        if total(left) >= size:
+            used |= set(left)
+            out.append(left)
+    return out
+
+
+@pytest.mark.parametrize("share", [0.15, 0.5, 0.85])
+def test_largest_groups_are_those_of_the_full_list(share):
+    rng = np.random.default_rng(int(share * 100))
+    for n in [1, 2, 5, 9, 14, 20] * 15:
+        a = np.triu(rng.random((n, n)) < share, 1)
+        bits = [sum(1 << j for j in range(n) if a[i, j] or a[j, i]) for i in range(n)]
+        weight = rng.choice([1, 1, 1, 2, 5], n).tolist()
+        assert list(clusters.largest_groups(bits, weight, 3)) == kept(bits, weight, 3)
+
+
+def test_groups_of_a_component_of_over_300_follow_the_definition():
+    # vectors on an arc: a group is a window of 41 degrees, and the full list is short
+    import pyarrow as pa
+
+    d = np.sort(np.random.default_rng(4).uniform(0, 160, 400))
+    x = np.stack([np.cos(np.radians(d)), np.sin(np.radians(d))], 1).astype(np.float32)
+    near = np.round(V.unit(x) @ V.unit(x).T, 6) >= 0.75
+    np.fill_diagonal(near, False)
+    bits = [int.from_bytes(np.packbits(r, bitorder="little").tobytes(), "little") for r in near]
+    rows = pa.RecordBatch.from_arrays([pa.array(["g"] * 400), pa.array([f"i{k:03d}" for k in range(400)]), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([1] * 400)], names=["grp", "id", "x", "n"])
+    got = {}
+    for b in clusters._grouped(2, 0.75, 3)(iter([rows])):
+        for r in b.to_pylist():
+            got.setdefault(r["cluster"], []).append(int(r["id"][1:]))
+    assert sorted(map(sorted, got.values())) == sorted(kept(bits, [1] * 400, 3))
+
+
+def test_a_subject_of_over_8192_vectors_is_one_cluster(spark):
+    rng = np.random.default_rng(5)
+    x = np.array([1.0] + [0.0] * 7) + rng.normal(size=(9000, 8)) * 0.05
+    df = spark.createDataFrame([(f"i{k:04d}", v.tolist(), None, T[0]) for k, v in enumerate(x)], SCHEMA)
+    found = clusters.clusters(df, "x", 8).groupBy("cluster_id").count().collect()
+    assert [(r["cluster_id"], r["count"]) for r in found] == [("i0000", 9000)]
+
+
 def test_texts_as_features(spark):
     from murmur.llm.features import text_vectors
 
