@@ -314,3 +314,25 @@ def test_stored_tables_are_released(spark):
 
     assert df.count() == 5 and os.path.exists(path)
     assert shared.release(spark) >= 1 and not os.path.exists(path) and shared.release(spark) == 0
+
+
+def test_skew_join_equals_a_plain_join(spark):
+    from murmur.operators.skew import skew_join
+
+    many = spark.createDataFrame([("hot", i) for i in range(300)] + [(f"k{i % 7}", i) for i in range(70)] + [(None, 1), ("alone", 2)], "k string, i int")
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), *[(f"k{i}", i) for i in range(6)], ("none", 1), (None, 3)], "k string, v int")
+    counts = many.where("k IS NOT NULL").groupBy("k").count().withColumnRenamed("count", "n")
+    plain = sorted(many.join(few, "k").collect())
+    assert sorted(skew_join(many, few, ["k"], counts, least=100).select("k", "i", "v").collect()) == plain
+    assert sorted(skew_join(many, few, ["k"], counts).select("k", "i", "v").collect()) == plain
+    assert skew_join(many, few.limit(0), ["k"], counts, least=100).count() == 0
+
+
+def test_clustered_sizes_partitions_from_the_scan(spark):
+    from murmur.sources import tables
+
+    posts = tables.table(spark, "/root/testdata/sf0.001", "posts")
+    assert 50_000 < tables.scanned_bytes(posts.select("id", "embedding")) < 10_000_000
+    assert tables.clustered(posts, "id").rdd.getNumPartitions() == 8
+    assert tables.clustered(posts, "id", size=tables.TASK_BYTES * 20 - 1).rdd.getNumPartitions() == 20
+    assert tables.clustered(spark.createDataFrame([(1,)], "id int"), "id").rdd.getNumPartitions() == 8
