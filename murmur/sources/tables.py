@@ -26,7 +26,7 @@ def spread(df: DataFrame) -> DataFrame:
 def scanned_bytes(df: DataFrame) -> int:
     """The size of the files that a query reads, by the optimizer's statistics of its scans; what has none counts nothing."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     return sum(s for s in sizes if s < UNKNOWN_BYTES)
 
 
