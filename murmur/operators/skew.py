@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 LEAST_ROWS, MOST_HOT = 100_000, 2_000
 
 
-def hot_keys(counts: DataFrame, n: str = "n", least: int = LEAST_ROWS) -> DataFrame | None:
-    """The rows of ``counts`` whose ``n`` is over ``least`` and over a MOST_HOT-th of the sum; None where there are none."""
+def hot_keys(counts: DataFrame, n: str = "n", least: int | None = None) -> DataFrame | None:
+    """The rows of ``counts`` whose ``n`` is over ``least`` (by default LEAST_ROWS) and over a MOST_HOT-th of the sum; None where there are none."""
     top = counts.agg(F.coalesce(F.sum(n), F.lit(0)).alias("total"), F.coalesce(F.max(n), F.lit(0)).alias("most")).first()
-    limit = max(least, top["total"] // MOST_HOT)
+    limit = max(LEAST_ROWS if least is None else least, top["total"] // MOST_HOT)
     return counts.where(F.col(n) > limit) if top["most"] > limit else None
 
 
-def skew_join(many: DataFrame, few: DataFrame, keys: Sequence[str], counts: DataFrame, n: str = "n", least: int = LEAST_ROWS) -> DataFrame:
+def skew_join(many: DataFrame, few: DataFrame, keys: Sequence[str], counts: DataFrame, n: str = "n", least: int | None = None) -> DataFrame:
     """The inner join of ``many`` with ``few`` on ``keys``.
 
     ``counts`` (keys, n): how many rows of ``many`` a key has; one row a key. ``few`` has a bounded number of rows a key, so the
