@@ -487,7 +487,7 @@ def clusters(df: DataFrame, field: str, dim: int, text: str | None = None, least
     """
     known = stored(V.keys(df, {field: dim}, key, version, text, least_words), "keys")
     if text is None:
-        known = known.withColumn("c", F.lit(None).cast("long"))
+        known = known.withColumn("c", F.lit(None).cast("binary"))
     live = stored(known.groupBy("id").agg(F.max_by(F.struct("v", "h0", "c"), "v").alias("s")).select("id", "s.*"), "live")
     own = live.where("h0 IS NOT NULL")
     donors = own.where("c IS NOT NULL").groupBy("c").agg(F.min(F.struct("id", "h0")).alias("d")).select("c", F.col("d.h0").alias("h"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from murmur.llm import vectors as V
 from murmur.operators.grouped_arrow import runs
-from murmur.operators.versions import version_of
+from murmur.operators.skew import skew_join
 from murmur.sources.shared import stored
 from murmur.sources.tables import clustered
 
@@ -158,7 +158,7 @@ def similar(df: DataFrame, fields: dict[str, int], k: int = 10, least: float = 0
         if n == 0:
             continue
         several = classes.where("n > 1").select("h", F.col("id").alias("rep"))
-        members = own.join(several, "h").select("rep", "id")
+        members = skew_join(own, several, ["h"], classes.where("n > 1").select("h", "n")).select("rep", "id")
         first = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
         few = members.withColumn("i", first).where(F.col("i") <= k + 1).drop("i")
         every = known.where(F.col(f"h{i}").isNotNull()).select("id", "v")
@@ -168,7 +168,13 @@ def similar(df: DataFrame, fields: dict[str, int], k: int = 10, least: float = 0
         copies = few.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
         by_class = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
         whole = others.union(copies).withColumn("r", by_class).where(F.col("r") <= k + 1)
-        spread = whole.join(members.withColumnRenamed("rep", "a"), "a", "left").select(F.coalesce("id", "a").alias("id_a"), F.col("b").alias("id_b"), "sim").where("id_a <> id_b")
+        # classes of one need no join; the members of a large class stay where they are
+        whole = stored(whole.drop("r"), f"lists{i}")
+        copied = several.select(F.col("rep").alias("a"))
+        alone = whole.join(copied, "a", "left_anti").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "sim")
+        held = members.withColumnRenamed("rep", "a")
+        many = skew_join(held, whole, ["a"], classes.where("n > 1").select(F.col("id").alias("a"), "n")).select(F.col("id").alias("id_a"), F.col("b").alias("id_b"), "sim")
+        spread = alone.union(many).where("id_a <> id_b")
         rank = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("sim"), "id_b"))
         results.append(spread.withColumn("r", rank).where(F.col("r") <= k).select(F.lit(field).alias("field"), "id_a", "id_b", "sim"))
     if not results:

@@ -29,6 +29,8 @@ from murmur.sources.tables import spread
 
 #: Coordinates of a sketch, coordinates of a partition, and the chance to miss a pair exactly at the threshold.
 COORDINATES, WIDTH, MISS = 112, 4, 0.01
+#: Classes of one key in one block of the join; a key is heavy if it holds more than a block and a HEAVY-th of all classes.
+BLOCK, HEAVY = 4096, 2048
 #: Cells of a second-moment sketch and bits of the test sketch.
 MOMENT_CELLS, TEST_BITS = 1024, 128
 
@@ -109,7 +111,7 @@ def sketch(starts: np.ndarray, hashes: np.ndarray, n: int = COORDINATES) -> tupl
 
 
 def _sketched(run: int, least_words: int):
-    """(id, v, cls, sk, t0, t1) of every row; cls is null for texts that are too short."""
+    """(id, v, cls, sk, t0, t1) of every row; cls, 128 bits of the word sequence, is null for texts that are too short."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -117,18 +119,16 @@ def _sketched(run: int, least_words: int):
         for batch in batches:
             n = batch.num_rows
             rows, starts, hashes, joined = word_runs(batch.column(2).to_pylist(), run, least_words)
-            cls, there = np.zeros(n, np.int64), np.zeros(n, bool)
+            cls: list[bytes | None] = [None] * n
             sk: list[bytes | None] = [None] * n
             t = np.zeros((n, 2), np.int64)
             if len(rows):
                 coordinates, test = sketch(starts, hashes)
-                cls[rows] = np.array([xxhash.xxh3_64_intdigest(j) for j in joined], np.uint64).view(np.int64)
-                there[rows] = True
                 t[rows] = test.view(np.int64)
-                for r, c in zip(rows, coordinates):
-                    sk[r] = c.tobytes()
+                for r, j, c in zip(rows.tolist(), joined, coordinates):
+                    cls[r], sk[r] = xxhash.xxh3_128_digest(j), c.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cls, mask=~there), pa.array(sk, pa.binary()), pa.array(t[:, 0]), pa.array(t[:, 1])], names=["id", "v", "cls", "sk", "t0", "t1"]
+                [batch.column(0), batch.column(1), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()), pa.array(t[:, 0]), pa.array(t[:, 1])], names=["id", "v", "cls", "sk", "t0", "t1"]
             )
 
     return work
@@ -244,13 +244,14 @@ def miss(thresholds: list[int], overlap: float, width: int = WIDTH) -> float:
     return out
 
 
-def thresholds(cost: dict[tuple[int, int], float], parts: int, overlap: float, options: list[int]) -> list[int]:
-    """The cheapest allocation whose chance to miss a pair at ``overlap`` is at most MISS, by raising the budget D + 1."""
+def thresholds(cost: dict[tuple[int, int], float], parts: int, overlap: float, options: list[int]) -> list[int] | None:
+    """The cheapest allocation whose chance to miss a pair at ``overlap`` is at most MISS, by raising the budget D + 1; None if
+    these options have no such allocation."""
     for budget in range(1, parts * (max(options) + 1) + 1):
         t = allocate(cost, parts, options, budget)
-        if miss(t, overlap) <= MISS:
+        if miss(t, overlap) + test_miss(overlap) <= MISS:
             return t
-    return [max(options)] * parts
+    return None
 
 
 def most_different_bits(overlap: float) -> int:
@@ -259,52 +260,127 @@ def most_different_bits(overlap: float) -> int:
     return int(TEST_BITS * p + 4.5 * math.sqrt(TEST_BITS * p * (1 - p)))
 
 
-def pairs(df: DataFrame, text: str, run: int = 5, overlap: float = 0.8, least_words: int = 30, key: str = "id", version: str = "scraped_at") -> tuple[DataFrame, DataFrame]:
+def test_miss(overlap: float) -> float:
+    """The chance that two sets of this overlap differ in more test bits than that."""
+    p = (1 - overlap) / 2
+    return sum(math.comb(TEST_BITS, d) * p**d * (1 - p) ** (TEST_BITS - d) for d in range(most_different_bits(overlap) + 1, TEST_BITS + 1))
+
+
+def heavy_keys(classes: DataFrame, probes: list[tuple[int, list[int], int]], n: int, block: int) -> dict[int, int]:
+    """Keys that more than about ``block`` classes share, with their number: at most HEAVY of one partition's choice.
+
+    A key is counted where a batch holds it more than twice its share of a heavy one's rows, so the count is a lower bound
+    and only keys that matter travel. Keys that are missed are joined like any other.
+    """
+    least = max(block, n // HEAVY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _coordinates(batch.column(0)) if batch.num_rows else np.empty((0, COORDINATES), np.uint16)
+            floor = max(2, batch.num_rows * least // max(1, 2 * n))
+            keys, counts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for p, columns, t in probes:
+                for h in probe_keys(x, p, columns, t).T:
+                    k, c = np.unique(h, return_counts=True)
+                    keys.append(k[c >= floor].view(np.int64))
+                    counts.append(c[c >= floor])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["k", "n"])
+
+    found = classes.select("sk").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > least)
+    return {r["k"]: r["n"] for r in found.collect()}  # HEAVY times the probes at most
+
+
+def pairs(df: DataFrame, text: str, run: int = 5, overlap: float = 0.8, least_words: int = 0, key: str = "id", version: str = "scraped_at") -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs of classes of texts whose overlap is at least ``overlap``, and the class of every record.
 
     links (a, b, overlap) with a < b; members (id, cls). The overlap is that of the sets of runs of ``run`` words, exact.
-    Null, empty and short texts are in no class; a key counts by its latest version. Columns beside those named play no part.
+    Null and empty texts and those of fewer than ``run`` or ``least_words`` words are in no class; a key counts by its latest
+    version. Columns beside those named play no part. Raises ValueError where no allocation finds pairs of so low an overlap
+    with a chance of 1 - MISS.
     """
-    spark = df.sparkSession
     source = df.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), version_of(version).alias("v"), F.col(text).alias("x"))
-    all_rows = stored(source.mapInArrow(_sketched(run, least_words), "id string, v timestamp, cls long, sk binary, t0 long, t1 long"), "sketches")
+    all_rows = stored(source.mapInArrow(_sketched(run, least_words), "id string, v timestamp, cls binary, sk binary, t0 long, t1 long"), "sketches")
     members = all_rows.groupBy("id").agg(F.max_by(F.struct("v", "cls"), "v").alias("s")).select("id", "s.v", "s.cls").where("cls IS NOT NULL")
     members = stored(members, "members")
     holder = members.groupBy("cls").agg(F.min(F.struct("id", "v")).alias("s")).select("cls", "s.id", "s.v")
-    classes = stored(all_rows.where("cls IS NOT NULL").select("id", "v", "sk", "t0", "t1").join(holder, ["id", "v"]).select("cls", "id", "v", "sk", "t0", "t1").dropDuplicates(["cls"]), "classes")
+    classes = all_rows.where("cls IS NOT NULL").select("id", "v", "sk", "t0", "t1").join(holder, ["id", "v"]).select("cls", "id", "v", "sk", "t0", "t1").dropDuplicates(["cls"])
+    classes = stored(classes.withColumn("c", F.monotonically_increasing_id()), "classes")  # c stands for the class in the join
     classes = spread(classes)
+    n = classes.count()
     parts = grouped_coordinates(correlations(classes))
     options = [0, 1]
     chosen = thresholds(estimates(classes, parts, options), len(parts), overlap, options)
+    if chosen is None:
+        options = list(range(WIDTH))
+        chosen = thresholds(estimates(classes, parts, options), len(parts), overlap, options)
+    if chosen is None:
+        raise ValueError(f"pairs of overlap {overlap} cannot be found with a chance of {1 - MISS}")
+    probes = [(p, columns, t) for p, (columns, t) in enumerate(zip(parts, chosen)) if t >= 0]
+    heavy = heavy_keys(classes, probes, n, BLOCK)
+    heavy_names = np.array(sorted(heavy), np.int64)
+    blocks = np.array([-(-heavy[k] // BLOCK) for k in heavy_names.tolist()], np.int64)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each key that is not heavy."""
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             x = _coordinates(batch.column(1))
-            for p, (columns, t) in enumerate(zip(parts, chosen)):
-                if t < 0:
-                    continue
+            for p, columns, t in probes:
                 for h in probe_keys(x, p, columns, t).T:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(h).view(np.int64)), batch.column(0), batch.column(2), batch.column(3)], names=["k", "cls", "t0", "t1"])
+                    k = np.ascontiguousarray(h).view(np.int64)
+                    out = pa.RecordBatch.from_arrays([pa.array(k), batch.column(0), batch.column(2), batch.column(3)], names=["k", "c", "t0", "t1"])
+                    yield out.filter(pa.array(~np.isin(k, heavy_names))) if len(heavy_names) else out
 
-    keys = classes.select("cls", "sk", "t0", "t1").mapInArrow(probe, "k long, cls long, t0 long, t1 long")
+    def probe_heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row (k, i, j, left) for each heavy key and each pair i <= j of its blocks that the class's block is in; on the diagonal both sides."""
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x, c = _coordinates(batch.column(1)), batch.column(0).to_numpy()
+            for p, columns, t in probes:
+                for h in probe_keys(x, p, columns, t).T:
+                    k = np.ascontiguousarray(h).view(np.int64)
+                    rows = np.flatnonzero(np.isin(k, heavy_names))
+                    if not len(rows):
+                        continue
+                    of = blocks[np.searchsorted(heavy_names, k[rows])]
+                    own = (mix(c[rows].astype(np.uint64)) % of.astype(np.uint64)).astype(np.int64)
+                    r = np.repeat(np.arange(len(rows)), of + 1)  # with every block once, with its own twice
+                    other = np.arange(len(r)) - np.repeat(np.cumsum(of + 1) - of - 1, of + 1)
+                    again = other == of[r]
+                    other = np.where(again, own[r], other)
+                    left = np.where(again, True, other > own[r])
+                    at = pa.array(rows[r])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(k[rows[r]]), pa.array(np.minimum(own[r], other)), pa.array(np.maximum(own[r], other)), pa.array(left), *[batch.column(q).take(at) for q in (0, 2, 3)]],
+                        names=["k", "i", "j", "left", "c", "t0", "t1"],
+                    )
+
+    keys = classes.select("c", "sk", "t0", "t1").mapInArrow(probe, "k long, c long, t0 long, t1 long")
     limit = most_different_bits(overlap)
     l, r = keys.alias("l"), keys.alias("r")
     apart = F.bit_count(F.col("l.t0").bitwiseXOR(F.col("r.t0"))) + F.bit_count(F.col("l.t1").bitwiseXOR(F.col("r.t1")))
-    met = l.join(r, (F.col("l.k") == F.col("r.k")) & (F.col("l.cls") < F.col("r.cls")) & (apart <= limit))
-    candidates = stored(met.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b")).distinct(), "candidates")
+    met = l.join(r, (F.col("l.k") == F.col("r.k")) & (F.col("l.c") < F.col("r.c")) & (apart <= limit))
+    met = met.select(F.col("l.c").alias("a"), F.col("r.c").alias("b"))
+    if heavy:
+        tiles = classes.select("c", "sk", "t0", "t1").mapInArrow(probe_heavy, "k long, i long, j long, left boolean, c long, t0 long, t1 long")
+        l, r = tiles.where("left").alias("l"), tiles.where("NOT left").alias("r")
+        same = [F.col(f"l.{x}") == F.col(f"r.{x}") for x in ("k", "i", "j")]
+        across = l.join(r, [*same, (F.col("l.i") < F.col("l.j")) | (F.col("l.c") < F.col("r.c")), apart <= limit])
+        met = met.union(across.select(F.least("l.c", "r.c").alias("a"), F.greatest("l.c", "r.c").alias("b")))
+    candidates = stored(met.distinct(), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, starts, hashes, _ = word_runs(batch.column(1).to_pylist(), run, least_words)
             s = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(hashes.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), s], names=["cls", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), s], names=["c", "s"])
 
-    wanted = classes.join(candidates.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls", "left_semi").select("cls", "id", "v")
-    texts = source.join(wanted, ["id", "v"]).select("cls", "x").dropDuplicates(["cls"])
-    held = stored(texts.mapInArrow(sets, "cls long, s array<long>"), "sets")
-    both = candidates.join(held.select(F.col("cls").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("cls").alias("b"), F.col("s").alias("sb")), "b")
+    wanted = classes.join(candidates.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "c", "left_semi").select("c", "id", "v")
+    texts = source.join(wanted, ["id", "v"]).select("c", "x").dropDuplicates(["c"])
+    held = stored(texts.mapInArrow(sets, "c long, s array<long>"), "sets")
+    both = candidates.join(held.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,11 +396,16 @@ def pairs(df: DataFrame, text: str, run: int = 5, overlap: float = 0.8, least_wo
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(o).take(keep)], names=["a", "b", "overlap"])
 
     links = both.select("a", "b", "sa", "sb").mapInArrow(verify, "a long, b long, overlap double")
+    name = lambda side: classes.select(F.col("c").alias(side), F.col("cls").alias(f"{side}_"))
+    links = links.join(name("a"), "a").join(name("b"), "b").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"), "overlap")
     return links, members.select("id", "cls")
 
 
 def record_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b): all pairs of records, id_a < id_b, of linked classes or of one class."""
+    """(id_a, id_b): all pairs of records, id_a < id_b, of linked classes or of one class.
+
+    As many rows as there are pairs; ``links`` and ``members`` say the same in a bounded form.
+    """
     x, y = members.select(F.col("id").alias("x"), F.col("cls").alias("a")), members.select(F.col("id").alias("y"), F.col("cls").alias("b"))
     across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     several = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select("cls")

@@ -17,12 +17,19 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.llm.cap import positions
+from murmur.operators.skew import skew_join
+from murmur.sources.shared import stored
+
 #: Values of a level before it is compacted; chance that a stated bound fails; values gathered between compactions.
 K, DELTA, CHUNK = 512, 1e-9, 400_000
 
+#: Names of groups in doubt are sent to every task up to this number; beyond it they are joined.
+BROADCAST_GROUPS = 1_000_000
+
 STATE = "level int, vals array<double>, var double"
 
 
@@ -204,17 +211,23 @@ def exact_percentiles(df: DataFrame, group: str, wanted: DataFrame) -> DataFrame
 
     ``df``: (group, metric, value). ``wanted``: (group, metric, p, lo, hi) with lo and hi around the
     percentile. Values below lo are only counted; those between lo and hi, a share of about twice the rank
-    error, are ranked. Result: (group, metric, p, exact); null if a bound missed.
+    error, are ranked by a global sort, so no task holds a group. Result: (group, metric, p, exact); null if a bound missed.
     """
-    w = wanted.select(F.col(group).alias("_g"), F.col("metric").alias("_m"), "p", "lo", "hi")
+    keys = ["g", "m"]
+    w = wanted.select(F.col(group).alias("g"), F.col("metric").alias("m"), "p", "lo", "hi")
+    names = w.select(*keys).distinct()
+    if names.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        names = F.broadcast(names)
     rows = df.select(F.col(group).alias("g"), F.col("metric").alias("m"), F.col("value").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    near = rows.join(w, (F.col("g") == F.col("_g")) & (F.col("m") == F.col("_m")))
-    per = near.groupBy("g", "m", "p").agg(F.count("*").alias("n"), F.count_if(F.col("v") < F.col("lo")).alias("below"))
-    inside = near.where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).select("g", "m", "p", "v")
-    place = F.row_number().over(Window.partitionBy("g", "m", "p").orderBy("v"))
-    picked = inside.withColumn("i", place).join(per, ["g", "m", "p"]).withColumn("h", F.col("p") * (F.col("n") - 1)).withColumn("rank", F.col("below") + F.col("i") - 1)
+    rows = stored(rows.join(names, keys, "left_semi"), "values")
+    counts = stored(rows.groupBy(*keys).agg(F.count("*").alias("n")), "counts")
+    below = skew_join(rows, w, keys, counts).groupBy(*keys, "p", "lo", "hi").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
+    asked = stored(below.join(counts, keys), "asked")  # one row a percentile wanted
+    inside = skew_join(rows, asked, keys, counts).where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).select(*keys, "p", "below", "n", "v")
+    ranked = positions(inside, [*keys, "p"], [F.col("v").asc()], "inside").withColumn("h", F.col("p") * (F.col("n") - 1)).withColumn("i", F.col("below") + F.col("rank") - 1)
     first, second = F.floor("h"), F.least(F.floor("h") + 1, F.col("n") - 1)
-    out = picked.groupBy("g", "m", "p", "h").agg(F.max(F.when(F.col("rank") == first, F.col("v"))).alias("a"), F.max(F.when(F.col("rank") == second, F.col("v"))).alias("b"))
+    picked = ranked.where((F.col("i") == first) | (F.col("i") == second))
+    out = picked.groupBy("g", "m", "p", "h").agg(F.max(F.when(F.col("i") == first, F.col("v"))).alias("a"), F.max(F.when(F.col("i") == second, F.col("v"))).alias("b"))
     return out.select(F.col("g").alias(group), F.col("m").alias("metric"), "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("exact"))
 
 
@@ -226,8 +239,6 @@ def score_shapes(df: DataFrame, group: str, score: str, baseline: str, least: in
     count; a group without a baseline has no drift. Sketches decide where their bounds leave no doubt; the few
     groups in doubt are decided by exact selection within those bounds.
     """
-    from murmur.sources.shared import stored
-
     found = percentiles(sketches(df, group, [score, baseline], k), group, [0.5, 0.9], k)
     mine, base = F.col("metric") == score, F.col("metric") == baseline
     ends = {"m": (mine, 0), "t": (mine, 1), "b": (base, 0)}
@@ -240,6 +251,8 @@ def score_shapes(df: DataFrame, group: str, score: str, baseline: str, least: in
     doubt = "((maybe_tail AND NOT yes_tail) OR (maybe_drift AND NOT yes_drift))"
     listed = lambda marks: F.explode(F.filter(F.array(*[F.when(f, F.lit(x)) for x, f in marks.items()]), lambda x: x.isNotNull())).alias("kind")
     sure = b.where(f"NOT {doubt}").select(group, listed({x: F.col(f"yes_{x}") for x in yes}))
+    if b.where(doubt).limit(1).count() == 0:
+        return sure
     asked = F.array(*[F.struct(F.lit(score if name != "b" else baseline).alias("metric"), F.lit(0.9 if name == "t" else 0.5).alias("p"), F.col(f"{name}0").alias("lo"), F.col(f"{name}1").alias("hi")) for name in ends])
     wanted = b.where(doubt).select(group, F.explode(asked).alias("w")).select(group, "w.*").where("lo IS NOT NULL")
     values = df.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), _number(c).alias("value")) for c in (score, baseline)])).alias("e")).select(group, "e.*")

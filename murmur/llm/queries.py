@@ -28,11 +28,20 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return neardup.record_pairs(*neardup.pairs(spread(table(spark, sf, "posts")), "content", run=3, overlap=0.6, least_words=30))
 
 
-def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
-    """Every usable post with the class of its word sequence and the class's links, by the default of five words and 0.8."""
-    links, members = neardup.pairs(spread(table(spark, sf, "posts")), "content")
+def _classes(links: DataFrame, members: DataFrame) -> DataFrame:
+    """(post_id, class_id, links): one row a post with its class and the number of classes linked to that."""
     ends = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    return members.join(ends, "cls", "left").select(F.col("id").alias("post_id"), F.col("cls").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return members.join(ends, "cls", "left").select(F.col("id").alias("post_id"), F.lower(F.hex("cls")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def p2_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """What p2_found says, without one row for every pair of copies."""
+    return _classes(*neardup.pairs(spread(table(spark, sf, "posts")), "content", run=3, overlap=0.6, least_words=30))
+
+
+def p2_five_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Every post of five words or more, by the default of five words and 0.8."""
+    return _classes(*neardup.pairs(spread(table(spark, sf, "posts")), "content"))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,7 +123,7 @@ def p10_languages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (p1_found, p2_found, p2_classes, p3_found, p4_found, p4_clusters, p4_text_clusters, p6_found, p6_percentiles, p7_found, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_segments, p10_languages)
+    found = (p1_found, p2_found, p2_classes, p2_five_words, p3_found, p4_found, p4_clusters, p4_text_clusters, p6_found, p6_percentiles, p7_found, p8_ids, p9_found, p9_mixture, p9_shares, p10_found, p10_segments, p10_languages)
     return {f.__name__: f for f in found}
 
 

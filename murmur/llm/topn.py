@@ -11,33 +11,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows gathered before a partition is reduced to its N best of every group.
+#: New rows gathered before a partition is reduced to its N best of every group.
 CHUNK = 200_000
 
 
-def _local_best(n: int):
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["g", "ns", "t"], kind="stable")
-        return frame[(frame.groupby("g", sort=False).cumcount() < n).to_numpy()]
+def _best(rows: pa.Table, n: int) -> tuple[pa.Table, np.ndarray]:
+    """The rows sorted by group with at most ``n`` of each, and which of them is a group's n-th."""
+    rows = rows.combine_chunks().sort_by([("g", "ascending"), ("ns", "ascending"), ("t", "ascending")])
+    g = rows.column("g").combine_chunks().dictionary_encode()
+    codes = (g.combine_chunks() if isinstance(g, pa.ChunkedArray) else g).indices.to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]]) if len(codes) else np.empty(0, np.int64)
+    place = np.arange(len(codes)) - np.repeat(first, np.diff(np.r_[first, len(codes)]))
+    kept = place < n
+    return rows.filter(pa.array(kept)), place[kept] == n - 1
+
 
+def _local_best(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
+        held: list[pa.Table] = []
+        rows = reduced = 0
         for batch in batches:
-            held.append(batch.to_pandas())
+            held.append(pa.Table.from_batches([batch]))
             rows += batch.num_rows
-            if rows > CHUNK:
-                held = [best(pd.concat(held))]
-                rows = max(0, len(held[0]) - CHUNK)  # distinct groups alone may exceed the chunk
+            # as many new rows as are held: every row is sorted a bounded number of times on average
+            if rows >= max(CHUNK, reduced):
+                held = [_best(pa.concat_tables(held), n)[0]]
+                rows, reduced = 0, held[0].num_rows
         if not held:
             return
-        frame = best(pd.concat(held))
-        last = (frame.groupby("g", sort=False).cumcount() == n - 1).to_numpy()
-        yield pa.RecordBatch.from_pandas(frame.assign(bound=last), preserve_index=False)
+        kept, last = _best(pa.concat_tables(held), n)
+        yield from kept.append_column("bound", pa.array(last)).to_batches(max_chunksize=CHUNK)
 
     return run
 

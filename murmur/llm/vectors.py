@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmur.functions.dense import unit, unpack
 from murmur.operators.versions import version_of
 from murmur.sources.shared import stored
 
-#: Keys of rows to leave out are sent to every executor up to this number (8 bytes each); beyond it they are joined.
+#: Keys of rows to leave out are sent to every executor up to this number (16 bytes each); beyond it they are joined.
 BROADCAST_KEYS = 1_000_000
 #: Vectors used to place the cells: a bounded sample by hash of id, at most this many and this many a cell.
 SAMPLE, PER_CELL = 65_536, 128
@@ -24,44 +25,18 @@ SAMPLE, PER_CELL = 65_536, 128
 MOST_CELLS = 16_384
 
 
-def unpack(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, matrix): indices of the usable vectors of an array column and the vectors as float32.
-
-    Usable: exactly ``dim`` numbers, none of them null, NaN or infinite, not all zero.
-    """
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    n = len(column)
-    if n == 0:
-        return np.empty(0, np.int64), np.empty((0, dim), np.float32)
-    offsets = column.offsets.to_numpy()
-    right = (np.diff(offsets) == dim) & column.is_valid().to_numpy(zero_copy_only=False)
-    rows = np.flatnonzero(right)
-    values = column.values
-    flat = values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)  # nulls become NaN
-    x = flat[offsets[rows][:, None] + np.arange(dim)] if len(rows) else np.empty((0, dim), np.float32)
-    good = np.isfinite(x).all(1) & (x != 0).any(1)
-    return rows[good], np.ascontiguousarray(x[good])
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length one, in double precision."""
-    x = x.astype(np.float64)
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
-
-
-def vector_hash(x: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row's bytes; negative zero equals zero."""
+def vector_hash(x: np.ndarray) -> list[bytes]:
+    """A 128-bit hash of each row's bytes; negative zero equals zero."""
     import xxhash
 
     x = x + np.float32(0.0)
     width = x.shape[1] * 4
     data = memoryview(x.tobytes())
-    return np.array([xxhash.xxh64_intdigest(data[i : i + width]) for i in range(0, len(data), width)], np.uint64).view(np.int64)
+    return [xxhash.xxh3_128_digest(data[i : i + width]) for i in range(0, len(data), width)]
 
 
 def keys(df: DataFrame, fields: dict[str, int], key: str = "id", version: str = "scraped_at", text: str | None = None, least_words: int = 30) -> DataFrame:
-    """(id, version, h0, h1, ..., c): hashes of each row's usable vectors, null where there is none.
+    """(id, version, h0, h1, ..., c): 128-bit hashes of each row's usable vectors, null where there is none.
 
     ``c`` is the hash of the text without white space at its ends, null for texts of fewer than ``least_words``
     words; only with ``text``.
@@ -77,33 +52,34 @@ def keys(df: DataFrame, fields: dict[str, int], key: str = "id", version: str =
             n, out = batch.num_rows, [batch.column(0), batch.column(1)]
             for i, dim in enumerate(dims):
                 rows, x = unpack(batch.column(2 + i), dim)
-                h, there = np.zeros(n, np.int64), np.zeros(n, bool)
-                h[rows], there[rows] = vector_hash(x), True
-                out.append(pa.array(h, mask=~there))
+                h: list[bytes | None] = [None] * n
+                for r, digest in zip(rows.tolist(), vector_hash(x)):
+                    h[r] = digest
+                out.append(pa.array(h, pa.binary()))
             if text is not None:
-                c: list[int | None] = []
+                c: list[bytes | None] = []
                 for t in batch.column(2 + len(dims)).to_pylist():
                     t = t.strip() if t else ""
                     enough = bool(t) and sum(1 for _ in zip(range(least_words), word.finditer(t.lower()))) == least_words
-                    c.append(xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) if enough else None)
-                out.append(pa.array(c, pa.int64()))
+                    c.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) if enough else None)
+                out.append(pa.array(c, pa.binary()))
             yield pa.RecordBatch.from_arrays(out, names=["id", "v", *[f"h{i}" for i in range(len(dims))], *["c"] * (text is not None)])
 
     columns = [F.col(key).alias("id"), version_of(version).alias("v"), *[F.col(f).cast("array<float>") for f in fields], *([F.col(text)] if text is not None else [])]
-    schema = "id string, v timestamp, " + ", ".join(f"h{i} long" for i in range(len(dims))) + (", c long" if text is not None else "")
+    schema = "id string, v timestamp, " + ", ".join(f"h{i} binary" for i in range(len(dims))) + (", c binary" if text is not None else "")
     return df.where(F.col(key).isNotNull()).select(*columns).mapInArrow(run, schema)
 
 
-def row_key(field: int) -> Column:
-    """The 64-bit key of a stored row of one field."""
-    return F.xxhash64(F.lit(field), F.col("id"), F.col("v"))
+def row_key(field: int) -> list[Column]:
+    """The 128-bit key of a stored row of one field."""
+    return [F.xxhash64(F.lit(field), F.col("id"), F.col("v")).alias("k0"), F.xxhash64(F.col("v"), F.col("id"), F.lit(~field)).alias("k1")]
 
 
 def without(df: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose ``k`` is not in ``excluded`` (k): broadcast while small (checked), joined beyond that."""
+    """Rows of ``df`` whose (k0, k1) is not in ``excluded``: broadcast while small (checked), joined beyond that."""
     if excluded.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         excluded = F.broadcast(excluded)
-    return df.join(excluded, "k", "left_anti")
+    return df.join(excluded, ["k0", "k1"], "left_anti")
 
 
 def vectors(df: DataFrame, field: str, number: int, classes: DataFrame, every: DataFrame, key: str = "id", version: str = "scraped_at") -> DataFrame:
@@ -111,10 +87,10 @@ def vectors(df: DataFrame, field: str, number: int, classes: DataFrame, every: D
 
     ``every``: (id, v) of all rows with a usable vector; ``classes``: (id, v) of those that stand for a class.
     """
-    keyed = lambda d: d.select(row_key(number).alias("k"))
-    excluded = stored(keyed(every).distinct().join(keyed(classes), "k", "left_anti"), f"excluded{number}")
+    keyed = lambda d: d.select(*row_key(number))
+    excluded = stored(keyed(every).distinct().join(keyed(classes), ["k0", "k1"], "left_anti"), f"excluded{number}")
     rows = df.where(F.col(key).isNotNull() & F.col(field).isNotNull()).select(F.col(key).alias("id"), version_of(version).alias("v"), F.col(field).cast("array<float>").alias("x"))
-    return without(rows.withColumn("k", row_key(number)), excluded).select("id", "x")
+    return without(rows.select("*", *row_key(number)), excluded).select("id", "x")
 
 
 def raw_vectors(rows: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:

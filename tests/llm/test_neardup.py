@@ -92,3 +92,39 @@ def test_pigeonhole_never_misses():
         b[0, at] ^= 1
         hit = any(set(nd.probe_keys(a, p, c, t)[0]) & set(nd.probe_keys(b, p, c, t)[0]) for p, (c, t) in enumerate(zip(parts, chosen)) if t >= 0)
         assert hit
+
+
+def test_heavy_keys_are_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    monkeypatch.setattr(nd, "HEAVY", 40)
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(80)]
+    data = []
+    for k in range(150):  # one text's edits are half of all
+        other = list(base)
+        for _ in range(int(rng.integers(1, 6))):
+            other[int(rng.integers(0, 80))] = f"e{rng.integers(0, 9999)}"
+        data.append((f"h{k:03d}", " ".join(other)))
+    data += texts(40, seed=9)
+    df = spark.createDataFrame([(i, t, T[0]) for i, t in data], SCHEMA)
+    seen = []
+    real = nd.heavy_keys
+    monkeypatch.setattr(nd, "heavy_keys", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = {tuple(r) for r in nd.record_pairs(*nd.pairs(df, "content", run=3, overlap=0.6, least_words=30)).collect()}
+    want = overlaps(data, 3, 0.6)
+    assert seen[0] and max(seen[0].values()) > 48
+    assert got <= want and len(got) >= 0.99 * len(want)
+
+
+def test_low_overlaps_have_an_allocation_or_raise():
+    cost = {(p, t): 1.0 for p in range(28) for t in range(4)}
+    assert nd.thresholds(cost, 28, 0.2, [0, 1]) is None
+    t = nd.thresholds(cost, 28, 0.2, [0, 1, 2, 3])
+    assert nd.miss(t, 0.2) <= nd.MISS
+    assert nd.test_miss(0.6) < 1e-4
+
+
+def test_short_texts_count_by_default(spark):
+    df = spark.createDataFrame([("a", "one two three four five", T[0]), ("b", "One, two three four FIVE", T[0]), ("c", "one two three four", T[0])], SCHEMA)
+    links, members = nd.pairs(df, "content")
+    assert nd.record_pairs(links, members).collect() == [("a", "b")]

@@ -120,3 +120,46 @@ def test_shapes_in_doubt_are_decided_exactly(spark):
     df = spark.createDataFrame(data, "a string, s double, b double").repartition(4)
     assert {tuple(r) for r in quantiles.score_shapes(df, "a", "s", "b", k=128).collect()} == want
     assert quantiles.score_shapes(df.limit(0), "a", "s", "b").count() == 0
+
+
+def test_local_bests_take_linear_time():
+    """A million groups in one partition, each once: sorted a bounded number of times."""
+    import time
+
+    import pyarrow as pa
+
+    def took(n):
+        g = np.random.default_rng(1).permutation(n)
+        made = [pa.RecordBatch.from_arrays([pa.array([f"a{x}" for x in p]), pa.array(-(p % 97).astype(float)), pa.array([f"p{x}" for x in p])], names=["g", "ns", "t"]) for p in np.array_split(g, n // 10_000)]
+        began = time.perf_counter()
+        assert sum(b.num_rows for b in topn._local_best(5)(iter(made))) == n
+        return time.perf_counter() - began
+
+    took(100_000)
+    assert took(1_000_000) < 30
+
+
+def test_a_contributor_over_many_partitions(spark):
+    """One contributor holds most rows; ranks go on over the ends of the sort's partitions."""
+    data = [("hot", f"i{k:05d}", float(k % 50)) for k in range(5000)] + [(f"c{k}", "x", 1.0) for k in range(40)]
+    df = spark.createDataFrame(data, "a string, id string, q double").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # keeps all partitions of the sort
+    try:
+        got = {(r["a"], r["id"]): (r["rank"], r["total"]) for r in cap.ranked_contributors(df, "a", "q", "id").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    hot = sorted((x for x in data if x[0] == "hot"), key=lambda x: (-x[2], x[1]))
+    assert [got["hot", i][0] for _, i, _ in hot] == list(range(1, 5001))
+    assert all(got[a, "x"] == (1, 1) for a, *_ in data[5000:]) and got["hot", "i00000"][1] == 5000
+
+
+def test_selection_in_a_hot_group(spark, monkeypatch):
+    from murmur.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 100)
+    x = np.random.default_rng(8).lognormal(3, 2, 20_000)
+    df = spark.createDataFrame([("hot", "s", float(v)) for v in x] + [("cold", "s", 1.0), ("cold", "s", 3.0), ("other", "s", 9.0)], "g string, metric string, value double").repartition(6)
+    ends = [(0.5, float(np.quantile(x, 0.45)), float(np.quantile(x, 0.55))), (0.9, float(np.quantile(x, 0.85)), float(np.quantile(x, 0.95)))]
+    wanted = spark.createDataFrame([("hot", "s", *e) for e in ends] + [("cold", "s", 0.5, 1.0, 3.0)], "g string, metric string, p double, lo double, hi double")
+    got = {(r["g"], r["p"]): r["exact"] for r in quantiles.exact_percentiles(df, "g", wanted).collect()}
+    assert got == {("hot", 0.5): pytest.approx(np.quantile(x, 0.5)), ("hot", 0.9): pytest.approx(np.quantile(x, 0.9)), ("cold", 0.5): 2.0}
