@@ -119,19 +119,22 @@ def cuts(text: str) -> list[int]:
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, a, b, h): place and hash of every chunk."""
+    """(d, a, b, h, safe, after): place and hash of every chunk; the cut at ``a`` (``safe``) or ``b`` (``after``) needs no repair."""
     import xxhash
 
     for batch in batches:
         kept = [(i, t) for i, t in enumerate(batch.column(1).to_pylist()) if t]
-        rows, first, last, hashes = [], [], [], []
+        rows, first, last, hashes, safe, after = [], [], [], [], [], []
         for (i, text), at in zip(kept, cuts_of([t for _, t in kept])):
             ends = [0, *at.tolist(), len(text)]
             rows += [i] * (len(ends) - 1)
             first += ends[:-1]
             last += ends[1:]
+            sure = [True, *(text[a] == " " for a in ends[1:-1]), True]  # only safe spaces are cut, beside dense scripts
+            safe += sure[:-1]
+            after += sure[1:]
             hashes += [xxhash.xxh3_128_digest(text[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(ends, ends[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes, pa.binary())], names=["d", "a", "b", "h"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(hashes, pa.binary()), pa.array(safe, pa.bool_()), pa.array(after, pa.bool_())], names=["d", "a", "b", "h", "safe", "after"])
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -170,34 +173,22 @@ def _first(folder: str, name: str):
 
 
 def _around(folder: str, name: str):
-    """(d, a, safe, h, ids) of a text's pieces in between and of its repeated chunks, whose ids are not known here.
-
-    ``safe``: the cut at ``a`` is one that needs no repair.
-    """
+    """(d, a, safe, ids) of a text's stretches between its repeated chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, _ = tokenizer(folder, name)
         for batch in batches:
-            rows, at, safe, hashes, ids = [], [], [], [], []
+            rows, at, safe, ids = [], [], [], []
             for i, (text, places) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                known = set(safe_places(_points(text)).tolist())
-                done = 0
-                for p in [*sorted(places, key=lambda p: p["a"]), {"a": len(text), "b": len(text), "h": None}]:
+                done, sure = 0, True
+                for p in [*sorted(places, key=lambda p: p["a"]), {"a": len(text), "b": len(text), "after": True}]:
                     if p["a"] > done:
                         rows.append(i)
                         at.append(done)
-                        hashes.append(None)
+                        safe.append(sure)
                         ids.append(_packed(t.encode_ordinary(text[done : p["a"]])))
-                    if p["h"] is not None:
-                        rows.append(i)
-                        at.append(p["a"])
-                        hashes.append(p["h"])
-                        ids.append(None)
-                    done = p["b"]
-                safe += [a == 0 or a in known for a in at[len(safe) :]]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(safe, pa.bool_()), pa.array(hashes, pa.binary()), pa.array(ids, pa.binary())], names=["d", "a", "safe", "h", "ids"]
-            )
+                    done, sure = p["b"], p["after"]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(safe, pa.bool_()), pa.array(ids, pa.binary())], names=["d", "a", "safe", "ids"])
 
     return run
 
@@ -262,17 +253,17 @@ def corpus_ids(df: DataFrame, key: str, text: str, folder: str = TOKENIZERS, nam
     """
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).alias("d"), F.col(text).alias("x"))
     kind = dict(rows.dtypes)["d"]
-    chunks = stored(rows.mapInArrow(_marked, f"d {kind}, a int, b int, h binary"), "chunks")
+    chunks = stored(rows.mapInArrow(_marked, f"d {kind}, a int, b int, h binary, safe boolean, after boolean"), "chunks")
     repeated = stored(chunks.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("d", "a")).alias("one")).where("n > 1"), "repeated")
     places = skew_join(chunks, repeated.select("h", "one"), ["h"], repeated.select("h", "n"))
-    places = places.select("d", "a", "b", "h", ((F.col("d") == F.col("one.d")) & (F.col("a") == F.col("one.a"))).alias("first"))
-    lists = stored(places.groupBy("d").agg(F.collect_list(F.struct("a", "b", "h", "first")).alias("p")), "places")  # as long as its text
+    places = stored(places.withColumn("first", (F.col("d") == F.col("one.d")) & (F.col("a") == F.col("one.a"))).drop("one"), "places")
+    lists = places.groupBy("d").agg(F.collect_list(F.struct("a", "b", "h", "first", "after")).alias("p"))  # as long as its text
     both = rows.join(lists, "d", "left").select("d", "x", "p")
     alone, others = both.where("p IS NULL"), both.where("p IS NOT NULL")
     first = others.where(F.exists("p", lambda p: p["first"])).mapInArrow(_first(folder, name), "h binary, ids binary")
-    pieces = others.mapInArrow(_around(folder, name), f"d {kind}, a int, safe boolean, h binary, ids binary")
-    filled = skew_join(pieces.where("h IS NOT NULL").select("d", "a", "safe", "h"), first, ["h"], repeated.select("h", "n"))
-    parts = pieces.where("h IS NULL").select("d", "a", "safe", "ids").unionByName(filled.select("d", "a", "safe", "ids"))
+    pieces = others.mapInArrow(_around(folder, name), f"d {kind}, a int, safe boolean, ids binary")
+    filled = skew_join(places.select("d", "a", "safe", "h"), first, ["h"], repeated.select("h", "n"))
+    parts = pieces.unionByName(filled.select("d", "a", "safe", "ids"))
     made = parts.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("a", "safe", "ids"))).alias("p")).mapInArrow(_assembled(folder, name), f"d {kind}, ids array<int>")
     return alone.select("d", "x").mapInArrow(_whole(folder, name), f"d {kind}, ids array<int>").union(made).select(F.col("d").alias(key), "ids")
 
