@@ -26,13 +26,16 @@ LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "ja")
 TRAIN_DOCS, TRAIN_CHARS = 400, 20_000
 #: Cells of the hashed trigrams.
 CELLS = 1 << 18
-#: Symbols of an automaton's alphabet: the most frequent letters; 0 is any other.
-SYMBOLS = 64
+#: Columns of an automaton's table: the most frequent characters of its text; edges by all others are in a sorted list. Symbol 0 is
+#: a character that the text does not hold.
+COLUMNS = 64
+#: Sentences, and characters of their table, that are parsed in step.
+ROWS, CELLS_AT_ONCE = 16_384, 4_000_000
 #: A sentence has at least so many letters (or so many of a script without spaces) and so many words.
 LETTERS, DENSE_LETTERS, WORDS = 10, 5, 3
-#: Characters of a stretch that is parsed at once.
-STRETCH = 2000
-#: A sentence with more pieces a character is in none of the languages; one must be this much ahead to count beside the main language.
+#: Characters of a stretch that is parsed at once, documents whose sentences are parsed together.
+STRETCH, AT_ONCE = 2000, 4000
+#: A sentence with more pieces a character is in none of the languages (nor is it parsed by those that lack so many of its characters); one must be this much ahead to count beside the main language.
 MOST_PIECES, AHEAD = 0.5, 0.2
 
 #: Spellings of the languages in labels: codes of three letters and names (fixed values).
@@ -58,18 +61,25 @@ def canonical(label: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _patterns():
-    """What is taken out where a text holds one of some characters, sentence ends, apostrophes outside words, gaps, numbers, dense scripts."""
+    """What is taken out where a text holds one of some strings, sentence ends, apostrophes outside words, what parts words, numbers,
+    dense scripts, and texts without combining marks, for which the first of the two word patterns does."""
+    import re
+
     import regex
 
     noise = [
-        ("`<", regex.compile(r"```.*?```|`[^`\n]*`|<[^>\n]*>", regex.S)),
-        ("&", regex.compile(r"&#?\w+;")),
-        ("/.", regex.compile(r"(?:https?://|www\.)\S+")),
-        ("@#", regex.compile(r"[^\s@]+@[^\s@]+\.\w+|[@#][\p{L}\p{N}_.\-]+")),
-        ("\u200b\ufeff\u00ad", regex.compile("[\u200b\ufeff\u00ad]")),
+        (("`", "<"), " ", re.compile(r"```.*?```|`[^`\n]*`|<[^>\n]*>", re.S)),
+        (("&",), " ", re.compile(r"&#?\w+;")),
+        (("://", "www."), " ", re.compile(r"(?:https?://|www\.)\S+")),
+        (("@", "#"), " ", regex.compile(r"[^\s@]+@[^\s@]+\.\w+|[@#][\p{L}\p{N}_.\-]+")),
+        (("\u200b", "\ufeff", "\u00ad"), "", re.compile("[\u200b\ufeff\u00ad]")),
     ]
-    end = regex.compile(r"(?<=[.!?…。！？]['\"»”’)」』]*)\s+|(?<=[。！？][」』»”]*)(?=\S)|\s*\n+\s*|\s*[«»„“”「」]\s*")
-    return noise, end, regex.compile(r"(?<!\p{L})'|'(?!\p{L})"), regex.compile(r"[^\p{L}\p{M}\p{N}'\n]+"), regex.compile(r"\p{N}+"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+    end = re.compile(r"""[.!?…。！？]['"»”’)」』]*\s+|[。！？]['"»”’)」』]*|[«»„“”「」]""")
+    plain = re.compile("[\x00-\u02ff\u0370-\u0482\u048a-\u058f\u1e00-\u20cf\u2100-\u2cee\u3000-\u3029\u3030-\u3098\u309b-\ua66e\uac00-\ud7ff\uff00-\uffff]*")
+    gap = (re.compile(r"(?:[^\w'\n]|_)+"), regex.compile(r"[^\p{L}\p{M}\p{N}'\n]+"))
+    loose = (re.compile(r"(?<![^\W\d_])'|'(?![^\W\d_])"), regex.compile(r"(?<!\p{L})'|'(?!\p{L})"))
+    number = (re.compile(r"\d+"), regex.compile(r"\p{N}+"))
+    return noise, end, loose, gap, number, regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]"), plain
 
 
 def sentences(text: str | None) -> list[tuple[str, bool]]:
@@ -79,61 +89,102 @@ def sentences(text: str | None) -> list[tuple[str, bool]]:
     """
     if not text:
         return []
-    noise, end, loose, gap, number, dense = _patterns()
-    if max(text) >= "\uff00":  # letters in bold, script or full width are plain ones
+    noise, end, loose, gap, number, dense, plain_text = _patterns()
+    ascii_ = text.isascii()
+    if not ascii_ and max(text) >= "\uff00":  # letters in bold, script or full width are plain ones
         text = unicodedata.normalize("NFKC", text)
-    for marks, pattern in noise:
+    for marks, instead, pattern in noise:
         if any(m in text for m in marks):
-            text = pattern.sub("" if marks[0] == "\u200b" else " ", text)
+            text = pattern.sub(instead, text)
     text = end.sub("\n", text.lower())
+    way = 0 if ascii_ or plain_text.fullmatch(text) else 1
     if "'" in text:
-        text = loose.sub(" ", text)
+        text = loose[way].sub(" ", text)
+    text = number[0 if ascii_ else 1].sub("0", gap[way].sub(" ", text))
     out = []
-    for plain in number.sub("0", gap.sub(" ", text)).split("\n"):
+    for plain in text.split("\n"):
         plain = plain.strip()
-        words = plain.split(" ")
-        letters = len(plain) - len(words) + 1 - plain.count("0") - plain.count("'")
-        if plain and letters > 0:
-            packed = 0 if plain.isascii() else len(dense.findall(plain))
-            whole = packed >= DENSE_LETTERS or (letters >= LETTERS and len(words) - words.count("0") >= WORDS)
+        words = plain.count(" ") + 1
+        letters = len(plain) - words + 1 - plain.count("0") - plain.count("'")
+        if letters > 0:
+            packed = 0 if plain.isascii() else len(dense.findall(plain)) if max(plain) > "\u2e7f" else 0
+            whole = packed >= DENSE_LETTERS or (letters >= LETTERS and words >= WORDS and words - plain.split(" ").count("0") >= WORDS)
             out.append((plain, whole))
     return out
 
 
-def automaton(text: str, symbols: dict[str, int]) -> np.ndarray:
-    """The suffix automaton of a text: a table (state, symbol) -> state, 0 where a piece ends; 0 is also the start."""
-    nxt: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for ch in text:
-        c = symbols.get(ch, 0)
-        cur = len(nxt)
-        nxt.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        p = last
-        while p != -1 and c not in nxt[p]:
-            nxt[p][c] = cur
-            p = link[p]
-        if p != -1:
-            q = nxt[p][c]
-            if length[p] + 1 == length[q]:
-                link[cur] = q
+class Automaton:
+    """The suffix automaton of a text: a step leads from a state by a symbol to a state, or to 0 where a piece ends; 0 is also the start."""
+
+    def __init__(self, text: str):
+        common = [c for c, _ in Counter(text).most_common()]
+        symbols = {c: i + 1 for i, c in enumerate(common)}
+        self.code = np.zeros(0x110000, np.uint16 if len(common) < 0xFFFF else np.uint32)  # all of Unicode
+        self.code[[ord(c) for c in common]] = np.arange(1, len(common) + 1)
+        nxt: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for ch in text:
+            c = symbols[ch]
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            p = last
+            while p != -1 and c not in nxt[p]:
+                nxt[p][c] = cur
+                p = link[p]
+            if p != -1:
+                q = nxt[p][c]
+                if length[p] + 1 == length[q]:
+                    link[cur] = q
+                else:
+                    clone = len(nxt)
+                    nxt.append(dict(nxt[q]))
+                    length.append(length[p] + 1)
+                    link.append(link[q])
+                    while p != -1 and nxt[p].get(c) == q:
+                        nxt[p][c] = clone
+                        p = link[p]
+                    link[q] = link[cur] = clone
+            last = cur
+        kind = np.uint16 if len(nxt) < 1 << 16 else np.uint32  # small tables stay in the caches
+        self.table = np.zeros((len(nxt), COLUMNS), kind)
+        rare: list[tuple[int, int]] = []
+        for s, row in enumerate(nxt):
+            for c, t in row.items():
+                if c < COLUMNS:
+                    self.table[s, c] = t
+                else:
+                    rare.append((s << 32 | c, t))
+        rare.sort()
+        self.edges, self.ends = np.array([e for e, _ in rare], np.int64), np.array([t for _, t in rare], np.int64)
+        self.start = np.zeros(len(common) + 1, np.int64)
+        for c, t in nxt[0].items():
+            self.start[c] = t
+
+    def pieces(self, symbols: np.ndarray, active: np.ndarray) -> np.ndarray:
+        """Pieces of each row of symbols; at each place only the first ``active`` rows go on."""
+        flat, start, wide = self.table.ravel(), self.start, len(self.edges) > 0
+        state, count = np.zeros(len(symbols), np.int64), np.ones(len(symbols))
+        columns = np.ascontiguousarray(symbols.T)  # a place of all rows lies together
+        for t in range(symbols.shape[1]):
+            m = active[t]
+            c = columns[t, :m].astype(np.int64)
+            rare = np.flatnonzero(c >= COLUMNS) if wide else c[:0]
+            if len(rare):
+                near = c.copy()
+                near[rare] = 0
+                new = flat.take(state[:m] * COLUMNS + near).astype(np.int64)
+                edge = state[rare] << 32 | c[rare]
+                at = np.minimum(np.searchsorted(self.edges, edge), len(self.edges) - 1)
+                new[rare] = np.where(self.edges[at] == edge, self.ends[at], 0)
             else:
-                clone = len(nxt)
-                nxt.append(dict(nxt[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p != -1 and nxt[p].get(c) == q:
-                    nxt[p][c] = clone
-                    p = link[p]
-                link[q] = link[cur] = clone
-        last = cur
-    table = np.zeros((len(nxt), SYMBOLS), np.uint16 if len(nxt) < 1 << 16 else np.uint32)  # small tables stay in the caches
-    for s, row in enumerate(nxt):
-        for c, t in row.items():
-            if c:  # an unlisted letter never continues a piece
-                table[s, c] = t
-    return table
+                new = flat.take(state[:m] * COLUMNS + c).astype(np.int64)
+            over = np.flatnonzero(new == 0)
+            count[over] += 1
+            new[over] = start[c[over]]
+            state[:m] = new
+        return count
 
 
 class Parser:
@@ -141,56 +192,47 @@ class Parser:
 
     def __init__(self, texts: dict[str, str]):
         self.languages = [lang for lang in LANGUAGES if texts.get(lang)]
-        self.tables, self.codes = [], []
-        for lang in self.languages:
-            common = [c for c, _ in Counter(texts[lang]).most_common(SYMBOLS - 1)]
-            symbols = {c: i + 1 for i, c in enumerate(common)}
-            self.tables.append(automaton(texts[lang], symbols))
-            code = np.zeros(0x10000, np.uint8)
-            for c, i in symbols.items():
-                if ord(c) < 0x10000:
-                    code[ord(c)] = i
-            self.codes.append(code)
+        self.automata = [Automaton(texts[lang]) for lang in self.languages]
 
     def pieces(self, parts: list[str]) -> np.ndarray:
-        """Pieces per character of each sentence by each language; very long ones are parsed in stretches and added up."""
+        """Pieces per character of each sentence by each language; very long ones are parsed in stretches and added up.
+
+        Where a language's text lacks more than MOST_PIECES of a sentence's characters, which are pieces of their own, that share
+        stands for its number of pieces: it is no candidate.
+        """
         stretches = [(k, p[a : a + STRETCH]) for k, p in enumerate(parts) for a in range(0, max(1, len(p)), STRETCH)]
         owner = np.array([k for k, _ in stretches])
-        counts = self._counts([p for _, p in stretches])
+        sizes = np.maximum(1, np.array([len(p) for p in parts]))
         out = np.zeros((len(parts), len(self.languages)))
-        np.add.at(out, owner, counts)
-        return out / np.maximum(1, np.array([len(p) for p in parts]))[:, None]
-
-    def _counts(self, parts: list[str]) -> np.ndarray:
-        """Pieces of each stretch by each language."""
-        n = len(parts)
-        lengths = np.array([len(p) for p in parts])
+        rows = [p for _, p in stretches]
+        for place in self._together(rows):
+            lengths = np.array([len(rows[r]) for r in place])
+            longest = max(1, int(lengths[0]))
+            points = np.zeros((len(place), longest), np.uint32)
+            inside = np.arange(longest) < lengths[:, None]
+            points[inside] = np.frombuffer("".join(rows[r] for r in place).encode("utf-32-le", "surrogatepass"), np.uint32)
+            points = np.minimum(points, 0x10FFFF)
+            for k, a in enumerate(self.automata):
+                symbols = a.code[points]
+                strange = ((symbols == 0) & inside).sum(1)
+                asked = np.flatnonzero(strange <= MOST_PIECES * lengths)
+                count = strange + 1.0
+                if len(asked):
+                    active = np.searchsorted(-lengths[asked], -np.arange(int(lengths[asked[0]])), side="left")  # rows longer than each place
+                    count[asked] = a.pieces(symbols[asked, : lengths[asked[0]]] if len(asked) < len(place) else symbols, active)
+                np.add.at(out[:, k], owner[place], count)
+        return out / sizes[:, None]
+
+    @staticmethod
+    def _together(rows: list[str]) -> Iterator[np.ndarray]:
+        """Rows of about one length, the longest first."""
+        lengths = np.array([len(r) for r in rows])
         order = np.argsort(-lengths, kind="stable")
-        out = np.ones((n, len(self.languages)))
         a = 0
-        while a < n:
-            longest = max(1, int(lengths[order[a]]))
-            rows = order[a : a + max(1, min(4096, 2_000_000 // longest))]
-            a += len(rows)
-            points = np.zeros((len(rows), longest), np.uint32)
-            for k, r in enumerate(rows):
-                points[k, : lengths[r]] = np.frombuffer(parts[r].encode("utf-32-le", "surrogatepass"), np.uint32)
-            points[points > 0xFFFF] = 0
-            active = np.searchsorted(-lengths[rows], -np.arange(longest), side="left")  # rows longer than each place
-            for k, (table, code) in enumerate(zip(self.tables, self.codes)):
-                symbols = code[points]
-                flat, start = table.ravel(), table[0]
-                state, count = np.zeros(len(rows), np.int64), np.ones(len(rows))
-                for t in range(longest):
-                    m = active[t]
-                    c = symbols[:m, t]
-                    new = flat[state[:m] * SYMBOLS + c].astype(np.int64)
-                    ends = new == 0
-                    count[:m] += ends
-                    new[ends] = start[c[ends]]
-                    state[:m] = new
-                out[rows, k] = count
-        return out
+        while a < len(order):
+            b = a + max(1, min(ROWS, CELLS_AT_ONCE // max(1, int(lengths[order[a]]))))
+            yield order[a:b]
+            a = b
 
 
 @lru_cache(maxsize=2)
@@ -315,8 +357,8 @@ def classify(documents: DataFrame, key: str, text: str, label: str, trained: dic
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = _parser(shared.value)
         for batch in batches:
-            for s in range(0, batch.num_rows, 1000):
-                part = batch.slice(s, 1000)
+            for s in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(s, AT_ONCE)
                 rows, flat = [], []
                 for i, found in enumerate(segments(part.column(2).to_pylist(), parser)):
                     for n, seg in enumerate(found):
