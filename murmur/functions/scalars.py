@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,8 +29,9 @@ def path(c: Column) -> Column:
 # --- scores -----------------------------------------------------------------
 
 
-def bucket(score: Column) -> Column:
-    """A word for a weighted score."""
+def bucket(likes: Column) -> Column:
+    """A word for a number of likes."""
+    score = likes
     return F.when(score >= 1000, "viral").when(score >= 750, "great").when(score >= 500, "good").when(score >= 200, "ok").otherwise("flop")
 
 
@@ -36,9 +40,26 @@ def badge_tone(z: Column, provisional: Column) -> Column:
     return F.when(z.isNull(), F.when(provisional == 1, "pending").otherwise("none")).when(z >= S.RARE_Z, "green").when(z >= S.NOTABLE_Z, "amber").when(z <= S.LOW_Z, "red").otherwise("gray")
 
 
-def badge_label(z: Column, factor: Column) -> Column:
-    """Both scores to one decimal."""
-    return F.when(z.isNotNull() & factor.isNotNull(), F.format_string("%.1fσ · %.1f×", z, factor))
+def one_decimal(x: Column) -> Column:
+    """A number to one decimal, as text: the nearest to its stored binary value, ties away from zero."""
+    size = F.abs(x.cast("double"))
+    whole = F.floor(size)
+    part = size - whole  # exact
+    place = F.floor(part * 10 + 0.5)
+    # part * 10 was rounded: whether 20 part reaches 2 place - 1 is told by 16 part + 4 part as a sum and its rounding error
+    a, b = part * 16, part * 4
+    total = a + b
+    error = (a - (total - (total - a))) + (b - (total - a))
+    place = F.when((total - (2 * place - 1)) + error < 0, place - 1).otherwise(place)
+    n = whole * 10 + place
+    return F.concat(F.when(x < 0, "-").otherwise(""), F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
+def badge_label(z: Column, factor: Column, provisional: Column, age_days: Column) -> Column:
+    """The score, the factor and, of provisional posts, the day of the measurement; unscored provisional posts are new."""
+    ratio = F.when(factor.isNotNull(), F.concat(F.lit(" · "), one_decimal(factor), F.lit("×"))).otherwise("")
+    day = F.when((provisional == 1) & age_days.isNotNull(), F.concat(F.lit(" (day "), age_days.cast("string"), F.lit(")"))).otherwise("")
+    return F.when(z.isNotNull(), F.concat(one_decimal(z), F.lit("σ"), ratio, day)).when(provisional == 1, "new")
 
 
 # --- times ------------------------------------------------------------------
@@ -94,30 +115,66 @@ def profile_slug(c: Column) -> Column:
     return _match(c, r"(?i)/(?:in|company)/([^/?#]+)")
 
 
-def newsletter_handle(c: Column, domain: str) -> Column:
-    """The handle of a newsletter: a path of @handle, or a sub-domain of ``domain`` that is not reserved."""
-    own = host(c)
-    at = _match(path(c), r"^/@([^/?#]+)")
-    dotted = domain.replace(".", r"\.")
-    sub = _match(own, rf"^([^.]+)\.{dotted}$")
-    return F.coalesce(at, F.when(~sub.isin("www", "open"), sub))
+def _typed_url(c: Column) -> Column:
+    """What a user typed as a url: without a scheme it is taken as https."""
+    return F.when(c.rlike(r"(?i)^https?://"), c).otherwise(F.concat(F.lit("https://"), c))
+
+
+def _mentions(c: Column, *domains: str) -> Column:
+    return F.lower(c).rlike("|".join(re.escape(d) for d in domains))
+
+
+def newsletter_handle(c: Column, domain: str = S.SITES["substack"][0]) -> Column:
+    """The handle of a newsletter: /@handle at ``domain`` itself, or its sub-domain unless that is reserved.
+
+    Bare words and own domains are none.
+    """
+    url = _typed_url(F.trim(c))
+    own = host(url)
+    sub = _match(own, rf"^([a-z0-9-]+)\.{re.escape(domain)}$")
+    at = _match(path(url), r"^/@([A-Za-z0-9_-]+)")
+    out = F.when(own.isin(domain, f"www.{domain}"), at).otherwise(F.when(~sub.isin(*NEWSLETTER_RESERVED), sub))
+    return F.when(_mentions(c, domain), out)
+
+
+#: Sub-domains that are no publication (fixed values).
+NEWSLETTER_RESERVED = ("www", "open")
+#: First path segments that are features, not profiles (fixed values).
+PHOTO_RESERVED = ("p", "reel", "reels", "tv", "explore", "stories", "s", "accounts")
+
+
+def photo_handle(c: Column, domain: str = S.SITES["instagram"][0]) -> Column:
+    """The first path segment, lower case and without @, unless it is reserved; only of urls that name ``domain``."""
+    url = _typed_url(F.trim(c))
+    first = F.lower(_match(path(url), r"^/@?([A-Za-z0-9._]+)"))
+    return F.when(_mentions(c, domain) & host(url).isNotNull() & ~first.isin(*PHOTO_RESERVED), first)
+
 
+def photo_shortcode(c: Column, domain: str = S.SITES["instagram"][0]) -> Column:
+    """The code of a photo or reel at ``domain``."""
+    return _match(c, rf"(?i){re.escape(domain)}/(?:p|reel|tv)/([^/?#]+)")
 
-def photo_handle(c: Column) -> Column:
-    """The first path segment, lower case, unless it is reserved."""
-    first = F.lower(_match(path(c), r"^/([^/?#]+)"))
-    return F.when(~first.isin("p", "reel", "reels", "tv", "stories", "explore", "accounts", "direct"), first)
 
+def micro_blog_handle(c: Column, domains: Sequence[str] = S.SITES["twitter"]) -> Column:
+    """C11: from a url that names one of ``domains``, or from @name or a bare name."""
+    x = F.trim(c)
+    named = _match(x, rf"(?i)(?:{'|'.join(re.escape(d) for d in domains)})/@?([A-Za-z0-9_]+)")
+    return F.when(x.rlike(r"(?i)^https?://"), named).otherwise(_match(x, r"^@?([A-Za-z0-9_]+)$"))
 
-def photo_shortcode(c: Column) -> Column:
-    """The code of a photo or reel."""
-    return _match(c, r"/(?:p|reel|reels|tv)/([A-Za-z0-9_\-]+)")
 
+def creator_input(c: Column, sites: dict[str, Sequence[str]] = S.SITES) -> dict[str, Column]:
+    """Platform, profile_url and slug of a typed line, all null where it is no account.
 
-def micro_blog_handle(c: Column) -> Column:
-    """C11: from @name or from the first path segment of a url."""
-    plain = _match(c, r"^@([A-Za-z0-9_]+)$")
-    return F.coalesce(plain, _match(path(c), r"^/([A-Za-z0-9_]+)"))
+    A network url counts without a slug too; what names no site is a short-post handle.
+    """
+    x = F.trim(c)
+    named = lambda p: _mentions(x, *sites[p])
+    letters, pics, chirp = sites["substack"][0], sites["instagram"][0], sites["twitter"]
+    handle = F.when(named("linkedin"), profile_slug(plain_url(x))).when(named("substack"), newsletter_handle(x, letters)).when(named("instagram"), photo_handle(x, pics)).otherwise(micro_blog_handle(x, chirp))
+    platform = F.when(named("linkedin"), "linkedin").when(handle.isNull(), None).when(named("substack"), "substack").when(named("instagram"), "instagram").otherwise("twitter")
+    own = F.when(F.lower(x).contains(f"{letters}/@"), F.concat(F.lit(f"https://{letters}/@"), handle)).otherwise(F.concat(F.lit("https://"), handle, F.lit(f".{letters}")))
+    url = F.when(platform == "linkedin", plain_url(x)).when(platform == "substack", own).when(platform == "instagram", F.concat(F.lit(f"https://www.{pics}/"), handle, F.lit("/"))).otherwise(F.concat(F.lit(f"https://{chirp[-1]}/"), handle))
+    return {"platform": platform, "slug": handle, "profile_url": F.when(platform.isNotNull(), url)}
 
 
 def safe_href(c: Column) -> Column:
@@ -135,11 +192,11 @@ def host_within(c: Column, *domains: str) -> Column:
 
 
 def expiry_seconds(c: Column) -> Column:
-    """C14: when a signed url ends: hexadecimal oe= before decimal e=; null outside 2001 to 2100."""
-    hexa = F.conv(_match(c, r"[?&]oe=([0-9A-Fa-f]+)"), 16, 10).cast("long")
-    dec = _match(c, r"[?&]e=(\d{1,18})").cast("long")
-    ok = lambda x: F.when(x.between(1_000_000_000, 4_102_444_800), x)
-    return F.coalesce(ok(hexa), ok(dec))
+    """C14: when a signed url ends: hexadecimal oe=, without one decimal e=; null outside 2001 to 2100."""
+    hexa = _match(c, r"[?&]oe=([0-9A-Fa-f]+)(?:&|$)")
+    dec = _match(c, r"[?&]e=(\d+)(?:&|$)")
+    seconds = F.when(hexa.isNotNull(), F.conv(hexa, 16, 10)).otherwise(dec).cast("double")
+    return F.when(seconds.between(1_000_000_000, 4_102_444_800), seconds.cast("long"))
 
 
 def expired(c: Column, now_s: Column) -> Column:
@@ -191,11 +248,20 @@ def account_label(name: Column, author_id: Column, url: Column) -> Column:
 
 
 def media_type(media: Column) -> Column:
-    """The type of a media value of a right shape; null if it is malformed or of another shape."""
-    kind = F.get_json_object(media, "$.type")
-    has = lambda path: F.get_json_object(media, path).isNotNull()
+    """The type of a media value of a right shape; null if it is malformed or of another shape.
+
+    An image has ``images``, all strings; a video a ``url`` and a ``poster``; a document a ``url``, ``title``, ``pages`` and ``cover``.
+    All but the url may be null, but none may be absent.
+    """
+    v = F.try_parse_json(media)
+    kind = F.try_variant_get(v, "$.type", "string")
+    shape = lambda name: F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant"))
+    text = lambda name: shape(name).isin("STRING", "VOID")
+    number = shape("pages").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|VOID)$")
     images = F.from_json(F.get_json_object(media, "$.images"), "array<string>")
-    ok = ((kind == "image") & (F.size(images) >= 0) & images.isNotNull()) | (kind.isin("video", "document") & has("$.url"))
+    image = shape("images").isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.exists(images, lambda x: x.isNull())
+    url = shape("url") == "STRING"
+    ok = ((shape("type") == "STRING") & (((kind == "image") & image) | ((kind == "video") & url & text("poster")) | ((kind == "document") & url & text("title") & number & text("cover"))))
     return F.when(ok, kind)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.dense import unit, unpack
+from murmur.functions.scalars import first_sentence
 from murmur.sources import settings as S
 
 
@@ -118,9 +119,10 @@ GROUPED = "group_no long, size long, ids string, similarity double, total_likes
 def candidate_groups(candidates: DataFrame, dims: tuple[int, int], kind: str, least: float) -> DataFrame:
     """Groups among a bounded set of candidates (at most CANDIDATES rows: id, likes, shares, text, image vectors), in one task.
 
-    ``kind``: image (linked by image vectors), content (greedy, text and image), star (text). Rows count in order of likes, then
-    id. Result: number by total likes and shares, size, the ids in order, mean pairwise similarity, totals, the member with most
-    likes and shares (content: the most central one).
+    ``kind``: image (linked by image vectors), content (greedy, text and image), star and image_star (text and image vectors). Rows
+    count in order of likes, then id. Result: number by total likes and shares, size, the ids in order, mean pairwise similarity,
+    totals, the member that stands for the group: the one with most likes and shares (content: the most central, stars: the
+    one with most likes, which started it).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,21 +141,21 @@ def candidate_groups(candidates: DataFrame, dims: tuple[int, int], kind: str, le
             m[at], has[at] = unit(x) if len(x) else x, True
             full.append((m[order], has[order]))
         (text, has_text), (image, has_image) = full
-        if kind == "image":
-            rows, s = np.flatnonzero(has_image), None
+        if kind in ("image", "image_star"):
+            rows = np.flatnonzero(has_image)
             s = image[rows] @ image[rows].T
         else:
             rows = np.flatnonzero(has_text)
             s = combined(text[rows], image[rows], has_image[rows]) if kind == "content" else text[rows] @ text[rows].T
         s = np.round(s, 6)
-        groups = {"image": linked_groups, "content": greedy_clusters, "star": star_groups}[kind](s, least)
+        groups = {"image": linked_groups, "content": greedy_clusters}.get(kind, star_groups)(s, least)
         out = []
         for g in groups:
             sub = s[np.ix_(g, g)]
             mean = float(sub[np.triu_indices(len(g), 1)].mean())
             members = rows[g]
             engaged = likes[members] + shares[members]
-            top = int(engaged.argmax()) if kind != "content" else int(((sub.sum(1) - 1) / (len(g) - 1)).round(6).argmax())
+            top = {"image": int(engaged.argmax()), "content": int(((sub.sum(1) - 1) / (len(g) - 1)).round(6).argmax())}.get(kind, 0)
             out.append((len(g), "|".join(sorted(ids[members])), round(mean, 6), int(likes[members].sum()), int(shares[members].sum()), ids[members][top]))
         out.sort(key=lambda r: (-(r[3] + r[4]), r[1]))
         columns = list(zip(*[(i + 1, *r) for i, r in enumerate(out)])) or [[]] * 7
@@ -163,20 +165,80 @@ def candidate_groups(candidates: DataFrame, dims: tuple[int, int], kind: str, le
     return candidates.select("id", "likes", "shares", "text", "image").coalesce(1).mapInArrow(run, GROUPED)
 
 
+def labelled(groups: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
+    """``groups`` with ``label``, from (id, content, image_description) of the members that stand for them.
+
+    V9: the image's description or else the first 100 characters of the trimmed text; V10: its first sentence.
+    """
+    shown = F.coalesce("image_description", F.when(F.col("content") != "", F.substring(F.trim("content"), 1, 100)))
+    label = first_sentence(F.col("content")) if kind == "content" else shown
+    return groups.join(texts.select(F.col("id").alias("top_id"), label.alias("label")), "top_id", "left")
+
+
 def best_matches(df: DataFrame, key: str, field: str, vectors: dict[str, Sequence[float]]) -> DataFrame:
-    """(id, score): J15: for each of a few query vectors its highest cosine among the rows, to 6 decimals; one pass, no join."""
+    """(id, score, match): J15: for each of a few query vectors its highest cosine among the rows, to 6 decimals, and the row that has it, the smaller key
+    when equal; one pass, no join."""
     names = sorted(vectors)
     dim = len(vectors[names[0]]) if names else 0
     q = unit(np.array([vectors[n] for n in names], np.float32)) if names else np.empty((0, 0))
+    rows = df.select(F.col(key).alias("k"), F.col(field).cast("array<float>").alias("x")).where("x IS NOT NULL")
+    kind = dict(rows.dtypes)["k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[float, object]] = {}
+        for batch in batches:
+            at, x = unpack(batch.column(1), dim)
+            if not len(x) or not names:
+                continue
+            keys = np.array(batch.column(0).take(pa.array(at)).to_pylist(), dtype=object)
+            order = np.argsort(keys, kind="stable")
+            s = np.round(unit(x)[order] @ q.T, 6)
+            for j, i in enumerate(s.argmax(0).tolist()):  # the first of equal ones has the smallest key
+                found = (-float(s[i, j]), keys[order[i]])
+                best[j] = min(best.get(j, found), found)
+        hit = sorted(best)
+        yield pa.RecordBatch.from_pydict({"id": [names[j] for j in hit], "score": [-best[j][0] for j in hit], "match": [best[j][1] for j in hit]}, schema=pa.schema([("id", pa.string()), ("score", pa.float64()), ("match", batch_type)]))
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type = to_arrow_type(rows.schema["k"].dataType)
+    found = rows.mapInArrow(run, f"id string, score double, match {kind}")
+    return found.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b")).select("id", (-F.col("b.s")).alias("score"), F.col("b.match").alias("match"))
+
+
+def novelty(matches: DataFrame, wanted: DataFrame, history: DataFrame, now_ms: int) -> DataFrame:
+    """(id, score, status, match, age_days): V13: whether what a post says was said before.
+
+    ``matches``: of ``best_matches``; ``wanted``: (id, has) of all posts asked about, ``has`` whether there is a vector;
+    ``history``: (match, posted_ms). A missing date counts as 1970. Without a vector nothing is known.
+    """
+    rows = wanted.join(matches, "id", "left").join(history, "match", "left")
+    score = F.greatest(F.coalesce("score", F.lit(0.0)), F.lit(0.0))
+    age = (F.lit(now_ms) - F.coalesce("posted_ms", F.lit(0))) / float(S.DAY_MS)
+    covered = (score >= S.NOVELTY_COVERED) & (score < S.NOVELTY_POSTED)
+    status = F.when(~F.col("has"), "unknown").when(score >= S.NOVELTY_POSTED, "posted").when(covered & (age >= S.REFRESH_DAYS), "refresh_candidate").when(covered, "recently_covered").otherwise("new")
+    known = F.col("has") & (score >= S.NOVELTY_COVERED)
+    return rows.select("id", F.when(F.col("has"), score).otherwise(0.0).alias("score"), status.alias("status"), F.when(known, F.col("match")).alias("match"), F.when(F.col("has") & covered, F.floor(age + 0.5)).alias("age_days"))
+
+
+def draft_matches(posts: DataFrame, drafts: DataFrame, dim: int, days: int = S.DRAFT_DAYS, least: float = S.DRAFT_SIMILAR) -> DataFrame:
+    """(id, draft, archetype, similarity): J16: each post (id, day, x) with the most similar draft (draft, day, archetype, y) of its day and the ``days`` before.
+
+    An equi-join on the days of the window; the smaller draft id when equal. Posts whose best is under ``least`` have no row.
+    """
+    recent = posts.select("id", "x", F.explode(F.sequence(F.date_sub("day", days), F.col("day"))).alias("day"))
+    both = recent.join(drafts.select("draft", "day", "archetype", "y"), "day").where("draft <> id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = np.full(len(names), -np.inf)
         for batch in batches:
-            _, x = unpack(batch.column(0), dim)
-            if len(x):
-                best = np.maximum(best, (unit(x) @ q.T).max(0))
-        hit = np.flatnonzero(np.isfinite(best))
-        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit], pa.string()), pa.array(np.round(best[hit], 6))], names=["id", "score"])
-
-    found = df.select(F.col(field).cast("array<float>").alias("x")).where("x IS NOT NULL").mapInArrow(run, "id string, score double")
-    return found.groupBy("id").agg(F.max("score").alias("score"))
+            a, x = unpack(batch.column(3), dim)
+            b, y = unpack(batch.column(4), dim)
+            at, i, j = np.intersect1d(a, b, return_indices=True)
+            s = np.round(np.einsum("ij,ij->i", unit(x[i]), unit(y[j])), 6) if len(at) else np.empty(0)
+            take = pa.array(at)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(3)], pa.array(s)], names=["id", "draft", "archetype", "s"])
+
+    pairs = both.select("id", "draft", "archetype", F.col("x").cast("array<float>"), F.col("y").cast("array<float>"))
+    scored_ = pairs.mapInArrow(run, "id string, draft string, archetype string, s double")
+    best = scored_.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("n"), "draft", "archetype")).alias("b"))
+    return best.select("id", "b.draft", "b.archetype", (-F.col("b.n")).alias("similarity")).where(F.col("similarity") >= least)

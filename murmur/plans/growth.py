@@ -87,9 +87,12 @@ def percent_board(spark: SparkSession, sf: str) -> DataFrame:
     return g.ranked(rows, "percent").select("author_id", "followers", F.round("percent", 6).alias("percent"), "rank")
 
 
-@query("Q9_J10_W7_creator_growth", f"""WITH d AS (SELECT *, strftime(captured_on, '%Y-%m-%d') AS day FROM {_DELTAS} WHERE platform = 'linkedin'), p AS (SELECT author_id, strftime(posted_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS posts, min(id) AS only_id
+CREATOR_GROWTH = f"""WITH d AS (SELECT *, strftime(captured_on, '%Y-%m-%d') AS day FROM {_DELTAS} WHERE platform = 'linkedin'), p AS (SELECT author_id, strftime(posted_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS day, count(*) AS posts, min(id) AS only_id
     FROM {POSTS} WHERE platform = 'linkedin' AND posted_at IS NOT NULL AND author_id IS NOT NULL GROUP BY ALL)
-    SELECT author_id, day, d.followers - before AS gained, coalesce(posts, 0) AS post_count, coalesce(posts, 0) > 1 AS shared, CASE WHEN posts = 1 THEN only_id END AS attributable_post_id FROM d LEFT JOIN p USING (author_id, day)""")
+    SELECT author_id, day, d.followers - before AS gained, coalesce(posts, 0) AS post_count, coalesce(posts, 0) > 1 AS shared, CASE WHEN posts = 1 THEN only_id END AS attributable_post_id FROM d LEFT JOIN p USING (author_id, day)"""
+
+
+@query("Q9_J10_W7_creator_growth", CREATOR_GROWTH)
 def creator_growth(spark: SparkSession, sf: str) -> DataFrame:
     """Growth of a day with the posts of that day; a gain is attributed only where one post stands for the day."""
     d = g.follower_deltas(followers(spark, sf).where("platform = 'linkedin'"), ["author_id"]).select("author_id", _DAY_KEY("captured_on"), "gained")

@@ -27,15 +27,28 @@ def logs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("id", F.round(F.log1p("weighted_score"), 6).alias("lg"), F.round(F.expm1(F.log1p("weighted_score")), 4).alias("back"))
 
 
-@query("C2_bucket", f"SELECT CASE WHEN w >= 1000 THEN 'viral' WHEN w >= 750 THEN 'great' WHEN w >= 500 THEN 'good' WHEN w >= 200 THEN 'ok' ELSE 'flop' END AS bucket, count(*) AS posts FROM (SELECT likes + 3 * comments + 5 * shares AS w FROM {POSTS}) GROUP BY 1")
+_BUCKET = "CASE WHEN likes >= 1000 THEN 'viral' WHEN likes >= 750 THEN 'great' WHEN likes >= 500 THEN 'good' WHEN likes >= 200 THEN 'ok' ELSE 'flop' END"
+
+
+@query("C2_bucket", f"SELECT {_BUCKET} AS bucket, count(*) AS posts FROM {POSTS} GROUP BY 1")
 def buckets(spark: SparkSession, sf: str) -> DataFrame:
-    w = F.col("likes") + 3 * F.col("comments") + 5 * F.col("shares")
-    return posts(spark, sf, ["likes", "comments", "shares"]).groupBy(c.bucket(w).alias("bucket")).agg(F.count("*").alias("posts"))
+    return posts(spark, sf, ["likes"]).groupBy(c.bucket(F.col("likes")).alias("bucket")).agg(F.count("*").alias("posts"))
+
 
+def _decimal(x: str) -> str:
+    """The text of a number to one decimal by its exact binary value, in DuckDB: printf rounds that value, ties to even, so those are told apart."""
+    return f"CASE WHEN {x} * 20 = floor({x} * 20) AND {x} * 4 = floor({x} * 4) AND abs({x} * 2) <> floor(abs({x} * 2)) THEN printf('%.1f', {x} + sign({x}) * 0.01::DOUBLE) ELSE printf('%.1f', {x} + 0::DOUBLE) END"
 
-@query("C3_badge", f"""SELECT id, CASE WHEN x_score IS NULL THEN CASE WHEN x_provisional = 1 THEN 'pending' ELSE 'none' END WHEN x_score >= 2.5 THEN 'green' WHEN x_score >= 1.5 THEN 'amber' WHEN x_score <= -1.5 THEN 'red' ELSE 'gray' END AS tone FROM {POSTS}""")
+
+@query("C3_badge", f"""SELECT id, CASE WHEN x_score IS NULL THEN CASE WHEN x_provisional = 1 THEN 'pending' ELSE 'none' END WHEN x_score >= 2.5 THEN 'green' WHEN x_score >= 1.5 THEN 'amber' WHEN x_score <= -1.5 THEN 'red' ELSE 'gray' END AS tone,
+    CASE WHEN x_score IS NULL THEN CASE WHEN x_provisional = 1 THEN 'new' END ELSE {_decimal("x_score")} || 'σ' || coalesce(' · ' || CASE WHEN NOT isnan(x_factor) THEN {_decimal("x_factor")} END || '×', '') || CASE WHEN x_provisional = 1 AND age IS NOT NULL THEN ' (day ' || age || ')' ELSE '' END END AS label
+    FROM (SELECT *, (epoch_ms(measured_at) - epoch_ms(posted_at)) // {S.DAY_MS} AS age FROM {POSTS})""")
 def badges(spark: SparkSession, sf: str) -> DataFrame:
-    return posts(spark, sf, ["x_score", "x_provisional"]).select("id", c.badge_tone(F.col("x_score"), F.col("x_provisional")).alias("tone"))
+    """Tone and label of every post; the age is that at its last measurement, in whole days."""
+    rows = posts(spark, sf, ["x_score", "x_factor", "x_provisional", "measured_at", "posted_at"])
+    age = F.floor((F.unix_millis("measured_at") - F.unix_millis("posted_at")) / S.DAY_MS)
+    z, p = F.col("x_score"), F.col("x_provisional")
+    return rows.select("id", c.badge_tone(z, p).alias("tone"), c.badge_label(z, F.when(~F.isnan("x_factor"), F.col("x_factor")), p, age).alias("label"))
 
 
 @query("C4_relative_time", f"""SELECT id, CASE WHEN posted_at IS NULL THEN 'never' WHEN s >= 2592000 THEN s // 2592000 || ' month' || CASE WHEN s // 2592000 = 1 THEN '' ELSE 's' END || ' ago' WHEN s >= 604800 THEN s // 604800 || ' week' || CASE WHEN s // 604800 = 1 THEN '' ELSE 's' END || ' ago'
@@ -45,7 +58,8 @@ def ago(spark: SparkSession, sf: str) -> DataFrame:
     return posts(spark, sf, ["posted_at"]).select("id", c.relative_time(F.unix_millis("posted_at"), F.lit(S.NOW_MS)).alias("ago"))
 
 
-@query("C5_Q25_persona")
+@query("C5_Q25_persona", f"""SELECT profile_url, nullif(trim(regexp_replace(lower(regexp_replace(nfd, '[\u0300-\u036f]', '', 'g')), '[^a-z0-9]+', ' ', 'g')), '') AS persona FROM
+    (SELECT profile_url, strip_accents(split_part(display_name, ',', 1)) AS nfd FROM {CREATORS} WHERE persona IS NULL OR persona = '')""")
 def personas(spark: SparkSession, sf: str) -> DataFrame:
     """Accounts without a persona and the key their name gives."""
     rows = creators(spark, sf, ["display_name", "persona"]).where("persona IS NULL OR persona = ''")
@@ -64,52 +78,79 @@ def profiles(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "posts").where(u.isNotNull()).select("author_url", c.plain_url(u).alias("plain"), c.decoded_slug(u).alias("slug")).distinct()
 
 
-_HANDLES = ["https://www.letters.example/@ana", "https://open.letters.example/pub/x", "https://ana.letters.example/p/1", "https://letters.example/", "not a url", None, "https://a.b.letters.example/"]
+_LETTERS, _PICS, _CHIRP = (S.TEST_SITES[x][0] for x in ("substack", "instagram", "twitter"))
+#: All urls of the corpus: of posts, authors and accounts.
+_URLS = "(SELECT DISTINCT x FROM (SELECT url AS x FROM posts UNION ALL SELECT author_url FROM posts UNION ALL SELECT profile_url FROM creators) WHERE x IS NOT NULL)"
 
 
-@query("C9_newsletter_handle", "SELECT profile_url, coalesce(nullif(regexp_extract(profile_url, '^https?://[^/]+/@([^/?#]+)', 1), ''), CASE WHEN h NOT IN ('www', 'open', '') THEN h END) AS handle FROM (SELECT DISTINCT profile_url, regexp_extract(profile_url, '^https?://([^./]+)\\.letters\\.example(?:/|$)', 1) AS h FROM creators WHERE profile_url IS NOT NULL)")
-def newsletter(spark: SparkSession, sf: str) -> DataFrame:
-    u = table(spark, sf, "creators").select("profile_url").where("profile_url IS NOT NULL").distinct()
-    return u.select("profile_url", c.newsletter_handle(F.col("profile_url"), "letters.example").alias("handle"))
+def urls(spark: SparkSession, sf: str) -> DataFrame:
+    """(x): the distinct urls of posts, authors and accounts."""
+    p, a = table(spark, sf, "posts"), table(spark, sf, "creators")
+    both = p.select(F.explode(F.array("url", "author_url")).alias("x")).union(a.select("profile_url"))
+    return both.where("x IS NOT NULL").distinct()
 
 
-@query("C9_newsletter_edges", "SELECT * FROM (VALUES ('https://www.letters.example/@ana', 'ana'), ('https://open.letters.example/pub/x', NULL), ('https://ana.letters.example/p/1', 'ana'), ('https://letters.example/', NULL), ('not a url', NULL), (NULL, NULL), ('https://a.b.letters.example/', NULL)) v(x, handle)")
-def newsletter_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return literals(spark, _HANDLES).select("x", c.newsletter_handle(F.col("x"), "letters.example").alias("handle"))
+_TYPED = "CASE WHEN regexp_matches(trim(x), '^https?://', 'i') THEN trim(x) ELSE 'https://' || trim(x) END"
 
 
-@query("C10_photo", "SELECT * FROM (VALUES ('https://photos.example/Ana.B/', 'ana.b', NULL), ('https://photos.example/p/C10-x_1/', NULL, 'C10-x_1'), ('https://photos.example/reel/Zz9/?a=1', NULL, 'Zz9'), ('https://photos.example/explore/', NULL, NULL), (NULL, NULL, NULL)) v(x, handle, code)")
+@query("C9_newsletter_handle", f"""SELECT x, CASE WHEN h IN ('letters.example', 'www.letters.example') THEN nullif(regexp_extract(p, '^/@([A-Za-z0-9_-]+)', 1), '') ELSE CASE WHEN sub NOT IN ('www', 'open', '') THEN sub END END AS handle
+    FROM (SELECT x, lower(regexp_extract(u, '^https?://([^/?#]+)', 1)) AS h, regexp_extract(u, '^https?://[^/?#]+(/[^?#]*)', 1) AS p, regexp_extract(lower(regexp_extract(u, '^https?://([^/?#]+)', 1)), '^([a-z0-9-]+)\\.letters\\.example$', 1) AS sub FROM (SELECT x, {_TYPED} AS u FROM {_URLS}))""")
+def newsletter(spark: SparkSession, sf: str) -> DataFrame:
+    return urls(spark, sf).select("x", c.newsletter_handle(F.col("x"), _LETTERS).alias("handle"))
+
+
+@query("C10_photo", f"""SELECT x, CASE WHEN x ILIKE '%pics.example%' AND h NOT IN ('', 'p', 'reel', 'reels', 'tv', 'explore', 'stories', 's', 'accounts') THEN h END AS handle, nullif(regexp_extract(x, '(?i)pics\\.example/(?:p|reel|tv)/([^/?#]+)', 1), '') AS code
+    FROM (SELECT x, lower(regexp_extract(regexp_extract({_TYPED}, '^https?://[^/?#]+(/[^?#]*)', 1), '^/@?([A-Za-z0-9._]+)', 1)) AS h FROM {_URLS})""")
 def photo(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("x")
-    rows = literals(spark, ["https://photos.example/Ana.B/", "https://photos.example/p/C10-x_1/", "https://photos.example/reel/Zz9/?a=1", "https://photos.example/explore/", None])
-    return rows.select("x", c.photo_handle(x).alias("handle"), c.photo_shortcode(x).alias("code"))
+    return urls(spark, sf).select("x", c.photo_handle(x, _PICS).alias("handle"), c.photo_shortcode(x, _PICS).alias("code"))
 
 
-@query("C11_micro_blog_handle", "SELECT DISTINCT author_url, regexp_extract(author_url, '^https?://[^/]+/([A-Za-z0-9_]+)', 1) AS handle FROM posts WHERE platform = 'twitter' AND author_url IS NOT NULL")
+@query("C11_micro_blog_handle", f"""SELECT x, nullif(CASE WHEN regexp_matches(trim(x), '^https?://', 'i') THEN regexp_extract(trim(x), '(?i)chirp\\.example/@?([A-Za-z0-9_]+)', 1) ELSE regexp_extract(trim(x), '^@?([A-Za-z0-9_]+)$', 1) END, '') AS handle
+    FROM (SELECT x FROM {_URLS} UNION SELECT '@' || author_id FROM posts WHERE author_id IS NOT NULL UNION SELECT author_id FROM posts WHERE author_id IS NOT NULL)""")
 def micro_blog(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "posts").where("platform = 'twitter' AND author_url IS NOT NULL").select("author_url").distinct()
-    return rows.select("author_url", c.micro_blog_handle(F.col("author_url")).alias("handle"))
+    """Handles from urls, from ids with @ and from bare ones."""
+    ids = table(spark, sf, "posts").where("author_id IS NOT NULL").select("author_id").distinct()
+    rows = urls(spark, sf).union(ids.select(F.explode(F.array(F.concat(F.lit("@"), "author_id"), "author_id")))).distinct()
+    return rows.select("x", c.micro_blog_handle(F.col("x"), (_CHIRP,)).alias("handle"))
+
 
+_MEDIA_URLS = f"(SELECT DISTINCT x FROM (SELECT unnest([url, image_url]) AS x FROM {POSTS} UNION ALL SELECT avatar_url FROM creators) WHERE x IS NOT NULL)"
 
-@query("C12_C13_links", "SELECT * FROM (VALUES ('https://a.cdn.example/x', true, true), ('http://cdn.example/', true, true), ('javascript:alert(1)', false, false), ('https://evilcdn.example/', true, false), ('ftp://cdn.example/', false, true), (NULL, false, false)) v(x, safe, proxied)")
+
+def media_urls(spark: SparkSession, sf: str) -> DataFrame:
+    p = posts(spark, sf, ["url", "image_url"]).select(F.explode(F.array("url", "image_url")).alias("x"))
+    return p.union(table(spark, sf, "creators").select("avatar_url")).where("x IS NOT NULL").distinct()
+
+
+@query("C12_C13_links", f"""SELECT x, regexp_matches(x, '^https?:', 'i') AS safe, h = 'cdn.example' OR h LIKE '%.cdn.example' OR h = 'links.example' OR h LIKE '%.links.example' AS proxied FROM (SELECT x, lower(regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) AS h FROM {_MEDIA_URLS})""")
 def links(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("x")
-    rows = literals(spark, ["https://a.cdn.example/x", "http://cdn.example/", "javascript:alert(1)", "https://evilcdn.example/", "ftp://cdn.example/", None])
-    return rows.select("x", c.safe_href(x).isNotNull().alias("safe"), c.host_within(x, "cdn.example").alias("proxied"))
+    return media_urls(spark, sf).select("x", c.safe_href(x).isNotNull().alias("safe"), c.host_within(x, "cdn.example", "links.example").alias("proxied"))
+
+
+_SIGNED = f"""(SELECT x || CASE h % 4 WHEN 0 THEN '?e=' || (1782777600 + h * 86400 - 200000000) WHEN 1 THEN '?w=1&oe=' || printf('%X', (1782777600 + h * 50000 - 100000000)::BIGINT) WHEN 2 THEN '?e=' || h ELSE '' END AS x FROM (SELECT x, len(x) * 131 % 4099 AS h FROM {_MEDIA_URLS}))"""
 
 
-@query("C14_F16_signed_urls", "SELECT * FROM (VALUES ('https://c.example/a?oe=6A000000', 1778384896::BIGINT, true), ('https://c.example/a?e=1900000000', 1900000000, false), ('https://c.example/a?oe=6A000000&e=1900000000', 1778384896, true), ('https://c.example/a?e=12', NULL, false), ('https://c.example/a', NULL, false)) v(x, ends, expired)")
+@query("C14_F16_signed_urls", f"""SELECT x, CASE WHEN s BETWEEN 1000000000 AND 4102444800 THEN s END AS ends, coalesce(s BETWEEN 1000000000 AND 4102444800 AND s <= {S.NOW_MS // 1000}, false) AS expired FROM
+    (SELECT x, CASE WHEN regexp_matches(x, '[?&]oe=[0-9A-Fa-f]+(&|$)') THEN ('0x' || regexp_extract(x, '[?&]oe=([0-9A-Fa-f]+)', 1))::BIGINT WHEN regexp_matches(x, '[?&]e=[0-9]+(&|$)') THEN regexp_extract(x, '[?&]e=([0-9]+)', 1)::BIGINT END AS s FROM {_SIGNED})""")
 def signed(spark: SparkSession, sf: str) -> DataFrame:
+    """The corpus's media urls hold no signature, so one is written after them by a rule on their length."""
+    h = F.length("x") * 131 % 4099
+    sign = F.when(h % 4 == 0, F.concat(F.lit("?e="), (1782777600 + h * 86400 - 200000000).cast("string"))).when(h % 4 == 1, F.concat(F.lit("?w=1&oe="), F.hex((1782777600 + h * 50000 - 100000000).cast("long")))).when(h % 4 == 2, F.concat(F.lit("?e="), h.cast("string"))).otherwise("")
     x = F.col("x")
-    rows = literals(spark, ["https://c.example/a?oe=6A000000", "https://c.example/a?e=1900000000", "https://c.example/a?oe=6A000000&e=1900000000", "https://c.example/a?e=12", "https://c.example/a"])
+    rows = media_urls(spark, sf).select(F.concat("x", sign).alias("x"))
     return rows.select("x", c.expiry_seconds(x).alias("ends"), c.expired(x, F.lit(S.NOW_MS // 1000)).alias("expired"))
 
 
-@query("C16_comment_urn", "SELECT * FROM (VALUES ('urn:li:comment:(activity:71,82)', '71', '82'), ('x?commentUrn=urn%3Ali%3Acomment%3A%28activity%3A71%2C82%29', '71', '82'), ('urn:li:comment:(urn:li:ugcPost:5,6)', '5', '6'), ('none', NULL, NULL)) v(x, post, comment)")
+@query("C16_comment_urn", "SELECT DISTINCT id, post_id AS post, id AS comment FROM (SELECT id, regexp_extract(post_id, '([0-9]+)$', 1) AS post_id FROM post_comments WHERE regexp_matches(id, '^[0-9]+$') AND regexp_matches(post_id, '[0-9]+$'))")
 def urns(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.col("x")
-    rows = literals(spark, ["urn:li:comment:(activity:71,82)", "x?commentUrn=urn%3Ali%3Acomment%3A%28activity%3A71%2C82%29", "urn:li:comment:(urn:li:ugcPost:5,6)", "none"])
-    return rows.select("x", c.comment_ids(x, 1).alias("post"), c.comment_ids(x, 2).alias("comment"))
+    """Comment urns, percent-encoded for every other comment, built from the comments' ids and read back."""
+    rows = table(spark, sf, "post_comments").where(F.col("id").rlike("^[0-9]+$") & F.col("post_id").rlike("[0-9]+$")).select("id", F.regexp_extract("post_id", "([0-9]+)$", 1).alias("p")).distinct()
+    plain = F.concat(F.lit("urn:li:comment:(activity:"), "p", F.lit(","), "id", F.lit(")"))
+    coded = F.concat(F.lit("https://links.example/x?commentUrn=urn%3Ali%3Acomment%3A%28activity%3A"), "p", F.lit("%2C"), "id", F.lit("%29"))
+    x = F.when(F.length("id") % 2 == 0, coded).otherwise(plain)
+    return rows.select("id", c.comment_ids(x, 1).alias("post"), c.comment_ids(x, 2).alias("comment"))
 
 
 @query("C18_account_label", f"SELECT profile_url, coalesce(nullif(trim(display_name), ''), nullif(author_id, ''), regexp_extract(regexp_replace(regexp_extract(profile_url, '^([^?#]*)', 1), '/$', ''), '([^/]+)$', 1)) AS label FROM {CREATORS}")
@@ -123,11 +164,13 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return posts(spark, sf, ["content"]).select("id", c.first_sentence(F.col("content")).alias("label"))
 
 
-@query("C21_T22_instants", "SELECT * FROM (VALUES ('2026-06-01T10:00:00.000Z', 1780308000000::BIGINT, NULL::BIGINT), ('Mon Jun 01 10:00:00 +0000 2026', NULL, 1780308000000), ('never', NULL, NULL), (NULL, NULL, NULL)) v(x, iso_ms, micro_ms)")
+@query("C21_T22_instants", f"SELECT id, epoch_ms(posted_at) AS iso_ms, epoch_ms(posted_at) // 1000 * 1000 AS micro_ms FROM {POSTS}")
 def instants(spark: SparkSession, sf: str) -> DataFrame:
-    x = F.col("x")
-    rows = literals(spark, ["2026-06-01T10:00:00.000Z", "Mon Jun 01 10:00:00 +0000 2026", "never", None])
-    return rows.select("x", F.unix_millis(c.instant(x)).alias("iso_ms"), F.unix_millis(c.micro_blog_instant(x)).alias("micro_ms"))
+    """Every post's instant written in both forms and read back."""
+    rows = posts(spark, sf, ["posted_at"])
+    iso = F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    micro = F.date_format("posted_at", "EEE MMM dd HH:mm:ss Z yyyy")
+    return rows.select("id", F.unix_millis(c.instant(iso)).alias("iso_ms"), F.unix_millis(c.micro_blog_instant(micro)).alias("micro_ms"))
 
 
 @query("C23_C30_ages", f"SELECT id, CASE WHEN raw > 0 THEN floor(raw * 10 + 0.5) / 10 ELSE 0 END AS days FROM (SELECT id, (epoch_ms(scraped_at) - epoch_ms(posted_at)) / {S.DAY_MS}.0::DOUBLE AS raw FROM {POSTS} WHERE posted_at IS NOT NULL)")
@@ -148,8 +191,14 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy(print_).agg(F.min("id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
-@query("P2_C15_media", f"""SELECT id, CASE WHEN json_valid(media) THEN CASE json_extract_string(media, '$.type') WHEN 'image' THEN CASE WHEN json_type(media, '$.images') = 'ARRAY' THEN 'image' END
-    WHEN 'video' THEN CASE WHEN json_extract_string(media, '$.url') IS NOT NULL THEN 'video' END WHEN 'document' THEN CASE WHEN json_extract_string(media, '$.url') IS NOT NULL THEN 'document' END END END AS media_type FROM {POSTS}""")
+_TEXT = "json_type(m, '$.{}') = 'VARCHAR'"
+_TEXT_OR_NULL = "json_type(m, '$.{}') IN ('VARCHAR', 'NULL')"
+
+
+@query("P2_C15_media", f"""SELECT id, CASE WHEN m IS NULL OR json_type(m, '$.type') <> 'VARCHAR' THEN NULL WHEN t = 'image' AND json_type(m, '$.images') = 'ARRAY' AND len(list_filter(json_extract(m, '$.images[*]'), lambda y: json_type(y) <> 'VARCHAR')) = 0 THEN t
+    WHEN t = 'video' AND {_TEXT.format('url')} AND {_TEXT_OR_NULL.format('poster')} THEN t
+    WHEN t = 'document' AND {_TEXT.format('url')} AND {_TEXT_OR_NULL.format('title')} AND json_type(m, '$.pages') IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'NULL') AND {_TEXT_OR_NULL.format('cover')} THEN t END AS media_type
+    FROM (SELECT id, m, json_extract_string(m, '$.type') AS t FROM (SELECT id, CASE WHEN json_valid(media) THEN media::JSON END AS m FROM {POSTS}))""")
 def media(spark: SparkSession, sf: str) -> DataFrame:
     return posts(spark, sf, ["media"]).select("id", c.media_type(F.col("media")).alias("media_type"))
 
@@ -166,10 +215,11 @@ def costs(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("platform").agg(F.round(F.sum(c.embedding_cost(n)), 6).alias("embedding_cost"), F.round(F.count("*") * 0.002, 6).alias("refresh_cost"))
 
 
-@query("S15_csv_creators")
+@query("S15_csv_creators", "SELECT DISTINCT trim(profile_url) AS cell FROM creators WHERE trim(profile_url) <> ''")
 def csv_creators(spark: SparkSession, sf: str) -> DataFrame:
-    """First cells of a CSV import: quotes off, blank lines and a header line dropped."""
+    """First cells of an import list of all accounts: quotes off, blank lines and the header line dropped."""
     from murmur.sources.landing import first_cells
 
-    lines = spark.createDataFrame([(i, x) for i, x in enumerate(["profile url,name", '"https://links.example/in/ana",Ana', "", "  ", "https://links.example/in/bo"])], "n int, value string")
-    return first_cells(lines)
+    rows = table(spark, sf, "creators").select((F.monotonically_increasing_id() + 2).alias("n"), F.concat(F.lit('  "'), F.coalesce("profile_url", F.lit("")), F.lit('" ,'), F.coalesce("tags", F.lit(""))).alias("value"))
+    head = spark.createDataFrame([(0, "   "), (1, '"Profile_URL",tags')], "n long, value string")
+    return first_cells(head.unionByName(rows)).select("cell").distinct()

@@ -53,33 +53,69 @@ def index_report(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count("n").alias("vectors"), F.count_if(F.col("n") == DIM).alias("right_length"), F.count_if(F.col("n") != DIM).alias("skipped"))
 
 
+TEXTS = ["content", "image_description"]
+
+
 def candidates(spark: SparkSession, sf: str, need: str) -> DataFrame:
-    """The CANDIDATES posts with most likes that have the vectors needed; the bound is the feature."""
-    rows = latest(table(spark, sf, "posts").withColumnsRenamed({"embedding": "text", "image_embedding": "image"}), ["likes", "shares", "text", "image"])
-    return rows.where(need).orderBy(F.desc("likes"), "id").limit(S.CANDIDATES)
+    """The CANDIDATES posts with most likes that have the vectors needed; the bound is the feature.
+
+    Only which vectors a post has goes through the version rule; the vectors are fetched for the candidates.
+    """
+    return with_vectors(spark, sf, flagged(spark, sf, ["likes", "shares", *TEXTS]).where(need).orderBy(F.desc("likes"), "id").limit(S.CANDIDATES))
+
+
+def flagged(spark: SparkSession, sf: str, columns: list[str]) -> DataFrame:
+    """(id, columns, text, image, v): the latest version of each post, ``text`` and ``image`` set where it has that vector."""
+    has = {"text": F.when(F.col("embedding").isNotNull(), True), "image": F.when(F.col("image_embedding").isNotNull(), True)}
+    rows = table(spark, sf, "posts").select("id", "scraped_at", version_of().alias("v"), *[c for c in columns if c not in ("id", "scraped_at")], *[h.alias(n) for n, h in has.items()])
+    return latest(rows, ["v", *columns, "text", "image"])
+
+
+def with_vectors(spark: SparkSession, sf: str, few: DataFrame) -> DataFrame:
+    """A bounded number of rows (id, v, ...) of ``flagged`` with their vectors as ``text`` and ``image``."""
+    few = few.drop("text", "image")
+    stored_ = table(spark, sf, "posts").select("id", version_of().alias("v"), F.col("embedding").alias("text"), F.col("image_embedding").alias("image"))
+    return stored_.join(F.broadcast(few), ["id", "v"]).dropDuplicates(["id"]).drop("v")
+
 
+def _stars(name: str, rows: str, dim: int, least: float) -> str:
+    """CTEs <name>_c (i, id, likes, shares, x) and <name>_g (i, members): star groups among candidates in order of likes, then id."""
+    return f"""{name}_c AS (SELECT * FROM (SELECT id, likes, shares, x, row_number() OVER (ORDER BY likes DESC, id) AS i FROM {rows} ORDER BY i LIMIT 400) WHERE len(x) = {dim} AND NOT isnan(list_sum(x)) AND list_sum(list_transform(x, lambda y: abs(y))) > 0),
+  {name}_e AS (SELECT a.i, list(b.i ORDER BY b.i) AS nb FROM {name}_c a JOIN {name}_c b ON a.i < b.i AND round(list_cosine_similarity(a.x, b.x), 6) >= {least} GROUP BY a.i),
+  {name}_r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS used, []::BIGINT[] AS fresh UNION ALL SELECT i, list_concat(used, CASE WHEN len(fresh) > 0 THEN [i] ELSE []::BIGINT[] END, fresh), fresh FROM
+    (SELECT r.i + 1 AS i, r.used, CASE WHEN list_contains(r.used, r.i + 1) THEN []::BIGINT[] ELSE list_filter(coalesce(e.nb, []::BIGINT[]), lambda v: NOT list_contains(r.used, v)) END AS fresh FROM {name}_r r LEFT JOIN {name}_e e ON e.i = r.i + 1 WHERE r.i < 400)),
+  {name}_g AS (SELECT i, list_concat([i], fresh) AS members FROM {name}_r WHERE len(fresh) > 0)"""
 
-_IMAGES = f"""WITH RECURSIVE c AS (SELECT id, likes, shares, image_embedding::DOUBLE[] AS x, len(image_embedding) = 96 AND NOT isnan(list_sum(image_embedding)) AND list_sum(list_transform(image_embedding, lambda y: abs(y))) > 0 AS ok FROM {POSTS} WHERE embedding IS NOT NULL AND image_embedding IS NOT NULL ORDER BY likes DESC, id LIMIT 400),
+
+_IMAGES = f"""WITH RECURSIVE c AS (SELECT id, likes, shares, content, image_description, image_embedding::DOUBLE[] AS x, len(image_embedding) = 96 AND NOT isnan(list_sum(image_embedding)) AND list_sum(list_transform(image_embedding, lambda y: abs(y))) > 0 AS ok FROM {POSTS} WHERE embedding IS NOT NULL AND image_embedding IS NOT NULL ORDER BY likes DESC, id LIMIT 400),
   u AS (SELECT * FROM c WHERE ok), e AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.x, b.x), 6) AS s FROM u a JOIN u b ON a.id <> b.id), l AS (SELECT a, b FROM e WHERE s >= 0.8),
   r AS (SELECT DISTINCT a AS id, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id), g AS (SELECT id, min(root) AS root FROM r GROUP BY id),
   m AS (SELECT g1.root, avg(s) AS similarity FROM e JOIN g g1 ON g1.id = e.a JOIN g g2 ON g2.id = e.b AND g1.root = g2.root GROUP BY g1.root)
-  SELECT count(*) AS size, string_agg(g.id, '|' ORDER BY g.id) AS ids, round(any_value(similarity), 4) AS similarity, sum(likes)::BIGINT AS total_likes, sum(shares)::BIGINT AS total_shares FROM g JOIN u USING (id) JOIN m USING (root) GROUP BY g.root"""
+  SELECT count(*) AS size, string_agg(g.id, '|' ORDER BY g.id) AS ids, round(round(any_value(similarity), 6), 4) AS similarity, sum(likes)::BIGINT AS total_likes, sum(shares)::BIGINT AS total_shares,
+    min({{'n': -(likes + shares), 'l': -likes, 'id': g.id, 'label': coalesce(image_description, CASE WHEN content <> '' THEN substr(trim(content, ' '), 1, 100) END)}})['label'] AS label FROM g JOIN u USING (id) JOIN m USING (root) GROUP BY g.root"""
 
 
 @query("V9_Q3_image_groups", _IMAGES)
 def image_groups(spark: SparkSession, sf: str) -> DataFrame:
-    g = v.candidate_groups(candidates(spark, sf, "text IS NOT NULL AND image IS NOT NULL"), (DIM, IMAGE_DIM), "image", S.IMAGE_SIMILAR)
-    return g.select("size", "ids", F.round("similarity", 4).alias("similarity"), "total_likes", "total_shares")
+    top = candidates(spark, sf, "text IS NOT NULL AND image IS NOT NULL")
+    g = v.labelled(v.candidate_groups(top, (DIM, IMAGE_DIM), "image", S.IMAGE_SIMILAR), top, "image")
+    return g.select("size", "ids", F.round("similarity", 4).alias("similarity"), "total_likes", "total_shares", "label")
 
 
 @query("V10_Q4_content_clusters")
 def content_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    return v.candidate_groups(candidates(spark, sf, "text IS NOT NULL"), (DIM, IMAGE_DIM), "content", S.CONTENT_SIMILAR)
+    """Greedy clusters; tested against a plain version, for SQL has no form of a greedy order over pairs that ends soon enough."""
+    top = candidates(spark, sf, "text IS NOT NULL")
+    return v.labelled(v.candidate_groups(top, (DIM, IMAGE_DIM), "content", S.CONTENT_SIMILAR), top, "content").drop("top_id")
 
 
-@query("V11_star_groups")
+@query("V11_star_groups", f"""WITH RECURSIVE {_stars("t", f"(SELECT id, likes, shares, embedding::DOUBLE[] AS x FROM {POSTS} WHERE embedding IS NOT NULL)", 128, 0.65)},
+  m AS (SELECT g.i, c.* EXCLUDE (i), c.i AS j FROM (SELECT i, unnest(members) AS j FROM t_g) g JOIN t_c c ON c.i = g.j),
+  s AS (SELECT a.i, avg(round(list_cosine_similarity(a.x, b.x), 6)) AS similarity FROM m a JOIN m b ON a.i = b.i AND a.j < b.j GROUP BY a.i)
+  SELECT count(*) AS size, string_agg(id, '|' ORDER BY id) AS ids, round(round(any_value(similarity), 6), 4) AS similarity, sum(likes)::BIGINT AS total_likes, sum(shares)::BIGINT AS total_shares, min_by(id, j) AS top_id FROM m JOIN s USING (i) GROUP BY m.i""")
 def star_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return v.candidate_groups(candidates(spark, sf, "text IS NOT NULL"), (DIM, IMAGE_DIM), "star", 0.65)
+    g = v.candidate_groups(candidates(spark, sf, "text IS NOT NULL"), (DIM, IMAGE_DIM), "star", S.CONTENT_SIMILAR)
+    return g.select("size", "ids", F.round("similarity", 4).alias("similarity"), "total_likes", "total_shares", "top_id")
 
 
 @query("V7_W8_fusion", f"""WITH a AS (SELECT id, row_number() OVER (ORDER BY likes DESC, id) AS r FROM {POSTS} ORDER BY r LIMIT 100), b AS (SELECT id, row_number() OVER (ORDER BY x_score DESC NULLS LAST, id) AS r FROM {POSTS} ORDER BY r LIMIT 100),
@@ -93,11 +129,30 @@ def fusion(spark: SparkSession, sf: str) -> DataFrame:
     return v.fused(lists, "id").select("id", F.round("score", 9).alias("score"), "place")
 
 
-@query("J15_V13_novelty", f"""WITH d AS (SELECT * FROM {POSTS} WHERE {_USABLE} AND author_id = 'mira-solvane'), n AS (SELECT * FROM (SELECT * FROM {POSTS} WHERE {_USABLE} AND author_id <> 'mira-solvane' AND x_score IS NOT NULL) ORDER BY x_score DESC, id LIMIT 30),
-  s AS (SELECT n.id, max(round(list_cosine_similarity(n.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6)) AS score FROM n, d GROUP BY n.id) SELECT id, score, CASE WHEN score >= 0.85 THEN 'posted' WHEN score >= 0.65 THEN 'covered' ELSE 'new' END AS status FROM s""")
+OWN = "mira-solvane"
+_STATUS = f"""CASE WHEN score IS NULL THEN 'unknown' WHEN score >= 0.85 THEN 'posted' WHEN score >= 0.65 THEN CASE WHEN age >= 30 THEN 'refresh_candidate' ELSE 'recently_covered' END ELSE 'new' END"""
+
+
+def _novelty_sql(asked: str) -> str:
+    """(id, score, status, match, age_days) of the posts (id, embedding) of ``asked``."""
+    return f"""(WITH d AS (SELECT id, posted_at, embedding FROM {POSTS} WHERE {_USABLE} AND author_id = '{OWN}'), n AS {asked}, u AS (SELECT id, embedding FROM n WHERE {_USABLE}),
+    s AS (SELECT u.id, min({{'s': -round(list_cosine_similarity(u.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6), 'm': d.id, 'at': epoch_ms(d.posted_at)}}) AS b FROM u, d GROUP BY u.id),
+    a AS (SELECT n.id, CASE WHEN u.id IS NOT NULL THEN greatest(coalesce(-b['s'], 0), 0) END AS score, b['m'] AS match, ({S.NOW_MS} - coalesce(b['at'], 0)) / {S.DAY_MS}.0::DOUBLE AS age FROM n LEFT JOIN u ON u.id = n.id LEFT JOIN s ON s.id = n.id)
+    SELECT id, coalesce(score, 0) AS score, {_STATUS} AS status, CASE WHEN score >= 0.65 THEN match END AS match, CASE WHEN score >= 0.65 AND score < 0.85 THEN floor(age + 0.5)::BIGINT END AS age_days FROM a)"""
+
+
+def novelty_of(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
+    """``operators.similarity.novelty`` of a bounded number of posts (id, v) against the own posts."""
+    wanted = with_vectors(spark, sf, asked.select("id", "v")).select("id", "text").collect()
+    known = {r["id"]: r["text"] for r in wanted if r["text"] is not None and len(r["text"]) == DIM and all(e is not None and e == e for e in r["text"]) and any(r["text"])}
+    own = live_vectors(spark, sf, "embedding", ("author_id", "posted_at")).where(F.col("author_id") == OWN)
+    matches = v.best_matches(own, "id", "x", known)
+    has = spark.createDataFrame([(r["id"], r["id"] in known) for r in wanted], "id string, has boolean")
+    return v.novelty(matches, has, posts(spark, sf, ["author_id", "posted_at"]).where(F.col("author_id") == OWN).select(F.col("id").alias("match"), F.unix_millis("posted_at").alias("posted_ms")), S.NOW_MS)
+
+
+@query("J15_V13_novelty", f"SELECT * FROM {_novelty_sql(f'(SELECT id, embedding FROM {POSTS} WHERE author_id <> {chr(39)}{OWN}{chr(39)} AND x_score IS NOT NULL ORDER BY x_score DESC, id LIMIT 60)')}")
 def novelty(spark: SparkSession, sf: str) -> DataFrame:
-    """The best match of each of 30 candidates (the feature's bound) among one author's own posts."""
-    rows = live_vectors(spark, sf, "embedding", ("author_id", "x_score")).where(usable("x", DIM))
-    wanted = rows.where("author_id <> 'mira-solvane' AND x_score IS NOT NULL").orderBy(F.desc("x_score"), "id").limit(30).collect()
-    own = rows.where("author_id = 'mira-solvane'")
-    return v.best_matches(own, "id", "x", {r["id"]: r["x"] for r in wanted}).select("id", "score", F.when(F.col("score") >= 0.85, "posted").when(F.col("score") >= 0.65, "covered").otherwise("new").alias("status"))
+    """The best match of each of 60 candidates (the feature's bound) among one author's own posts, and what follows from it and its age."""
+    rows = flagged(spark, sf, ["author_id", "x_score"])
+    return novelty_of(spark, sf, rows.where((F.col("author_id") != OWN) & F.col("x_score").isNotNull()).orderBy(F.desc("x_score"), "id").limit(60))

@@ -6,14 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: First cells that mark a header line (fixed values).
-HEADERS = ("url", "urls", "profile", "profile url", "profileurl", "profile_url", "linkedin", "linkedin url", "linkedinurl", "linkedin_url", "link", "creator", "handle", "name", "account")
+HEADERS = ("url", "urls", "profile", "profile_url", "profileurl", "handle", "handles", "link", "links", "creator", "creators", "username", "name", "twitter", "linkedin")
 
 
 def first_cells(lines: DataFrame) -> DataFrame:
-    """(n, cell): S15: the first cell of each line (n, value), without quotes; blank ones and a first line of headers are left out."""
-    cell = F.trim(F.regexp_replace(F.trim(F.split("value", ",")[0]), r'^"|"$', ""))
+    """(n, cell): S15: the first cell of each line (n, value), without quotes; blank ones are left out, and the first that is not blank if it is a header."""
+    cell = F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.split("value", ",")[0], r"^\s+|\s+$", "")), r"^[\"']|[\"']$", ""))
     rows = lines.select("n", cell.alias("cell")).where("cell <> ''")
-    return rows.where(~((F.col("n") == 0) & F.lower("cell").isin(*HEADERS)))
+    first = rows.agg(F.min(F.struct("n", F.lower("cell").alias("word"))).alias("f"))  # one row
+    return rows.crossJoin(first).where(~((F.col("n") == F.col("f.n")) & F.col("f.word").isin(*HEADERS))).select("n", "cell")
+
+
+def draft_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(day, draft, archetype, text): S17: the drafts of dated files ``yyyy-MM-dd.json``; entries without all three texts are skipped.
+
+    Of drafts with one id in a file one counts. A file that is not JSON or holds no list has no drafts.
+    """
+    files = spark.read.option("wholetext", "true").text(f"{folder}/*.json").select("value", F.to_date(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})\.json$", 1)).alias("day"))
+    lists = F.try_variant_get(F.try_parse_json("value"), "$.drafts", "array<variant>")
+    rows = files.where("day IS NOT NULL").select("day", F.explode(lists).alias("d"))
+    text = lambda p: F.when(F.schema_of_variant(F.try_variant_get("d", f"$.{p}", "variant")) == "STRING", F.try_variant_get("d", f"$.{p}", "string"))
+    return rows.select("day", text("id").alias("draft"), text("archetype").alias("archetype"), text("text").alias("text")).dropna().dropDuplicates(["day", "draft"])
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
