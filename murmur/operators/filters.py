@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from murmur.sources.settings import DAY_MS, PAGE, PAGE_MOST, PLATFORMS, TIMEFRAMES
 
+#: Windows of boards and the most days of a growth report.
+WINDOWS, MOST_DAYS = (1, 7, 30), 365
 SORTS = ("recent", "likes", "xfactor", "xscore", "relevance")
 
 
@@ -52,7 +55,7 @@ def clamp_page(page: float | None, page_size: float | None) -> tuple[int, int]:
 
 
 def parse(query: Mapping[str, str]) -> PostFilters:
-    """Filters of a query string's parameters. Unknown choices and broken numbers are dropped and named in ``ignored``."""
+    """Filters of a query string's parameters. What has no effect is told in ``ignored``, one line each."""
     ignored: list[str] = []
 
     def listed(*names: str) -> tuple[str, ...]:
@@ -61,25 +64,30 @@ def parse(query: Mapping[str, str]) -> PostFilters:
     def choice(name: str, known: tuple[str, ...], default: str) -> str:
         value = query.get(name, "")
         if value and value not in known:
-            ignored.append(name)
+            ignored.append(f"{name}='{value}' is not known and was ignored; expected one of {', '.join(known)}")
         return value if value in known else default
 
     def number(name: str) -> float | None:
         value = _number(query.get(name))
         if query.get(name) and value is None:
-            ignored.append(name)
+            ignored.append(f"{name}='{query[name]}' is not a number and was ignored")
         return value
 
     asked = listed("platforms", "platform")
-    platforms = tuple(dict.fromkeys(p for p in asked if p in PLATFORMS))
-    if any(p not in PLATFORMS and p != "all" for p in asked):
-        ignored.append("platform")
-    if "all" in asked or len(platforms) == len(PLATFORMS):
+    platforms = tuple(dict.fromkeys(p.lower() for p in asked if p.lower() in PLATFORMS))
+    unknown = [p for p in asked if p.lower() not in PLATFORMS and p.lower() != "all"]
+    if unknown:
+        ignored.append(f"platforms not known and ignored: {', '.join(unknown)}; expected {', '.join(PLATFORMS)}")
+    if "all" in [p.lower() for p in asked] or len(platforms) == len(PLATFORMS):
         platforms = ()
     dates = {n: query.get(n) or None for n in ("dateFrom", "dateTo")}
     timeframe = choice("timeframe", (*TIMEFRAMES, "all", "custom"), "custom" if any(dates.values()) and not query.get("timeframe") else "all")
     if timeframe != "custom" and any(dates.values()):
-        ignored += [n for n, v in dates.items() if v]
+        ignored.append(f"{' and '.join(n for n, v in dates.items() if v)} ignored: timeframe='{timeframe}' goes before, only custom takes dates")
+    if query.get("semantic") == "true" and not (query.get("q") or query.get("keywords")):
+        ignored.append("semantic=true ignored: there are no keywords to embed")
+    for name in ("imageThreshold", "textThreshold"):
+        number(name)
     page, size = clamp_page(number("page"), number("pageSize"))
     return PostFilters(
         platforms=platforms, keywords=listed("q", "keywords"), match=choice("match", ("any", "all"), "any"), authors=listed("authors"),
@@ -91,7 +99,7 @@ def parse(query: Mapping[str, str]) -> PostFilters:
 
 def warnings(filters: PostFilters, has_text: bool | None = None) -> list[str]:
     """One line for everything that was asked for and has no effect."""
-    out = [f"{name} is not understood and was ignored" for name in filters.ignored]
+    out = list(filters.ignored)
     if filters.sort == "relevance" and not filters.keywords:
         out.append("sort by relevance needs keywords; sorted by date instead")
     if has_text is False:
@@ -101,6 +109,36 @@ def warnings(filters: PostFilters, has_text: bool | None = None) -> list[str]:
     return out
 
 
+def _whole(text: str | None, default: int) -> float | None:
+    """A parameter's number: the default if absent, 0 if empty, None if it is none."""
+    if text is None:
+        return default
+    return _number(text) if text.strip() else 0
+
+
+def window_days(text: str | None) -> int:
+    """the window of a board, one of WINDOWS; 1 by default, anything else raises ValueError."""
+    value = _whole(text, 1)
+    if value not in WINDOWS:
+        raise ValueError(f"window must be one of {', '.join(map(str, WINDOWS))}")
+    return int(value)
+
+
+def growth_days(text: str | None) -> int:
+    """a whole number of days from 1 to MOST_DAYS; 7 by default, anything else raises ValueError."""
+    value = _whole(text, 7)
+    if value is None or value != int(value) or not 1 <= value <= MOST_DAYS:
+        raise ValueError(f"days must be a whole number between 1 and {MOST_DAYS}")
+    return int(value)
+
+
+def day_key(text: str | None) -> str | None:
+    """a day as ``yyyy-MM-dd``; None if absent. What has another form raises ValueError rather than taking another day."""
+    if text is not None and not re.fullmatch(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", text):
+        raise ValueError("the day must be given as yyyy-MM-dd")
+    return text
+
+
 def narrows(filters: PostFilters) -> bool:
     """Whether anything but keywords, order and paging restricts the result."""
     free = replace(filters, keywords=(), match="any", sort="recent", page=1, page_size=PAGE, ignored=())

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.order import placed
 from murmur.sources import settings as S
 
 DAY = float(S.DAY_MS)
@@ -57,11 +58,10 @@ def window_growth(captures: DataFrame, series: Sequence[str], days: int, as_of_m
     )
 
 
-def ranked(rows: DataFrame, metric: str, name: str = "rank") -> DataFrame:
-    """Ranks by the metric, unmeasured rows last; ties by followers, then author; unmeasured ones by author only."""
+def ranked(rows: DataFrame, metric: str, name: str = "rank", more: Sequence[str] = ()) -> DataFrame:
+    """Ranks by the metric, unmeasured rows last; ties by followers, then author and ``more``; unmeasured ones by author only."""
     m = F.col(metric)
-    order = [m.isNull(), m.desc(), F.when(m.isNotNull(), F.col("followers")).desc(), F.col("author_id")]
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)).cast("long"))  # a board of tracked accounts
+    return placed(rows, [m.isNull(), m.desc(), F.when(m.isNotNull(), F.col("followers")).desc(), F.col("author_id"), *[F.col(c) for c in more]], name)
 
 
 def total(prefix: str = "") -> Column:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmur.operators.order import running
+
 
 def first_rows(df: DataFrame, key: Sequence[str], order: Sequence) -> DataFrame:
     """One whole row a key: the first in the order given; rows with a null in the key are kept apart."""
@@ -94,3 +96,29 @@ def batches(df: DataFrame, group: str, order: Sequence[str], size: str, most_row
     rows = df.withColumn("_stretch", stretch)
     place = F.row_number().over(Window.partitionBy(group, "_stretch").orderBy(*order)) - 1
     return rows.withColumn("batch", F.struct("_stretch", F.floor(place / most_rows).alias("part"))).drop("_stretch")
+
+
+def remeasured(target: DataFrame, scraped: DataFrame, days: DataFrame, on: str, at: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(posts, days, authors): X4: what a second look at posts leaves: known ones with their new numbers, new ones added, a capture of each, and
+    the authors to score again.
+
+    ``target``, ``scraped``: id, author_id, likes, comments, shares, one row an id; ``days``: post_id, captured_on, captured_at, likes,
+    comments, shares. ``on`` is the day and ``at`` the instant of the capture; a second one of a day replaces the first.
+    """
+    numbers = ["likes", "comments", "shares"]
+    updated = update_only(target, scraped, "id", numbers)
+    posts = updated.unionByName(scraped.join(target.select("id"), "id", "left_anti").select(*target.columns))
+    seen = scraped.select(F.col("id").alias("post_id"), F.lit(on).cast("date").alias("captured_on"), F.lit(at).cast("timestamp").alias("captured_at"), *numbers)
+    authors = scraped.select("author_id").where("author_id <> ''").distinct()
+    return posts, upsert(days, seen, ["post_id", "captured_on"], "captured_at"), authors
+
+
+def back_fill_plan(wanted: DataFrame, order: Sequence, available: str, each: int, budget: int) -> DataFrame:
+    """``wanted`` with ``asked``: how many records each account may give, in order: at most ``each`` and what is left of ``budget``.
+
+    ``available``: the records an account has; those count against the budget, not those asked for. Accounts that nothing is left
+    for have no row. Nothing is fetched: this is the plan.
+    """
+    rows = wanted.withColumn("_give", F.least(F.col(available), F.lit(each)))
+    rows = running(rows, order, "_give", "_before")
+    return rows.withColumn("asked", F.least(F.lit(each), F.lit(budget) - F.col("_before"))).where("asked > 0").withColumn("fetched", F.least("asked", "_give")).drop("_give", "_before")

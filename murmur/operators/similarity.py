@@ -14,28 +14,38 @@ from murmur.functions.scalars import first_sentence
 from murmur.sources import settings as S
 
 
-def scored(df: DataFrame, key: str, field: str, vector: Sequence[float]) -> DataFrame:
-    """(key, score): V2, V5: the cosine of every usable vector with the query vector, to 6 decimals.
+def scored(df: DataFrame, key: str, field: str, vector: Sequence[float], more: Sequence[str] = ()) -> DataFrame:
+    """(key, more..., score): V2, V5: the cosine of every vector with the query vector, to 6 decimals.
 
-    Vectors of another length than the query's or without a direction have no row; a zero query scores nothing.
+    Vectors of another length than the query's or without a direction have a null score, as has every row of a zero query. Only what
+    is named is read, and the vectors go no further than this.
     """
     q = np.asarray(vector, float)
     size = float(np.sqrt(q @ q))
-    rows = df.select(F.col(key).alias("k"), F.col(field).cast("array<float>").alias("x")).where(F.col("x").isNotNull())
-    kind = dict(rows.dtypes)["k"]
     q = q / size if size else q
+    rows = df.select(F.col(key).alias("k"), *[F.col(c).alias(f"m{i}") for i, c in enumerate(more)], F.col(field).cast("array<float>").alias("x"))
+    names = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, x = unpack(batch.column(1), len(q)) if size else (np.empty(0, np.int64), np.empty((0, len(q))))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.round(unit(x) @ q, 6) if len(x) else np.empty(0))], names=["k", "score"])
+            at, x = unpack(batch.column(len(names)), len(q)) if size else (np.empty(0, np.int64), np.empty((0, len(q))))
+            score, there = np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            if len(x):
+                score[at], there[at] = np.round(unit(x) @ q, 6), True
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(names))], pa.array(score, mask=~there)], names=[*names, "score"])
 
-    return rows.mapInArrow(run, f"k {kind}, score double").select(F.col("k").alias(key), "score")
+    types = dict(rows.dtypes)
+    out = rows.mapInArrow(run, ", ".join(f"{n} {types[n]}" for n in names) + ", score double")
+    return out.select(F.col("k").alias(key), *[F.col(f"m{i}").alias(c) for i, c in enumerate(more)], "score")
 
 
 def nearest(df: DataFrame, key: str, field: str, vector: Sequence[float], k: int = S.RETRIEVED) -> DataFrame:
-    """(key, score): O5: the ``k`` rows most similar to the query vector, the smaller key first when equal."""
-    return scored(df, key, field, vector).orderBy(F.desc("score"), key).limit(k)
+    """(key, score): O5: the ``k`` rows most similar to the query vector, the smaller key first when equal; rows without a score are none."""
+    return best_scored(scored(df, key, field, vector), key, k)
+
+
+def best_scored(rows: DataFrame, key: str, k: int = S.RETRIEVED) -> DataFrame:
+    return rows.where("score IS NOT NULL").select(key, "score").orderBy(F.desc("score"), key).limit(k)
 
 
 def fused(lists: Sequence[DataFrame], key: str, k: int = S.RRF_K) -> DataFrame:

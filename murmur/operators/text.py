@@ -84,11 +84,28 @@ def ranked(df: DataFrame, key: str, text: str, terms: Sequence[str], stems: bool
 
 
 def postings(df: DataFrame, key: str, text: str, stems: bool = True) -> DataFrame:
-    """(token, key, tf, places): the whole index; T-2, T-8: rows of changed texts are replaced by key."""
+    """(token, key, tf, places): the whole index; T-2. Words are stemmed batch by batch where they are, so no word is brought together."""
     flat = df.select(F.col(key).alias("k"), F.posexplode(tokens(F.col(text))).alias("pos", "word"))
-    if stems:
-        words = flat.select("word").distinct().withColumn("token", stemmed("word"))  # the vocabulary, once
-        flat = flat.join(words, "word")
-    else:
-        flat = flat.withColumnRenamed("word", "token")
+    flat = flat.withColumn("token", stemmed("word")) if stems else flat.withColumnRenamed("word", "token")
     return flat.groupBy("token", "k").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("places")).select("token", F.col("k").alias(key), "tf", "places")
+
+
+def maintained(index: DataFrame, before: DataFrame, after: DataFrame, key: str, text: str, stems: bool = True) -> DataFrame:
+    """X6, T-8: the index of ``after`` from that of ``before`` (both key, text; one row a key).
+
+    Only rows that are new, gone or of another text are touched; other changes to a row leave the index as it is.
+    """
+    old, new = before.select(F.col(key).alias("_k"), F.col(text).alias("_old")), after.select(F.col(key).alias("_n"), F.col(text).alias("_new"))
+    both = old.join(new, F.col("_k") == F.col("_n"), "full").where(~F.col("_old").eqNullSafe(F.col("_new")) | F.col("_k").isNull() | F.col("_n").isNull())
+    gone = both.where("_k IS NOT NULL").select(F.col("_k").alias(key))
+    added = both.where("_n IS NOT NULL").select(F.col("_n").alias(key), F.col("_new").alias(text))
+    return index.join(gone, key, "left_anti").unionByName(postings(added, key, text, stems))
+
+
+def integrity(index: DataFrame, df: DataFrame, key: str, text: str, stems: bool = True) -> DataFrame:
+    """(postings, missing, stray): T-8: one row: the postings that the texts give, and how many of them the index lacks or has besides."""
+    row = lambda d, side: d.select("token", key, "places", F.lit(side).alias("s"))
+    both = row(postings(df, key, text, stems), 1).unionByName(row(index, 2)).groupBy("token", key, "places")
+    sides = both.agg(F.count_if(F.col("s") == 1).alias("a"), F.count_if(F.col("s") == 2).alias("b"))
+    least = lambda x, y: F.coalesce(F.sum(F.greatest(F.col(x) - F.col(y), F.lit(0))), F.lit(0))
+    return sides.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("postings"), least("a", "b").alias("missing"), least("b", "a").alias("stray"))

@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from murmur.operators import filters as fl
 from murmur.operators import similarity as v
 from murmur.operators import text as t
-from murmur.operators.versions import latest
 from murmur.plans.corpus import posts
-from murmur.plans.facets import authors
-from murmur.plans.search import matching
-from murmur.plans.similarity import DIM, IMAGE_DIM
+from murmur.plans.search import authors_of, matching
+from murmur.plans.similarity import DIM, IMAGE_DIM, TEXTS, flagged, live_scores, with_vectors
 from murmur.sources import settings as S
-from murmur.sources.tables import table
 
 Embedder = Callable[[str], Sequence[float]]
 
@@ -48,14 +45,14 @@ def answer(spark: SparkSession, sf: str, query: Mapping[str, str], embed: Embedd
     """
     f = fl.parse(query)
     warn = fl.warnings(f, has_text=bool(t.phrases(f.keywords)) if f.keywords else None)
-    facet = authors(spark, sf)
+    facet = authors_of(spark, sf, f)
     rows = _with_keywords(spark, sf, f)
     for flag, kind, least in (("groupByImage", "image", S.IMAGE_SIMILAR), ("trends", "content", S.CONTENT_SIMILAR)):
         if query.get(flag) == "true":
-            vectors = latest(table(spark, sf, "posts").withColumnsRenamed({"embedding": "text", "image_embedding": "image"}), ["shares", "text", "image"])
             need = "text IS NOT NULL AND image IS NOT NULL" if kind == "image" else "text IS NOT NULL"
-            top = rows.select("id", "likes").join(vectors, "id").where(need).orderBy(F.desc("likes"), "id").limit(S.CANDIDATES)
-            return Answer(top.select("id", "likes"), facet, groups=v.candidate_groups(top, (DIM, IMAGE_DIM), kind, least), warnings=warn)
+            found = flagged(spark, sf, ["likes", "shares", *TEXTS]).where(need).join(rows.select("id"), "id", "left_semi")
+            top = with_vectors(spark, sf, found.orderBy(F.desc("likes"), "id").limit(S.CANDIDATES))
+            return Answer(top.select("id", "likes"), facet, groups=v.labelled(v.candidate_groups(top, (DIM, IMAGE_DIM), kind, least), top, kind), warnings=warn)
     if query.get("semantic") == "true" and f.keywords:
         vector: Sequence[float] | None = None
         try:
@@ -66,10 +63,10 @@ def answer(spark: SparkSession, sf: str, query: Mapping[str, str], embed: Embedd
         words = t.ranked(free, "id", "content", f.keywords).orderBy("bm25", "id").limit(S.RETRIEVED)
         lists = [words.select("id", F.row_number().over(Window.orderBy("bm25", "id")).alias("rank"))]
         if vector is not None:
-            allowed = latest(table(spark, sf, "posts").withColumn("x", F.col("embedding")), ["x"])
+            allowed = live_scores(spark, sf, list(vector))
             if fl.narrows(f):
                 allowed = allowed.join(free.select("id"), "id", "left_semi")
-            near = v.nearest(allowed, "id", "x", vector)
+            near = v.best_scored(allowed, "id")
             lists.append(near.select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank")))
         elif embed is None:
             warn.append("semantic search is off: no embedder")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators import filters as fl
 from murmur.operators import text as t
+from murmur.operators.order import placed
 from murmur.plans.corpus import COMMENTS, CREATORS, FOLLOWERS, POSTS, comments, creators, followers, posts
 from murmur.plans.registry import query
 from murmur.plans.search import matching
@@ -45,12 +46,12 @@ def resorted(spark: SparkSession, sf: str) -> DataFrame:
     return both.orderBy(F.desc_nulls_last("likes"), "id").select("id", "likes")
 
 
-@query("O10_names_by_locale")
+@query("O10_names_by_locale", f"SELECT platform, profile_url, display_name, row_number() OVER (PARTITION BY platform ORDER BY display_name COLLATE en NULLS LAST, profile_url) AS place FROM {CREATORS}")
 def names_by_locale(spark: SparkSession, sf: str) -> DataFrame:
-    """Account names in a language's order rather than that of bytes."""
-    rows = creators(spark, sf, ["platform", "display_name"])
-    place = F.row_number().over(Window.partitionBy("platform").orderBy(F.collate("display_name", "UNICODE").asc_nulls_last(), "profile_url"))
-    return rows.select("platform", "profile_url", "display_name", place.cast("long").alias("place"))
+    """Account names of each platform in a language's order rather than that of bytes."""
+    rows = placed(creators(spark, sf, ["platform", "display_name"]).select("platform", "profile_url", "display_name"), [F.col("platform"), F.collate("display_name", "UNICODE").asc_nulls_last(), F.col("profile_url")])
+    starts = rows.groupBy(F.col("platform").alias("of")).agg(F.min("place").alias("start"))  # a row a platform
+    return rows.join(F.broadcast(starts), F.col("platform").eqNullSafe(F.col("of"))).select("platform", "profile_url", "display_name", (F.col("place") - F.col("start") + 1).alias("place"))
 
 
 @query("O12_to_comment", f"SELECT id FROM {POSTS} WHERE platform = 'linkedin' AND epoch_ms(posted_at) >= {S.NOW_MS - 30 * S.DAY_MS} ORDER BY posted_at DESC, id LIMIT 100")
@@ -110,14 +111,12 @@ def series(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("author_id", "platform", F.array_join(F.transform("s", lambda x: x["followers"].cast("string")), ",").alias("series"))
 
 
-@query("F15_note_gates", "SELECT * FROM (VALUES ('substack-a', true), ('substack-note-b', true), (NULL, false)) v(id, kept)")
+@query("F15_note_gates", f"SELECT CASE WHEN id LIKE 'substack-note-%' AND coalesce(trim(content, ' '), '') = '' AND image_url IS NULL THEN 'empty note' ELSE 'kept' END AS gate, count(*) AS posts FROM {POSTS} WHERE platform = 'substack' GROUP BY 1")
 def note_gates(spark: SparkSession, sf: str) -> DataFrame:
-    """Newsletter records by type: articles and notes with text are kept, empty notes are not."""
-    from murmur.operators.mappers import newsletter_posts
-    from murmur.plans.ingest import raw
+    """Newsletter records by what the gates say: articles and notes that hold something are kept."""
+    from murmur.plans.ingest import newsletter
 
-    rows = newsletter_posts(raw(spark, [{"id": "a", "title": "t"}, {"type": "note", "id": "b", "body": "x"}, {"type": "note", "id": "c", "body": "  "}]))
-    return rows.select("id", F.col("error").isNull().alias("kept"))
+    return newsletter(spark, sf).groupBy(F.coalesce("error", F.lit("kept")).alias("gate")).agg(F.count("*").alias("posts"))
 
 
 @query("J7_commenting_creators", f"SELECT c.author_id, count(*) AS comments FROM {COMMENTS} c WHERE c.author_id IN (SELECT author_id FROM {CREATORS} WHERE author_id IS NOT NULL) GROUP BY c.author_id")

@@ -44,19 +44,32 @@ def scrape_status(spark: SparkSession, sf: str) -> DataFrame:
     return known.join(rows, "platform", "left").select("platform", "last_ms", F.coalesce("posts", F.lit(0)).cast("long").alias("posts"))
 
 
-@query("A6_Q5_authors", f"""WITH n AS (SELECT author_id, author_name, platform, count(*) AS c FROM {POSTS} WHERE author_id IS NOT NULL AND author_id <> '' GROUP BY ALL),
+def _authors_sql(rows: str) -> str:
+    return f"""WITH n AS (SELECT author_id, author_name, platform, count(*) AS c FROM {rows} WHERE author_id IS NOT NULL AND author_id <> '' GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY author_id ORDER BY (coalesce(regexp_matches(author_name, '\\s|[A-Z]'), false)) DESC, c DESC, coalesce(len(author_name), 0) DESC,
-    author_name NULLS LAST, platform) AS r, sum(c) OVER (PARTITION BY author_id) AS posts FROM n)
-    SELECT r.author_id, r.author_name, r.platform, r.posts::BIGINT AS posts, c.author_id IS NOT NULL AS is_core FROM r LEFT JOIN (SELECT DISTINCT author_id FROM creators) c ON c.author_id = r.author_id WHERE r = 1""")
-def authors(spark: SparkSession, sf: str) -> DataFrame:
-    """The author facet: the most human name of each account, with its posts; tracked accounts are core, whatever the platform."""
-    rows = posts(spark, sf, ["author_id", "author_name", "platform"]).where("author_id IS NOT NULL AND author_id <> ''")
-    names = rows.groupBy("author_id", "author_name", "platform").agg(F.count("*").alias("c"))
+    author_name NULLS LAST, platform) AS r, sum(c) OVER (PARTITION BY author_id) AS posts FROM n),
+    k AS (SELECT author_id, max({{'u': coalesce(updated_at, TIMESTAMPTZ '1970-01-01 00:00:00+00'), 'id': id, 'a': avatar_url, 'p': persona}}) AS m FROM creators WHERE author_id IS NOT NULL GROUP BY author_id)
+    SELECT r.author_id, r.author_name, r.platform, r.posts::BIGINT AS posts, k.m['a'] AS avatar, k.m['p'] AS persona, k.author_id IS NOT NULL AS is_core FROM r LEFT JOIN k ON k.author_id = r.author_id WHERE r = 1"""
+
+
+def author_facet(rows: DataFrame, accounts: DataFrame) -> DataFrame:
+    """(author_id, author_name, platform, posts, avatar, persona, is_core): the authors of ``rows``, each by its most human name.
+
+    Avatar and persona are those of the account last updated; tracked accounts are core, whatever the platform.
+    """
+    names = rows.where("author_id IS NOT NULL AND author_id <> ''").groupBy("author_id", "author_name", "platform").agg(F.count("*").alias("c"))
     human = F.coalesce(F.col("author_name").rlike(r"\s|[A-Z]"), F.lit(False))
     key = F.struct((~human).alias("a"), (-F.col("c")).alias("b"), (-F.coalesce(F.length("author_name"), F.lit(0))).alias("d"), F.col("author_name").isNull().alias("e"), F.col("author_name"), F.col("platform"))
     best = names.groupBy("author_id").agg(F.min(key).alias("k"), F.sum("c").alias("posts"))
-    core = table(spark, sf, "creators").select("author_id").distinct().withColumn("core", F.lit(True))
-    return best.join(core, "author_id", "left").select("author_id", "k.author_name", "k.platform", "posts", F.coalesce("core", F.lit(False)).alias("is_core"))
+    last = F.max_by(F.struct("avatar_url", "persona"), F.struct(F.coalesce("updated_at", F.lit("1970-01-01").cast("timestamp")), F.col("id"))).alias("m")
+    core = accounts.where("author_id IS NOT NULL").groupBy("author_id").agg(last)
+    return best.join(core, "author_id", "left").select("author_id", "k.author_name", "k.platform", "posts", F.col("m.avatar_url").alias("avatar"), F.col("m.persona").alias("persona"), F.col("m").isNotNull().alias("is_core"))
+
+
+@query("A6_Q5_authors", _authors_sql(POSTS))
+def authors(spark: SparkSession, sf: str) -> DataFrame:
+    """The author facet of all posts."""
+    return author_facet(posts(spark, sf, ["author_id", "author_name", "platform"]), table(spark, sf, "creators"))
 
 
 @query("A8_latest_day", f"SELECT strftime(max(captured_on), '%Y-%m-%d') AS day, count(*) AS captures FROM {FOLLOWERS}")

@@ -76,9 +76,7 @@ _BOARD = f"""WITH r AS (SELECT author_id, display_name FROM {CREATORS} WHERE pla
 @query("Q8_W5_leaderboard", _BOARD + """ SELECT * REPLACE (round(percent, 6) AS percent), row_number() OVER (ORDER BY gained IS NULL, gained DESC, CASE WHEN gained IS NOT NULL THEN followers END DESC, author_id, display_name) AS rank FROM b""")
 def leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     rows = board(spark, sf, 7)
-    m = F.col("gained")
-    at = Window.orderBy(m.isNull(), m.desc(), F.when(m.isNotNull(), F.col("followers")).desc(), "author_id", "display_name")  # the tracked roster
-    return rows.withColumn("rank", F.row_number().over(at).cast("long")).withColumn("percent", F.round("percent", 6))
+    return g.ranked(rows, "gained", more=("display_name",)).withColumn("percent", F.round("percent", 6))
 
 
 @query("Q8_W5_percent_board", _BOARD + f" SELECT author_id, followers, round(percent, 6) AS percent, row_number() OVER (ORDER BY percent DESC, followers DESC, author_id) AS rank FROM b WHERE followers >= {S.FOLLOWER_FLOOR} AND percent IS NOT NULL")

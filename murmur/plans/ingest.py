@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from murmur.operators import ingest as i
 from murmur.operators import mappers as m
 from murmur.operators.versions import latest
-from murmur.plans.corpus import FOLLOWERS, GROWTH, POSTS, comments, creators, followers, post_days, posts
+from murmur.plans.corpus import COMMENTS, CREATORS, FOLLOWERS, GROWTH, POSTS, comments, creators, followers, post_days, posts
 from murmur.plans.registry import query
 from murmur.sources.tables import table
 
@@ -22,52 +22,106 @@ def raw(spark: SparkSession, records: list[dict | str]) -> DataFrame:
     return spark.createDataFrame([(r if isinstance(r, str) else json.dumps(r),) for r in records], "raw string")
 
 
-def _rows(df: DataFrame) -> DataFrame:
-    return df.select("id", "content", "author_id", "likes", "shares", "comments", F.unix_millis("posted_at").alias("posted_ms"), F.col("is_repost").cast("long").alias("is_repost"), F.get_json_object("media", "$.type").alias("media"), "error")
+_SEEN = ("author_id", "author_name", "author_url", "author_type", "url", "content", "likes", "shares", "comments", "posted_at", "is_repost", "image_url")
+_COUNTS = ("likes", "shares", "comments")
 
 
-@query("M1_network_posts", """SELECT * FROM (VALUES ('activity-71', 'Hello', 'ana', 5::BIGINT, 1::BIGINT, 2::BIGINT, 1780308000000::BIGINT, 0::BIGINT, 'image', NULL), ('activity-9', NULL, 'bo', 0, 0, 0, NULL, 1, NULL, NULL),
-    (NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'no id'), (NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'not JSON')) v(id, content, author_id, likes, shares, comments, posted_ms, is_repost, media, error)""")
+def source_posts(spark: SparkSession, sf: str, platform: str) -> DataFrame:
+    """The latest posts of a platform with ``n``, their number there, and ``iso``, their instant as text."""
+    rows = posts(spark, sf, ["platform", *_SEEN]).where(F.col("platform") == platform)
+    return rows.withColumn("n", F.regexp_extract("id", r"([^\-]+)$", 1)).withColumn("iso", F.date_format("posted_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+
+def _record(**fields) -> F.Column:
+    return F.to_json(F.struct(*[(F.col(v) if isinstance(v, str) else v).alias(k) for k, v in fields.items()])).alias("raw")
+
+
+def _mapped(df: DataFrame) -> DataFrame:
+    return df.select("id", "url", "content", "author_id", "author_url", *_COUNTS, F.unix_millis("posted_at").alias("posted_ms"), F.col("is_repost").cast("long").alias("is_repost"), "market", F.get_json_object("media", "$.type").alias("media"), "image_url", "error")
+
+
+def _mapped_sql(platform: str, id_: str, url: str, content: str, author_url: str, media: str, image: str, error: str, shares: str = "shares", comments: str = "comments", posted: str = "epoch_ms(posted_at)", repost: str = "is_repost") -> str:
+    """What the mapped records of a platform's posts are; where there is an error everything else is null."""
+    columns = {"id": id_, "url": url, "content": content, "author_id": "author_id", "author_url": author_url, "likes": "likes", "shares": shares, "comments": comments, "posted_ms": posted, "is_repost": repost, "market": "'ops'", "media": media, "image_url": image}
+    zero = ("likes", "shares", "comments", "is_repost")
+    shown = ", ".join(f"CASE WHEN e IS NULL THEN {f'coalesce({v}, 0)::BIGINT' if k in zero else v} END AS {k}" for k, v in columns.items())
+    return f"SELECT {shown}, e AS error FROM (SELECT *, {error} AS e FROM (SELECT *, regexp_extract(id, '([^-]+)$', 1) AS n FROM {POSTS} WHERE platform = '{platform}'))"
+
+
+_URN = "coalesce(nullif(regexp_extract(url, '(?:activity|ugcPost|share)[-:](\\d+)', 1), ''), n)"
+_IMAGE = "CASE WHEN image_url <> '' THEN 'image' END"
+_SHOWN = "nullif(image_url, '')"
+
+
+@query("M1_network_posts", _mapped_sql("linkedin", _URN, f"'https://www.links.example/feed/update/urn:li:activity:' || {_URN} || '/'", "content", "author_url", _IMAGE, _SHOWN, "NULL::VARCHAR"))
 def network(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(m.network_posts(raw(spark, [
-        {"id": "1", "linkedinUrl": "https://links.example/feed/update/urn:li:activity:71/?x=1", "content": "Hello", "author": {"name": "Ana", "universalName": "ana", "type": "profile"}, "postedAt": {"date": "2026-06-01T10:00:00.000Z"}, "engagement": {"likes": 5, "comments": 2, "shares": 1}, "postImages": [{"url": "https://cdn.example/a.jpg"}]},
-        {"id": "9", "author": {"publicIdentifier": "bo"}, "repostedBy": {"name": "x"}}, {"content": "lost"}, "{broken",
-    ])))
+    """The network's posts written as source records and mapped back."""
+    r = source_posts(spark, sf, "linkedin")
+    author = F.struct(F.col("author_name").alias("name"), F.col("author_id").alias("universalName"), F.col("author_url").alias("linkedinUrl"), F.col("author_type").alias("type"))
+    reposted = F.when(F.col("is_repost") == 1, F.struct(F.lit("x").alias("name")))
+    raw_ = r.select(_record(id="n", linkedinUrl="url", content="content", author=author, engagement=F.struct(*_COUNTS), postedAt=F.struct(F.col("iso").alias("date")), repostedBy=reposted, postImages=F.array(F.struct(F.col("image_url").alias("url")))))
+    return _mapped(m.network_posts(raw_, "ops", "links.example"))
+
+
+_DATED = "CASE WHEN posted_at IS NULL THEN 'bad date' END"
 
 
-@query("M2_micro_blog_posts", """SELECT * FROM (VALUES ('tweet-5', 'hi', 'cy', 3::BIGINT, 2::BIGINT, 1::BIGINT, 1780308000000::BIGINT, 0::BIGINT, NULL, NULL), (NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'bad date')) v(id, content, author_id, likes, shares, comments, posted_ms, is_repost, media, error)""")
+@query("M2_micro_blog_posts", _mapped_sql("twitter", "'tweet-' || n", "url", "content", "'https://chirp.example/' || nullif(author_id, '')", "NULL::VARCHAR", "NULL::VARCHAR", _DATED, posted="epoch_ms(posted_at) // 1000 * 1000"))
 def micro_blog(spark: SparkSession, sf: str) -> DataFrame:
-    one = {"id": "5", "url": "https://chirp.example/cy/status/5", "text": "hi", "author": {"userName": "cy"}, "createdAt": "Mon Jun 01 10:00:00 +0000 2026", "likeCount": 3, "retweetCount": 2, "replyCount": 1, "isRetweet": False}
-    return _rows(m.micro_blog_posts(raw(spark, [one, one | {"createdAt": "yesterday"}])))
+    r = source_posts(spark, sf, "twitter")
+    made = F.date_format("posted_at", "EEE MMM dd HH:mm:ss Z yyyy")
+    raw_ = r.select(_record(id="n", url="url", text="content", author=F.struct(F.col("author_id").alias("userName")), createdAt=made, likeCount="likes", retweetCount="shares", replyCount="comments", isRetweet=F.col("is_repost") == 1))
+    return _mapped(m.micro_blog_posts(raw_, "ops", "chirp.example"))
 
 
-@query("M3_M4_newsletter", """SELECT * FROM (VALUES ('substack-how', 'How' || chr(10) || chr(10) || 'Body', 'pub', 4::BIGINT, 0::BIGINT, 1::BIGINT, 1780308000000::BIGINT, 0::BIGINT, NULL, NULL), ('substack-note-8', 'Old title', 'dee', 0, 0, 0, NULL, 1, NULL, NULL), (NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'empty note'))
-    v(id, content, author_id, likes, shares, comments, posted_ms, is_repost, media, error)""")
+_NOTE = "id LIKE 'substack-note-%'"
+
+
+@query("M3_M4_newsletter", _mapped_sql("substack", "CASE WHEN {0} THEN 'substack-note-' ELSE 'substack-' END || n".format(_NOTE), f"CASE WHEN {_NOTE} THEN 'https://letters.example/@' || nullif(author_id, '') || '/note/c-' || n ELSE url END",
+    f"CASE WHEN {_NOTE} THEN CASE WHEN trim(content, ' ') <> '' THEN content END ELSE nullif(content, '') END", f"CASE WHEN {_NOTE} THEN 'https://letters.example/@' || nullif(author_id, '') ELSE author_url END", _IMAGE, _SHOWN,
+    f"CASE WHEN {_NOTE} AND coalesce(trim(content, ' '), '') = '' AND image_url IS NULL THEN 'empty note' END", shares=f"CASE WHEN {_NOTE} THEN 0 ELSE shares END", comments=f"CASE WHEN {_NOTE} THEN 0 ELSE comments END", repost=f"CASE WHEN {_NOTE} THEN is_repost ELSE 0 END"))
 def newsletter(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(m.newsletter_posts(raw(spark, [
-        {"slug": "how", "title": "How", "subtitle": "", "bodyMarkdown": "Body", "publishedAt": "2026-06-01T10:00:00.000Z", "publicationHandle": "pub", "reactionCount": 4, "commentCount": 1},
-        {"type": "note", "kind": "restack", "id": 8, "authorHandle": "dee", "body": " ", "restackedPost": {"title": "Old title"}}, {"type": "note", "id": 9},
-    ])))
+    r = source_posts(spark, sf, "substack").withColumn("note", F.col("id").like("substack-note-%"))
+    when = lambda c: F.when(F.col("note"), F.col(c))
+    unless = lambda c: F.when(~F.col("note"), F.coalesce(c, F.lit("")) if c == "author_url" else F.col(c))
+    raw_ = r.select(_record(
+        id="n", type=F.when(F.col("note"), "note"), kind=F.when(F.col("note") & (F.col("is_repost") == 1), "restack"), url="url", title=unless("content"), body=when("content"), authorHandle=when("author_id"), authorName=when("author_name"),
+        publicationHandle=unless("author_id"), publicationUrl=F.when(~F.col("note"), F.col("author_url")), publishedAt=unless("iso"), createdAt=when("iso"), reactionCount="likes", restackCount="shares", commentCount="comments", coverImage=unless("image_url"), attachmentUrls=F.when(F.col("note") & F.col("image_url").isNotNull(), F.array("image_url")),
+    ))
+    return _mapped(m.newsletter_posts(raw_.where("raw IS NOT NULL"), "ops", "letters.example"))
 
 
-@query("M5_photo_posts", "SELECT * FROM (VALUES ('instagram-C1', 'sun', 'ed', 7::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, 0::BIGINT, 'video', NULL), ('instagram-33', NULL, 'ed', 0, 0, 2, NULL, 0, 'image', NULL)) v(id, content, author_id, likes, shares, comments, posted_ms, is_repost, media, error)")
+@query("M5_photo_posts", _mapped_sql("instagram", "'instagram-' || n", "coalesce(url, 'https://www.pics.example/p/' || n || '/')", "content", "'https://www.pics.example/' || nullif(author_id, '') || '/'", _IMAGE, _SHOWN, "NULL::VARCHAR", shares="0", repost="0"))
 def photo(spark: SparkSession, sf: str) -> DataFrame:
-    return _rows(m.photo_posts(raw(spark, [
-        {"shortCode": "C1", "caption": "sun", "likesCount": 7, "ownerUsername": "Ed", "videoUrl": "https://cdn.example/v.mp4"}, {"id": "33", "commentsCount": 2, "ownerUsername": "ed", "images": ["https://cdn.example/1.jpg", "https://cdn.example/2.jpg"]},
-    ])))
+    r = source_posts(spark, sf, "instagram")
+    raw_ = r.select(_record(shortCode="n", url="url", caption="content", ownerUsername="author_id", ownerFullName="author_name", likesCount="likes", commentsCount="comments", timestamp="iso", displayUrl="image_url"))
+    return _mapped(m.photo_posts(raw_, "ops", "pics.example"))
 
 
-@query("M6_profiles", "SELECT * FROM (VALUES ('ana', 'Ana Lo', 'Lima', 10::BIGINT, NULL), ('bo', 'Bo', 'Oslo', NULL, '[\"sql\"]')) v(id, name, location, followers, skills)")
+@query("M6_profiles", f"SELECT author_id AS id, nullif(display_name, '') AS name, market AS location, 7::BIGINT AS followers, CASE WHEN json_valid(tags) AND json_array_length(tags) > 0 THEN replace(tags, '", "', '","') END AS skills FROM {CREATORS} WHERE author_id IS NOT NULL")
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
-    rows = m.profiles(raw(spark, [{"publicIdentifier": "ana", "firstName": "Ana", "lastName": "Lo", "location": {"linkedinText": "Lima"}, "followerCount": 10, "skills": []}, {"linkedinUrl": "https://links.example/in/bo/", "name": "Bo", "location": "Oslo", "skills": ["sql"]}]))
-    return rows.select("id", "name", "location", "followers", "skills")
+    """Accounts written as profile records and mapped back; the lists are carried as they are."""
+    rows = creators(spark, sf, ["author_id", "display_name", "market", "tags"]).where("author_id IS NOT NULL")
+    tags = F.from_json("tags", "array<string>")
+    out = m.profiles(rows.select(_record(publicIdentifier="author_id", name="display_name", location=F.struct(F.col("market").alias("linkedinText")), followerCount=F.lit(7), skills=tags)))
+    return out.select("id", "name", "location", "followers", "skills")
+
+
+_TOP = f"(SELECT * FROM {COMMENTS} WHERE parent_comment_id IS NULL AND regexp_matches(id, '^[0-9]+$'))"
 
 
-@query("M7_comments", "SELECT * FROM (VALUES ('71', '1', NULL, 'a', 3::BIGINT), ('71', '2', '1', 'b', 0), ('71', '3', '1', 'c', 0), ('72', '9', NULL, NULL, 0)) v(post_id, id, parent_comment_id, text, likes)")
+@query("M7_comments", f"SELECT regexp_extract(post_id, '([^-]+)$', 1) AS post_id, id, NULL::VARCHAR AS parent_comment_id, text, likes FROM {_TOP} UNION ALL SELECT regexp_extract(t.post_id, '([^-]+)$', 1), r.id, t.id, r.text, r.likes FROM {COMMENTS} r JOIN {_TOP} t ON r.parent_comment_id = t.id")
 def comment_tree(spark: SparkSession, sf: str) -> DataFrame:
-    urn = lambda c: f"https://links.example/x?commentUrn=urn%3Ali%3Acomment%3A%28activity%3A71%2C{c}%29"
-    rows = m.comments(raw(spark, [{"linkedinUrl": urn(1), "commentary": "a", "engagement": {"likes": 3}, "replies": [{"linkedinUrl": urn(2), "commentary": "b"}, {"id": "3", "commentary": "c"}]}, {"id": "9", "postId": "72"}]))
-    return rows.select("post_id", "id", "parent_comment_id", "text", "likes")
+    """Comments with their replies inside, written as source records and flattened again; a reply takes its parent's post."""
+    rows = comments(spark, sf, ["post_id", "parent_comment_id", "text", "likes"]).withColumn("likes", F.coalesce("likes", F.lit(0)))
+    post = F.regexp_extract("post_id", r"([^\-]+)$", 1)
+    urn = F.concat(F.lit("https://links.example/x?commentUrn=urn%3Ali%3Acomment%3A%28activity%3A"), post, F.lit("%2C"), F.col("id"), F.lit("%29"))
+    reply = F.struct("id", F.col("text").alias("commentary"), F.struct("likes").alias("engagement"))
+    replies = rows.where("parent_comment_id IS NOT NULL").groupBy(F.col("parent_comment_id").alias("id")).agg(F.collect_list(reply).alias("replies"))  # the replies of one comment
+    top = rows.where(F.col("parent_comment_id").isNull() & F.col("id").rlike("^[0-9]+$")).join(replies, "id", "left")
+    numbered = post.rlike("^[0-9]+$")
+    raw_ = top.select(_record(linkedinUrl=F.when(numbered, urn), id="id", postId=post, commentary="text", engagement=F.struct("likes"), replies="replies"))
+    return m.comments(raw_).select("post_id", "id", "parent_comment_id", "text", "likes")
 
 
 @query("M8_raw_data", f"SELECT id, json_extract_string(raw_data, '$.id') AS source_id, json_extract(raw_data, '$.likeCount')::BIGINT AS likes FROM {POSTS} WHERE raw_data IS NOT NULL AND json_valid(raw_data)")
@@ -173,5 +227,5 @@ def daily_capture(spark: SparkSession, sf: str) -> DataFrame:
     """One row a post and day, the last capture of the day, from a stream over the table's files."""
     from murmur.streaming.capture import captured_table
 
-    rows = captured_table(spark, sf, "post_snapshots", ["post_id", "captured_on"], "captured_at")
+    rows = captured_table(spark, sf, "post_snapshots", ["post_id", "captured_on"], "captured_at", day="captured_on")
     return rows.select("post_id", F.date_format("captured_on", "yyyy-MM-dd").alias("day"), "likes", "comments", "shares")

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from murmur.plans import corpus, extras, facets, growth, ingest, reports, scalars, score, search, similarity, text, trailing_growth  # noqa: F401
+    from murmur.plans import corpus, extras, facets, growth, ingest, jobs, reports, scalars, score, search, similarity, text, trailing_growth  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

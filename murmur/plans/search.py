@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmur.operators import filters as fl
+from murmur.operators import text as t
+from murmur.operators.order import placed
 from murmur.plans.corpus import POSTS, creators, posts
+from murmur.plans.facets import _authors_sql, author_facet
 from murmur.plans.registry import query
 from murmur.sources.settings import DAY_MS, NOW_MS
 from murmur.sources.tables import table
@@ -117,6 +122,22 @@ def search_posts(spark: SparkSession, sf: str) -> DataFrame:
     return shown.crossJoin(F.broadcast(total)).withColumn("has_more", F.col("total") > (f.page - 1) * f.page_size + f.page_size)
 
 
+def authors_of(spark: SparkSession, sf: str, f: fl.PostFilters) -> DataFrame:
+    """Q5: the authors under all filters but the list of authors itself, keywords included."""
+    free = replace(f, authors=())
+    rows = matching(spark, sf, free, ("author_name", *(["content"] if f.keywords else [])))
+    if f.keywords:
+        held = t.matches(rows, "id", "content", f.keywords, f.match)
+        rows = rows.join(held.select("id"), "id", "left_semi")
+    return author_facet(rows, table(spark, sf, "creators"))
+
+
+@query("Q5_authors_of_search", _authors_sql(f"(SELECT * FROM {POSTS} WHERE platform = 'linkedin' AND likes >= 50 AND epoch_ms(posted_at) >= {NOW_MS - 90 * DAY_MS})"))
+def authors_of_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of authors that a search names does not shrink its facet."""
+    return authors_of(spark, sf, fl.parse(_Q1 | {"authors": "mira-solvane"}))
+
+
 @query("O4_candidates", f"SELECT id FROM {POSTS} WHERE embedding IS NOT NULL ORDER BY likes DESC, id LIMIT 400")
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     from murmur.operators.versions import latest
@@ -133,8 +154,5 @@ def recent_viral(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("O9_names_no_case", "SELECT profile_url, row_number() OVER (ORDER BY lower(display_name) NULLS LAST, profile_url) AS place FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY profile_url ORDER BY updated_at DESC) AS v FROM creators) WHERE v = 1) WHERE platform = 'substack'")
 def names_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = creators(spark, sf, ["platform", "display_name"]).where("platform = 'substack'")
-    at = F.row_number().over(Window.partitionBy("platform").orderBy(F.lower("display_name").asc_nulls_last(), "profile_url"))
-    return rows.select("profile_url", at.cast("long").alias("place"))
+    return placed(rows, [F.lower("display_name").asc_nulls_last(), F.col("profile_url")]).select("profile_url", "place")

@@ -26,8 +26,15 @@ def usable(field: str, dim: int) -> F.Column:
 
 def query_vector(spark: SparkSession, sf: str) -> list[float]:
     """The vector that stands for an embedded question: that of the smallest id (one row)."""
-    rows = table(spark, sf, "posts").where(usable("embedding", DIM)).select("id", "scraped_at", "embedding")
-    return list(rows.orderBy("id", F.desc("scraped_at")).first()["embedding"])
+    ids = table(spark, sf, "posts").where("embedding IS NOT NULL").select("id").distinct().orderBy("id")
+    n = 16
+    while True:
+        first = [r["id"] for r in ids.limit(n).collect()]
+        rows = table(spark, sf, "posts").where(F.col("id").isin(first)).select("id", "scraped_at", "embedding")  # reaches the scan
+        found = latest(rows, ["embedding"]).where(usable("embedding", DIM)).orderBy("id").first()
+        if found or len(first) < n:
+            return list(found["embedding"]) if found else []
+        n *= 4
 
 
 def live_vectors(spark: SparkSession, sf: str, field: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -35,16 +42,22 @@ def live_vectors(spark: SparkSession, sf: str, field: str, more: tuple[str, ...]
     return latest(table(spark, sf, "posts").withColumn("x", F.col(field)), ["x", *more])
 
 
+def live_scores(spark: SparkSession, sf: str, vector: list[float], more: tuple[str, ...] = ()) -> DataFrame:
+    """(id, score, more...): scores of the latest versions; vectors are scored in the scan, only numbers are shuffled."""
+    rows = v.scored(table(spark, sf, "posts"), "id", "embedding", vector, ["scraped_at", *more])
+    return latest(rows, ["score", *more])
+
+
 @query("V5_O5_nearest", f"SELECT a.id, {_COSINE} AS score FROM (SELECT * FROM {POSTS} WHERE {_USABLE}) a, {_QUERY} q ORDER BY score DESC, a.id LIMIT 500")
 def nearest(spark: SparkSession, sf: str) -> DataFrame:
-    return v.nearest(live_vectors(spark, sf, "embedding"), "id", "x", query_vector(spark, sf))
+    return v.best_scored(live_scores(spark, sf, query_vector(spark, sf)), "id")
 
 
 @query("V5_filtered_nearest", f"SELECT a.id, {_COSINE} AS score FROM (SELECT * FROM {POSTS} WHERE {_USABLE} AND platform = 'substack' AND likes >= 20) a, {_QUERY} q ORDER BY score DESC, a.id LIMIT 50")
 def filtered_nearest(spark: SparkSession, sf: str) -> DataFrame:
-    """Filters hold before scoring."""
-    rows = live_vectors(spark, sf, "embedding", ("platform", "likes")).where("platform = 'substack' AND likes >= 20")
-    return v.nearest(rows, "id", "x", query_vector(spark, sf), 50)
+    """Filters hold before ranking."""
+    rows = live_scores(spark, sf, query_vector(spark, sf), ("platform", "likes")).where("platform = 'substack' AND likes >= 20")
+    return v.best_scored(rows, "id", 50)
 
 
 @query("V6_index_report", f"SELECT count(embedding) AS vectors, count(*) FILTER (len(embedding) = 128) AS right_length, count(*) FILTER (len(embedding) <> 128) AS skipped FROM {POSTS}")

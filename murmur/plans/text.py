@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from murmur.operators import similarity as v
 from murmur.operators import text as t
+from murmur.operators.versions import version_of
 from murmur.plans.corpus import POSTS, posts
 from murmur.plans.registry import query
-from murmur.plans.similarity import _COSINE, _QUERY, _USABLE, live_vectors, query_vector
+from murmur.plans.similarity import _COSINE, _QUERY, _USABLE, live_scores, query_vector
 from murmur.sources import settings as S
+from murmur.sources.tables import table
 
 TERMS = ("pricing", "renewal survey", "heat pump")
 _TOKENS = f"(SELECT id, posted_at, list_filter(string_split_regex(lower(coalesce(content, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM {POSTS})"
@@ -31,6 +33,16 @@ def stems(spark: SparkSession, sf: str) -> DataFrame:
     return t.postings(posts(spark, sf, ["content"]), "id", "content").groupBy("token").agg(F.count("*").alias("posts"))
 
 
+@query("X6_T8_maintained_index", f"SELECT (SELECT count(*) FROM (SELECT DISTINCT token, id FROM {_P})) AS postings, 0 AS missing, 0 AS stray, (SELECT count(*) FROM (SELECT id FROM posts GROUP BY id HAVING count(DISTINCT coalesce(content, '')) + count(DISTINCT content IS NULL) > 2)) AS changed")
+def maintained_index(spark: SparkSession, sf: str) -> DataFrame:
+    """The index of every post's first version, brought up to its latest, checked against the texts."""
+    first = table(spark, sf, "posts").groupBy("id").agg(F.min_by(F.struct("content"), version_of()).alias("c")).select("id", "c.content")
+    last = posts(spark, sf, ["content"])
+    index = t.maintained(t.postings(first, "id", "content", stems=False), first, last, "id", "content", stems=False)
+    texts = table(spark, sf, "posts").groupBy("id").agg((F.countDistinct(F.coalesce("content", F.lit(""))) + F.countDistinct(F.col("content").isNull())).alias("n"))
+    return t.integrity(index, last, "id", "content", stems=False).crossJoin(texts.agg(F.count_if(F.col("n") > 2).alias("changed")))
+
+
 @query("F2_T4_match_any", f"SELECT id, phrases FROM {_HOLD}")
 def match_any(spark: SparkSession, sf: str) -> DataFrame:
     return t.matches(posts(spark, sf, ["content"]), "id", "content", TERMS, "any", stems=False)
@@ -71,7 +83,7 @@ def stemmed_search(spark: SparkSession, sf: str) -> DataFrame:
 def hybrid(spark: SparkSession, sf: str) -> DataFrame:
     """BM25 and vectors, 500 each, fused by reciprocal rank; one page."""
     words = bm25(spark, sf).join(posts(spark, sf, ["posted_at"]), "id")
-    near = v.nearest(live_vectors(spark, sf, "embedding"), "id", "x", query_vector(spark, sf))
+    near = v.best_scored(live_scores(spark, sf, query_vector(spark, sf)), "id")
     by = lambda *o: F.row_number().over(Window.orderBy(*o))  # noqa: E731 - 500 rows each
     lists = [words.select("id", by("bm25", F.desc_nulls_last("posted_at"), "id").alias("rank")), near.select("id", by(F.desc("score"), "id").alias("rank"))]
     f = v.fused(lists, "id")

@@ -22,7 +22,7 @@ def draft_files(spark: SparkSession, folder: str) -> DataFrame:
 
     Of drafts with one id in a file one counts. A file that is not JSON or holds no list has no drafts.
     """
-    files = spark.read.option("wholetext", "true").text(f"{folder}/*.json").select("value", F.to_date(F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})\.json$", 1)).alias("day"))
+    files = spark.read.option("wholetext", "true").text(f"{folder}/*.json").select("value", F.regexp_extract(F.input_file_name(), r"(\d{4}-\d{2}-\d{2})\.json$", 1).try_cast("date").alias("day"))
     lists = F.try_variant_get(F.try_parse_json("value"), "$.drafts", "array<variant>")
     rows = files.where("day IS NOT NULL").select("day", F.explode(lists).alias("d"))
     text = lambda p: F.when(F.schema_of_variant(F.try_variant_get("d", f"$.{p}", "variant")) == "STRING", F.try_variant_get("d", f"$.{p}", "string"))

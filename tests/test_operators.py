@@ -336,3 +336,150 @@ def test_clustered_sizes_partitions_from_the_scan(spark):
     assert tables.clustered(posts, "id").rdd.getNumPartitions() == 8
     assert tables.clustered(posts, "id", size=tables.TASK_BYTES * 20 - 1).rdd.getNumPartitions() == 20
     assert tables.clustered(spark.createDataFrame([(1,)], "id int"), "id").rdd.getNumPartitions() == 8
+
+
+def test_parameters_of_reports():
+    from murmur.operators import filters as fl
+
+    assert [fl.window_days(x) for x in (None, "7", "30", "1.0")] == [1, 7, 30, 1]
+    assert [fl.growth_days(x) for x in (None, "1", "365")] == [7, 1, 365] and fl.day_key(None) is None and fl.day_key("2026-06-30") == "2026-06-30"
+    for f, bad in ((fl.window_days, ("2", "", "x")), (fl.growth_days, ("0", "366", "1.5", "nan", "")), (fl.day_key, ("2026-6-1", "today", ""))):
+        for x in bad:
+            with pytest.raises(ValueError):
+                f(x)
+
+
+def test_warnings_name_what_was_expected():
+    from murmur.operators import filters as fl
+
+    w = fl.warnings(fl.parse({"timeframe": "eon", "platform": "LinkedIn,myspace", "minLikes": "many", "imageThreshold": "high", "semantic": "true", "dateFrom": "2026-01-01"}))
+    assert len(w) == 6 and any("expected one of" in x and "week" in x for x in w) and any("myspace" in x and "linkedin" in x for x in w)
+    assert fl.parse({"platform": "LinkedIn"}).platforms == ("linkedin",)
+
+
+def test_inputs_and_preferences():
+    from murmur.sources import requests as r
+
+    assert r.network_accounts(["u"], "3d") == {"targetUrls": ["u"], "maxPosts": 20, "postedLimit": "week"}
+    assert r.micro_blog_keywords(["a"], favorites=0) == {"searchTerms": ["a"], "maxItems": 200, "sort": "Top", "minimumFavorites": 0}
+    assert "userHandles" not in r.newsletter_accounts(["h"], "week") and r.newsletter_accounts(["h"], "week", notes=True)["maxNotesPerAuthor"] == 60
+    assert r.photo_accounts(["x"], "all", "2026-01-01") == {"username": ["x"], "resultsLimit": 500, "onlyPostsNewerThan": "2026-01-01"}
+    assert r.network_comments(["p"])["maxItems"] == 0 and r.network_keywords(["k"], "all")["postedLimit"] == "any" and r.newsletter_keywords(["k"], "24h", reactions=3)["minReactions"] == 3
+    p = r.preferences('{"twitter": {"minimumFavorites": 12.9, "creators": "yes"}, "instagram": {"keywords": true}, "substack": {"includeNotes": true}, "linkedin": 3}')
+    assert p["twitter"] == {"creators": True, "keywords": True, "timeframe": "week", "minimumFavorites": 12} and p["instagram"]["keywords"] is False and p["substack"]["includeNotes"] is True
+    assert r.preferences("{broken") == r.preferences(None) == r.DEFAULT_PREFERENCES and "minimumFavorites" not in r.preferences('{"twitter": {"minimumFavorites": 0}}')["twitter"]
+    assert [r.mode({"creators": a, "keywords": b}) for a in (True, False) for b in (True, False)] == ["both", "creator", "keyword", None]
+    assert r.image_refused("file:///x") and r.image_refused("https://x", "text/html") and r.image_refused("https://x", "image/png", 9 << 20) and r.image_refused("https://x", "image/png; q=1", 10) is None
+
+
+def test_ledger(spark):
+    from murmur.operators import ledger as l
+
+    at = dt.datetime(2026, 1, 1)
+    runs = spark.createDataFrame([("a", "both", "x", at), ("b", "both", "x", at), ("c", "both", "x", at)], "id string, mode string, platforms string, started_at timestamp")
+    done = spark.createDataFrame([("a", 5, 1, 4, 2, 1, 3, None, at), ("b", 5, 1, 4, 2, 1, 3, "boom", at), ("z", 1, 1, 1, 1, 1, 1, None, at)], f"id string, {', '.join(c + ' long' for c in l.COUNTS)}, error string, finished_at timestamp")
+    got = {r["id"]: r for r in l.finished(l.started(runs), done).collect()}
+    assert {k: v["status"] for k, v in got.items()} == {"a": "succeeded", "b": "failed", "c": "running"}
+    assert got["a"]["inserted"] == 3 and got["b"]["inserted"] == 0 and got["b"]["error"] == "boom" and got["c"]["finished_at"] is None
+    assert [r["id"] for r in l.recent(l.started(runs), 2).collect()] == ["c", "b"]
+    assert l.masked({"k": "v", "s": ""}, ("s", "t")) == {"k": "v", "s": "unset", "t": "unset"} and l.ready({"k": "v"}, {"p": "k", "q": "z"}) == {"p": True, "q": False}
+
+
+def test_drafts(spark, tmp_path):
+    from murmur.operators import similarity as v
+    from murmur.sources.landing import draft_files
+
+    (tmp_path / "2026-05-01.json").write_text('{"drafts": [{"id": "a", "archetype": "story", "text": "t"}, {"id": 3, "archetype": "x", "text": "y"}, {"id": "b", "text": "t"}]}')
+    (tmp_path / "2026-05-02.json").write_text("{broken")
+    (tmp_path / "notes.json").write_text('{"drafts": [{"id": "z", "archetype": "s", "text": "t"}]}')
+    got = draft_files(spark, str(tmp_path)).collect()
+    assert [(str(r["day"]), r["draft"], r["archetype"], r["text"]) for r in got] == [("2026-05-01", "a", "story", "t")]
+    day = dt.date
+    posts = spark.createDataFrame([("p", day(2026, 5, 11), [1.0, 0.0]), ("q", day(2026, 5, 12), [1.0, 0.0]), ("r", day(2026, 5, 2), [0.0, 1.0])], "id string, day date, x array<float>")
+    drafts = spark.createDataFrame([("a", day(2026, 5, 1), "s", [1.0, 0.1]), ("b", day(2026, 5, 1), "s", [1.0, 0.1]), ("n", day(2026, 5, 1), "s", None)], "draft string, day date, archetype string, y array<float>")
+    assert [tuple(r) for r in v.draft_matches(posts, drafts, 2).collect()] == [("p", "a", "s", 0.995037)]
+
+
+def test_novelty_states(spark):
+    from murmur.operators import similarity as v
+    from murmur.sources.settings import DAY_MS, NOW_MS
+
+    own = spark.createDataFrame([("o1", [1.0, 0.0]), ("o2", [1.0, 0.0]), ("o3", [0.0, 1.0])], "id string, x array<float>")
+    asked = {"same": [1.0, 0.0], "near": [0.75, 0.66], "other": [0.66, 0.75], "far": [-1.0, -1.0]}
+    history = spark.createDataFrame([("o1", NOW_MS - 40 * DAY_MS), ("o2", NOW_MS), ("o3", NOW_MS - 3 * DAY_MS)], "match string, posted_ms long")
+    has = spark.createDataFrame([(k, True) for k in asked] + [("none", False)], "id string, has boolean")
+    got = {r["id"]: (r["status"], r["match"], r["age_days"]) for r in v.novelty(v.best_matches(own, "id", "x", asked), has, history, NOW_MS).collect()}
+    assert got == {"same": ("posted", "o1", None), "near": ("refresh_candidate", "o1", 40), "other": ("recently_covered", "o3", 3), "far": ("new", None, None), "none": ("unknown", None, None)}
+
+
+def test_mapped_edges(spark):
+    import json
+
+    from murmur.operators import mappers as m
+
+    raw = lambda *r: spark.createDataFrame([(x if isinstance(x, str) else json.dumps(x),) for x in r], "raw string")
+    net = m.network_posts(raw({"id": "1", "linkedinUrl": "https://x/urn:li:activity:71/?a=1", "document": {"transcribedDocumentUrl": "d", "coverPages": [{"imageUrls": ["a", "b"]}]}}, {"id": "9", "repostedBy": {"name": "x"}, "postVideo": {"videoUrl": "v"}}, {"content": "lost"}, "{broken"), "ops").collect()
+    assert [(r["id"], r["is_repost"], r["image_url"], r["market"], r["error"]) for r in net] == [("71", 0, "b", "ops", None), ("9", 1, None, "ops", None), (None, None, None, None, "no id"), (None, None, None, None, "not JSON")]
+    assert json.loads(net[0]["media"]) == {"type": "document", "url": "d", "title": None, "pages": None, "cover": "b"} and json.loads(net[1]["media"])["poster"] is None
+    news = m.newsletter_posts(raw({"type": "note", "kind": "restack", "id": 8, "authorHandle": "dee", "body": " ", "restackedPost": {"title": "Old"}}, {"type": "note", "id": 9}, {"type": "author", "id": 3}, {"slug": "how", "title": "How", "subtitle": "", "bodyMarkdown": "Body", "publicationHandle": "pub"})).collect()
+    assert [(r["id"], r["content"], r["is_repost"], r["url"], r["author_url"], r["error"]) for r in news] == [
+        ("substack-note-8", "Old", 1, "https://substack.com/@dee/note/c-8", "https://substack.com/@dee", None), (None, None, None, None, None, "empty note"), (None, None, None, None, None, "no content"),
+        ("substack-how", "How\n\nBody", 0, None, "https://pub.substack.com", None),
+    ]
+    photo = m.photo_posts(raw({"shortCode": "C1", "type": "Video", "displayUrl": "p.jpg", "ownerUsername": "Ed"}, {"id": "33", "type": "Video", "videoUrl": "v", "displayUrl": "p"})).collect()
+    assert [(r["id"], r["image_url"], json.loads(r["media"])["type"], r["url"]) for r in photo] == [("instagram-C1", "p.jpg", "image", "https://www.instagram.com/p/C1/"), ("instagram-33", "p", "video", None)]
+    assert [(r["name"], r["followers"]) for r in m.profiles(raw({"publicIdentifier": "a", "firstName": "A", "lastName": "B", "name": "N"}, {"linkedinUrl": "https://l/in/bo/", "name": "Bo"})).collect()] == [("A B", 0), ("Bo", 0)]
+
+
+def test_typed_accounts_and_urls(spark):
+    from murmur.functions import scalars as sc
+
+    x = F.col("x")
+    said = {
+        "https://www.linkedin.com/in/Ana-B/?x=1": ("linkedin", "Ana-B", "https://www.linkedin.com/in/Ana-B"), "linkedin.com/feed": ("linkedin", None, "linkedin.com/feed"), "@cy_1": ("twitter", "cy_1", "https://x.com/cy_1"), "cy_1": ("twitter", "cy_1", "https://x.com/cy_1"),
+        "https://twitter.com/@cy_1/status/5": ("twitter", "cy_1", "https://x.com/cy_1"), "substack.com/@dee": ("substack", "dee", "https://substack.com/@dee"), "https://Dee.substack.com/p/1": ("substack", "dee", "https://dee.substack.com"), "https://open.substack.com/pub/x": (None, None, None),
+        "instagram.com/@Ed.": ("instagram", "ed.", "https://www.instagram.com/ed./"), "https://www.instagram.com/s/abc": (None, None, None), "what is this": (None, None, None), "https://elsewhere.example/in/ana": (None, None, None),
+    }
+    rows = spark.createDataFrame([(k,) for k in said], "x string").select("x", *[c.alias(n) for n, c in sc.creator_input(x).items()]).collect()
+    assert {r["x"]: (r["platform"], r["slug"], r["profile_url"]) for r in rows} == said
+    urls = {"https://c/a?oe=6A000000": 1778384896, "https://c/a?e=1900000000": 1900000000, "https://c/a?oe=F&e=1900000000": None, "https://c/a?e=1900000000abc": None, "https://c/a?e=12": None, "https://c/a": None}
+    assert {r["x"]: r["e"] for r in spark.createDataFrame([(k,) for k in urls], "x string").select("x", sc.expiry_seconds(x).alias("e")).collect()} == urls
+    codes = {"https://instagram.com/p/C1-x/": "C1-x", "https://instagram.com/reels/C1/": None, "https://other.example/p/C1/": None}
+    assert {r["x"]: r["c"] for r in spark.createDataFrame([(k,) for k in codes], "x string").select("x", sc.photo_shortcode(x).alias("c")).collect()} == codes
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    from murmur.streaming.capture import captured_table
+
+    schema = "post_id string, captured_on date, captured_at timestamp, likes int"
+    row = lambda p, d, h, n: (p, dt.date(2026, 1, d), dt.datetime(2026, 1, d, h), n)
+    folder, root = tmp_path / "in" / "caps.parquet", f"file://{tmp_path}/table"
+    args = (spark, str(tmp_path / "in"), "caps", ["post_id", "captured_on"], "captured_at", root, "captured_on")
+    spark.createDataFrame([row("a", 1, 1, 1), row("a", 1, 5, 2), row("b", 2, 1, 3), (None, dt.date(2026, 1, 1), None, 9)], schema).coalesce(1).write.parquet(str(folder))
+    assert sorted((r["post_id"], r["likes"]) for r in captured_table(*args).collect()) == [("a", 2), ("b", 3)]
+    spark.createDataFrame([row("a", 1, 3, 7), row("b", 2, 9, 8), row("c", 3, 1, 4)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    assert sorted((r["post_id"], r["likes"]) for r in captured_table(*args).collect()) == [("a", 2), ("b", 8), ("c", 4)]
+    assert sorted((r["post_id"], r["likes"]) for r in captured_table(*args).collect()) == [("a", 2), ("b", 8), ("c", 4)]
+    assert len([x for x in (tmp_path / "table").iterdir() if x.name[0] == "b"]) == 2
+
+
+def test_greedy_clusters_against_a_plain_version():
+    from murmur.operators.similarity import greedy_clusters
+
+    rng = np.random.default_rng(3)
+    for seed in range(8):
+        x = rng.normal(size=(25, 3)) + 0.8
+        u = x / np.linalg.norm(x, axis=1)[:, None]
+        s = np.round(u @ u.T, 6)
+        pairs = sorted(((-s[a, b], a, b) for a in range(25) for b in range(a + 1, 25) if s[a, b] >= 0.65))
+        groups = []
+        for _, a, b in pairs:
+            ga, gb = ([g for g in groups if v in g] for v in (a, b))
+            if not ga and not gb:
+                groups.append([a, b])
+            elif bool(ga) != bool(gb):
+                g, new = (ga or gb)[0], b if ga else a
+                to = [s[new, m] for m in g]
+                if sum(to) / len(to) >= 0.65 and min(to) >= 0.6:
+                    g.append(new)
+        assert greedy_clusters(s, 0.65) == groups
