@@ -98,7 +98,7 @@ def photo(spark: SparkSession, sf: str) -> DataFrame:
     return _mapped(m.photo_posts(raw_, "ops", "pics.example"))
 
 
-@query("M6_profiles", f"SELECT author_id AS id, nullif(display_name, '') AS name, market AS location, 7::BIGINT AS followers, CASE WHEN json_valid(tags) AND json_array_length(tags) > 0 THEN replace(tags, '", "', '","') END AS skills FROM {CREATORS} WHERE author_id IS NOT NULL")
+@query("M6_profiles", f"""SELECT author_id AS id, nullif(display_name, '') AS name, market AS location, 7::BIGINT AS followers, CASE WHEN json_valid(tags) AND json_array_length(tags) > 0 THEN replace(tags, '", "', '","') END AS skills FROM {CREATORS} WHERE author_id IS NOT NULL""")
 def profiles(spark: SparkSession, sf: str) -> DataFrame:
     """Accounts written as profile records and mapped back; the lists are carried as they are."""
     rows = creators(spark, sf, ["author_id", "display_name", "market", "tags"]).where("author_id IS NOT NULL")
