@@ -26,15 +26,23 @@ def usable(field: str, dim: int) -> F.Column:
 
 def query_vector(spark: SparkSession, sf: str) -> list[float]:
     """The vector that stands for an embedded question: that of the smallest id (one row)."""
-    ids = table(spark, sf, "posts").where("embedding IS NOT NULL").select("id").distinct().orderBy("id")
-    n = 16
+    rows = table(spark, sf, "posts").where("id IS NOT NULL").select("id", version_of().alias("v"), "embedding").orderBy("id", F.desc("v"))
+    n = 64
     while True:
-        first = [r["id"] for r in ids.limit(n).collect()]
-        rows = table(spark, sf, "posts").where(F.col("id").isin(first)).select("id", "scraped_at", "embedding")  # reaches the scan
-        found = latest(rows, ["embedding"]).where(usable("embedding", DIM)).orderBy("id").first()
-        if found or len(first) < n:
-            return list(found["embedding"]) if found else []
-        n *= 4
+        first = rows.limit(n).collect()
+        seen = set()
+        for r in first:
+            if r["id"] not in seen and good_vector(r["embedding"]):
+                return list(r["embedding"])
+            seen.add(r["id"])
+        if len(first) < n:
+            return []
+        n *= 16
+
+
+def good_vector(x: list | None, dim: int = DIM) -> bool:
+    """``usable`` of one value."""
+    return x is not None and len(x) == dim and all(e is not None and e == e for e in x) and any(x)
 
 
 def live_vectors(spark: SparkSession, sf: str, field: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -157,7 +165,7 @@ def _novelty_sql(asked: str) -> str:
 def novelty_of(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
     """``operators.similarity.novelty`` of a bounded number of posts (id, v) against the own posts."""
     wanted = with_vectors(spark, sf, asked.select("id", "v")).select("id", "text").collect()
-    known = {r["id"]: r["text"] for r in wanted if r["text"] is not None and len(r["text"]) == DIM and all(e is not None and e == e for e in r["text"]) and any(r["text"])}
+    known = {r["id"]: r["text"] for r in wanted if good_vector(r["text"])}
     own = live_vectors(spark, sf, "embedding", ("author_id", "posted_at")).where(F.col("author_id") == OWN)
     matches = v.best_matches(own, "id", "x", known)
     has = spark.createDataFrame([(r["id"], r["id"] in known) for r in wanted], "id string, has boolean")
