@@ -24,8 +24,8 @@ from murmur.operators.grouped_arrow import by_group, runs
 from murmur.sources.shared import stored
 from murmur.sources.tables import clustered
 
-#: Members of a cell in one tile, visitors of a tile, slack in cosine for visits.
-BLOCK, TILE, SLACK = 4096, 512, 0.03
+#: Members of a cell in one tile, visitors of a tile, partners of a sampled vector that must meet.
+BLOCK, TILE, PARTNERS = 4096, 512, 10
 #: Rounds of oversampling and of Lloyd over all vectors.
 SEED_ROUNDS, LLOYD_ROUNDS = 2, 4
 
@@ -501,12 +501,16 @@ def clusters(df: DataFrame, field: str, dim: int, text: str | None = None, least
     if n == 0:
         return empty
     rows = V.vectors(df, field, 0, classes, known.where("h0 IS NOT NULL").select("id", "v"), key, version)
-    k = int(min(V.MOST_CELLS, max(1, np.sqrt(n))))
-    centres = seed_centres(rows, n, dim, k)
+    k = V.cells_for(n)
+    top = k if k <= V.AT_ONCE else V.cells_for(k)
+    centres = seed_centres(rows, n, dim, top)
+    if top < k:
+        centres = V.inner_cells(rows, centres, k, n, dim)
     for _ in range(LLOYD_ROUNDS):
         centres = lloyd_step(rows, centres, dim)
-    cells = V.to_cells(rows, centres, dim, SLACK, BLOCK, codes=True)
-    stars = stored(clustered(cells, "cell", "part").sortWithinPartitions("cell", "part", "role").mapInArrow(_stars(dim, least), "id string, root string, x binary"), "stars")
+    slack = V.slack_for(centres, *V.partners(rows, n, dim, PARTNERS, least))
+    cells = V.to_cells(rows, centres, dim, slack, BLOCK, codes=True)
+    stars = stored(clustered(cells, "cell", "part", size=2 * n * (4 * dim + 40)).sortWithinPartitions("cell", "part", "role").mapInArrow(_stars(dim, least), "id string, root string, x binary"), "stars")
     joined = components(stars, "id", "root")
     held = stars.where("x IS NOT NULL").select("id", "x").dropDuplicates(["id"])
     # linked only where they visit: their partners do not visit their home cell

@@ -24,8 +24,8 @@ from murmur.operators.skew import skew_join
 from murmur.sources.shared import stored
 from murmur.sources.tables import clustered
 
-#: Members of a cell in one task's tile, visitors of one tile, and the slack in cosine within which cells are visited.
-BLOCK, TILE, SLACK = 4096, 512, 0.026
+#: Members of a cell in one task's tile and visitors of one tile.
+BLOCK, TILE = 4096, 512
 
 
 def best(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
@@ -127,23 +127,27 @@ def _joined(dim: int, k: int, least: float):
     return run
 
 
-def class_lists(rows: DataFrame, n: int, dim: int, k: int, least: float, slack: float = SLACK) -> DataFrame:
+def class_lists(rows: DataFrame, n: int, dim: int, k: int, least: float, slack: float | None = None) -> DataFrame:
     """(a, b, sim): for each of the ``n`` distinct vectors (id, x) its k most similar others of at least ``least``."""
     centres = V.place_cells(rows, n, dim)
+    if slack is None:
+        slack = V.slack_for(centres, *V.partners(rows, n, dim, k, least))
     cells = V.to_cells(rows, centres, dim, slack, BLOCK)
-    found = clustered(cells, "cell", "part").sortWithinPartitions("cell", "part", "role").mapInArrow(_joined(dim, k, least), "a string, b string, sim double")
+    size = 2 * n * (4 * dim + 40)  # with visitors
+    found = clustered(cells, "cell", "part", size=size).sortWithinPartitions("cell", "part", "role").mapInArrow(_joined(dim, k, least), "a string, b string, sim double")
     found = found.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))  # a pair may meet in several cells
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def similar(df: DataFrame, fields: dict[str, int], k: int = 10, least: float = 0.8, key: str = "id", version: str = "scraped_at", slack: float = SLACK) -> DataFrame:
+def similar(df: DataFrame, fields: dict[str, int], k: int = 10, least: float = 0.8, key: str = "id", version: str = "scraped_at", slack: float | None = None) -> DataFrame:
     """(field, id_a, id_b, sim): the list of each row a: its up to k most similar others of cosine ``least`` or more.
 
     Cosines are rounded to 6 decimals; the smaller id first when equal. ``fields``: vector columns and their
     lengths. A key counts by its latest version. Vectors that are null, of another length, all zero or hold NaN,
     infinity or null have no list and are in none. Columns beside those named play no part. Lists are exact
-    but for partners that no cell brings together: raise ``slack`` for more of them.
+    but for partners that no cell brings together. How far cells reach is fitted on every run: a sample's true partners are found by brute
+    force among all vectors, and the slack is what brings V.MEET of them together; ``slack`` sets it instead.
     """
     names = list(fields)
     known = stored(V.keys(df, fields, key, version), "keys")

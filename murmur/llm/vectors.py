@@ -10,19 +10,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.dense import unit, unpack
+from murmur.operators.grouped_arrow import by_group
 from murmur.operators.versions import version_of
 from murmur.sources.shared import stored
+from murmur.sources.tables import clustered
 
 #: Keys of rows to leave out are sent to every executor up to this number (16 bytes each); beyond it they are joined.
 BROADCAST_KEYS = 1_000_000
 #: Vectors used to place the cells: a bounded sample by hash of id, at most this many and this many a cell.
 SAMPLE, PER_CELL = 65_536, 128
-#: The most cells; beyond about 270 million vectors cells grow with the input instead.
-MOST_CELLS = 16_384
+#: Cells that are fitted at once, on the driver or in a task. More cells (of over 270 million vectors) are fitted in two levels.
+AT_ONCE = 16_384
+#: Vectors whose partners are looked up by brute force to fit the slack, and the share of these partners that must meet.
+QUERIES, MEET = 1024, 0.99
 
 
 def vector_hash(x: np.ndarray) -> list[bytes]:
@@ -108,30 +112,125 @@ def raw_vectors(rows: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
     return few.mapInArrow(run, "id string, x binary").join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
-def place_cells(rows: DataFrame, n: int, dim: int, rounds: int = 10) -> np.ndarray:
-    """Unit centres of about sqrt(n) cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
+def cells_for(n: int) -> int:
+    """About the square root of the number of vectors: so many cells, each of as many members, are least work."""
+    return int(max(1, np.sqrt(n)))
 
-    The sample has about SAMPLE vectors at most (a share by hash, 10 % above it); all rows are assigned to cells afterwards.
-    """
-    wanted = int(min(MOST_CELLS, max(1, np.sqrt(n))))
-    size = min(SAMPLE, PER_CELL * wanted)
-    share = min(1.0, 1.1 * size / max(1, n))
-    picked = rows.where(F.pmod(F.xxhash64("id", F.lit("cells")), F.lit(1 << 30)) < int(share * (1 << 30)))
 
-    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Unit vectors in half precision: enough to place centres, and half of what the driver receives."""
+def sampled(rows: DataFrame, share: float, salt: str) -> DataFrame:
+    """A share of the rows by hash of id."""
+    return rows.where(F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30)))
+
+
+def _halves(dim: int):
+    """Unit vectors in half precision: enough to place centres, and half of what is sent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, x = unpack(batch.column(0), dim)
-            u = unit(x).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in u], pa.binary())], names=["u"])
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in unit(x).astype(np.float16)], pa.binary())], names=["u"])
+
+    return run
+
+
+def _fitted(x: np.ndarray, wanted: int, rounds: int) -> np.ndarray:
+    """Centres of ``wanted`` cells of unit vectors, the same whatever their order."""
+    x = x[np.lexsort(x.T[:3])]
+    return x if len(x) <= wanted else lloyd(x, x[np.random.default_rng(7).permutation(len(x))[:wanted]].copy(), rounds)
+
+
+def place_cells(rows: DataFrame, n: int, dim: int, rounds: int = 10) -> np.ndarray:
+    """Unit centres of about sqrt(n) cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
 
-    received = picked.select("x").mapInArrow(halves, "u binary").toArrow().column("u")
+    The driver's sample has about SAMPLE vectors at most (a share by hash, 10 % above it); all rows are assigned to cells afterwards. Above AT_ONCE
+    cells the driver fits the square root of their number and tasks fit the rest inside (``inner_cells``).
+    """
+    wanted = cells_for(n)
+    top = wanted if wanted <= AT_ONCE else cells_for(wanted)
+    picked = sampled(rows, 1.1 * min(SAMPLE, PER_CELL * top) / max(1, n), "cells")
+    received = picked.select("x").mapInArrow(_halves(dim), "u binary").toArrow().column("u")
     x = np.frombuffer(b"".join(v.as_buffer() for c in received.chunks for v in c), np.float16).reshape(-1, dim).astype(np.float32)
     del received
-    if len(x) <= wanted:
-        return x if len(x) else np.zeros((1, dim), np.float32)
-    x = x[np.lexsort(x.T[:3])]  # the same start whatever the order of arrival
-    return lloyd(x, x[np.random.default_rng(7).permutation(len(x))[:wanted]].copy(), rounds)
+    if not len(x):
+        return np.zeros((1, dim), np.float32)
+    centres = _fitted(x, top, rounds)
+    return centres if top == wanted else inner_cells(rows, centres, wanted, n, dim, rounds)
+
+
+def inner_cells(rows: DataFrame, top: np.ndarray, wanted: int, n: int, dim: int, rounds: int = 10) -> np.ndarray:
+    """Centres of about ``wanted`` cells inside those of ``top``: each is fitted in a task on a sample of its own vectors.
+
+    About PER_CELL vectors for each wanted cell are drawn, at most SAMPLE for a task: larger cells are divided by hash of id. What the
+    driver receives are the centres, one for every square root of the vectors.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(top)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = unpack(batch.column(1), dim)
+            u = unit(x)
+            home = nearest(u.astype(np.float32), shared.value, 1024)
+            yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), batch.column(0).take(pa.array(at)), pa.array([v.tobytes() for v in u.astype(np.float16)], pa.binary())], names=["cell", "id", "u"])
+
+    def fit(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        x = np.frombuffer(b"".join(t.column("u").to_pylist()), np.float16).reshape(-1, dim).astype(np.float32)
+        made = _fitted(x, max(1, min(AT_ONCE, round(len(x) / PER_CELL))), rounds)
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in made.astype(np.float32)], pa.binary())], names=["c"])
+
+    drawn = stored(sampled(rows.select("id", "x"), 1.1 * PER_CELL * wanted / max(1, n), "inner").mapInArrow(homes, "cell int, id string, u binary"), "inner")
+    parts = drawn.groupBy("cell").agg(F.ceil(F.count("*") / SAMPLE).alias("parts"))
+    spread = drawn.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # a row a cell of the top
+    found = clustered(spread.select("cell", "part", "u"), "cell", "part").sortWithinPartitions("cell", "part", "u").mapInArrow(by_group(["cell", "part"], fit), "c binary")
+    return np.frombuffer(b"".join(found.toArrow().column("c").to_pylist()), np.float32).reshape(-1, dim).copy()
+
+
+def partners(rows: DataFrame, n: int, dim: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(u, w): unit vectors of about QUERIES rows (id, x) by hash of id, each beside one of its up to k best partners among all rows, by brute force."""
+    asked = sampled(rows.select("id", "x"), QUERIES / max(1, n), "queries").toArrow()
+    at, x = unpack(asked.column(1), dim)
+    ids = np.array(asked.column(0).to_pylist(), dtype=object)[at]
+    shared = rows.sparkSession.sparkContext.broadcast((ids, unit(x).astype(np.float32)))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, q = shared.value
+        held = (np.empty(0, np.int64), np.empty(0, np.float32), np.empty((0, dim), np.float32))
+        for batch in batches:
+            rows_, x = unpack(batch.column(1), dim)
+            if not len(x) or not len(q):
+                continue
+            own = np.array(batch.column(0).take(pa.array(rows_)).to_pylist(), dtype=object)
+            u = unit(x).astype(np.float32)
+            found = [held]
+            for s in range(0, len(u), 2048):
+                sims = u[s : s + 2048] @ q.T
+                i, j = np.nonzero(sims >= least - 1e-6)
+                other = own[s + i] != names[j]
+                found.append((j[other], sims[i[other], j[other]], u[s + i[other]]))
+            j, sims, w = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((-sims, j))
+            starts = np.flatnonzero(np.r_[True, j[order][1:] != j[order][:-1]]) if len(j) else np.empty(0, np.int64)
+            kept = order[np.arange(len(j)) - np.repeat(starts, np.diff(np.r_[starts, len(j)])) < k]
+            held = (j[kept], sims[kept], w[kept])
+        yield pa.RecordBatch.from_arrays([pa.array(held[0].astype(np.int32)), pa.array(held[1].astype(np.float64)), pa.array([v.tobytes() for v in held[2]], pa.binary())], names=["q", "s", "w"])
+
+    place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "w"))
+    best = rows.select("id", "x").mapInArrow(meet, "q int, s double, w binary").withColumn("r", place).where(F.col("r") <= k).select("q", "w").toArrow()  # k a query
+    w = np.frombuffer(b"".join(best.column("w").to_pylist()), np.float32).reshape(-1, dim)
+    return unit(x).astype(np.float32)[best.column("q").to_numpy().astype(np.int64)] if len(w) else np.empty((0, dim), np.float32), w
+
+
+def slack_for(centres: np.ndarray, u: np.ndarray, w: np.ndarray, least_pairs: int = 200, default: float = 0.03, share: float = MEET) -> float:
+    """The slack with which so large a share of pairs meets: one of a pair then visits the home of the other.
+
+    Of too few pairs nothing can be said: then it is at least the default.
+    """
+    if not len(u):
+        return default
+    hu, hw = nearest(u, centres), nearest(w, centres)
+    dot = lambda x, c: np.einsum("ij,ij->i", x, centres[c])
+    need = np.minimum(dot(w, hw) - dot(w, hu), dot(u, hu) - dot(u, hw))
+    found = float(np.quantile(need, share)) + 1e-4
+    return found if len(u) >= least_pairs else max(found, default)
 
 
 def lloyd(x: np.ndarray, centres: np.ndarray, rounds: int) -> np.ndarray:
@@ -191,7 +290,7 @@ def to_cells(rows: DataFrame, centres: np.ndarray, dim: int, slack: float, block
 
     placed = rows.select("id", "x").mapInArrow(assign, "cell int, role byte, id string, x binary")
     counts = rows.select("x").mapInArrow(members, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    split = [(r["cell"], -(-r["n"] // block)) for r in counts.where(F.col("n") > block).collect()]  # a row a cell: at most MOST_CELLS
+    split = [(r["cell"], -(-r["n"] // block)) for r in counts.where(F.col("n") > block).collect()]  # a row a crowded cell
     if not split:
         return placed.select("cell", F.lit(0).alias("part"), "role", "id", "x")
     parts = rows.sparkSession.createDataFrame(split, "cell int, parts int")

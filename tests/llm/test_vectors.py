@@ -209,3 +209,41 @@ def test_texts_as_features(spark):
     assert np.dot(got["t00-0"], got["t00-2"]) > 0.9 > 0.5 > abs(np.dot(got["t00-0"], got["t01-0"]))
     found = clusters.clusters(v, "x", 128).groupBy("cluster_id").count().collect()
     assert len(found) == 20 and all(r["count"] == 3 for r in found)
+
+
+def test_cells_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(V, "AT_ONCE", 8)
+    monkeypatch.setattr(V, "PER_CELL", 8)
+    monkeypatch.setattr(V, "SAMPLE", 60)
+    data = planted(groups=120, copies=0)
+    rows = spark.createDataFrame(data, "id string, x array<float>").repartition(4)
+    centres = V.place_cells(rows, len(data), 24)
+    assert V.cells_for(len(data)) * 0.5 <= len(centres) <= V.cells_for(len(data)) * 2 and centres.shape[1] == 24
+    got = {(r["id_a"], r["id_b"]) for r in knn.similar(spark.createDataFrame([(i, x, None, T[0]) for i, x in data], SCHEMA), {"x": 24}, k=10, least=0.8).collect()}
+    want = lists(dict(data), 10, 0.8)
+    assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
+
+
+def test_the_slack_is_what_true_partners_need(spark, monkeypatch):
+    data = planted(groups=150, copies=0)
+    rows = spark.createDataFrame(data, "id string, x array<float>").repartition(4)
+    centres = V.place_cells(rows, len(data), 24)
+    u, w = V.partners(rows, len(data), 24, 10, 0.8)
+    assert (np.einsum("ij,ij->i", u, w) >= 0.8 - 1e-5).all() and len(u) > 500
+    assert len({x.tobytes() for x in u}) <= len(data)
+    slack = V.slack_for(centres, u, w)
+    hu, hw = V.nearest(u, centres), V.nearest(w, centres)
+    dot = lambda x, c: np.einsum("ij,ij->i", x, centres[c])
+    meet = (dot(w, hw) - dot(w, hu) <= slack) | (dot(u, hu) - dot(u, hw) <= slack)
+    assert V.MEET - 0.005 <= meet.mean()
+    assert V.slack_for(centres, u[:0], w[:0], default=0.07) == 0.07 and V.slack_for(centres, u[:5], w[:5], default=0.5) == 0.5
+
+
+def test_members_of_a_hot_class_stay_where_they_are(spark, monkeypatch):
+    from murmur.operators import skew
+
+    monkeypatch.setattr(skew, "LEAST_ROWS", 30)
+    data = planted(groups=30, copies=400)
+    got = {(r["id_a"], r["id_b"]) for r in knn.similar(spark.createDataFrame([(i, x, None, T[0]) for i, x in data], SCHEMA).repartition(5), {"x": 24}, k=5, least=0.8, slack=0.3).collect()}
+    want = lists(dict(data), 5, 0.8)
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
