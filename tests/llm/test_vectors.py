@@ -234,7 +234,7 @@ def test_the_slack_is_what_true_partners_need(spark, monkeypatch):
     slack = V.slack_for(centres, u, w)
     hu, hw = V.nearest(u, centres), V.nearest(w, centres)
     dot = lambda x, c: np.einsum("ij,ij->i", x, centres[c])
-    meet = (dot(w, hw) - dot(w, hu) <= slack) | (dot(u, hu) - dot(u, hw) <= slack)
+    meet = (hu == hw) | (V.visits(hw, hu) & (dot(w, hw) - dot(w, hu) <= slack)) | (V.visits(hu, hw) & (dot(u, hu) - dot(u, hw) <= slack))
     assert V.MEET - 0.005 <= meet.mean()
     assert V.slack_for(centres, u[:0], w[:0], default=0.07) == 0.07 and V.slack_for(centres, u[:5], w[:5], default=0.5) == 0.5
 
@@ -247,3 +247,10 @@ def test_members_of_a_hot_class_stay_where_they_are(spark, monkeypatch):
     got = {(r["id_a"], r["id_b"]) for r in knn.similar(spark.createDataFrame([(i, x, None, T[0]) for i, x in data], SCHEMA).repartition(5), {"x": 24}, k=5, least=0.8, slack=0.3).collect()}
     want = lists(dict(data), 5, 0.8)
     assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
+
+
+def test_one_of_two_cells_visits_the_other():
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(30), np.arange(30)))
+    other = a != b
+    assert (V.visits(a, b) ^ V.visits(b, a))[other].all()
+    assert abs(V.visits(a, b)[a == 3].mean() - 0.5) < 0.1
