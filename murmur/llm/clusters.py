@@ -24,8 +24,8 @@ from murmur.operators.grouped_arrow import by_group, runs
 from murmur.sources.shared import stored
 from murmur.sources.tables import clustered
 
-#: Members of a cell in one tile, visitors of a tile, partners of a sampled vector that must meet.
-BLOCK, TILE, PARTNERS = 4096, 512, 10
+#: Partners of a sampled vector that must meet.
+PARTNERS = 10
 #: Rounds of oversampling and of Lloyd over all vectors.
 SEED_ROUNDS, LLOYD_ROUNDS = 2, 4
 
@@ -210,8 +210,9 @@ def _stars(dim: int, least: float):
             u = V.unit(raw)
             q = V.quantised(u)
             label = np.arange(len(ids))
-            for s in range(0, len(ids), TILE):
-                r, c = _pairs(u[s : s + TILE], tuple(x[s : s + TILE] for x in q), u, q, least)
+            tile = V.tile_rows(len(ids))
+            for s in range(0, len(ids), tile):
+                r, c = _pairs(u[s : s + tile], tuple(x[s : s + tile] for x in q), u, q, least)
                 r = r + s
                 keep = r < c
                 label = _settle(len(ids), r[keep], c[keep], label)
@@ -242,15 +243,16 @@ def _stars(dim: int, least: float):
                     continue
                 names = np.array(batch.column("id").slice(a, b - a).to_pylist(), dtype=object)
                 codes = V.quantised_rows(batch.column("x").slice(a, b - a).to_pylist(), dim)
-                for s in range(0, len(names), TILE):
+                tile = V.tile_rows(len(block[0]))
+                for s in range(0, len(names), tile):
                     # a visitor is linked where its bound allows similarity; the groups are settled on the vectors later
-                    upper, _ = V.tile(tuple(x[s : s + TILE] for x in codes), block[3])
+                    upper, _ = V.tile(tuple(x[s : s + tile] for x in codes), block[3])
                     r, c = np.nonzero(upper >= least - 1e-6)
                     # one link to each local group suffices
                     label = np.arange(len(block[0]))
                     label[block[4]] = block[5]
                     pair = np.unique(np.stack([r, label[c]], 1), axis=0) if len(r) else np.empty((0, 2), np.int64)
-                    visitors.append((names[s : s + TILE][pair[:, 0]], pair[:, 1]))
+                    visitors.append((names[s : s + tile][pair[:, 0]], pair[:, 1]))
         yield from close()
 
     return run
@@ -509,7 +511,7 @@ def clusters(df: DataFrame, field: str, dim: int, text: str | None = None, least
     for _ in range(LLOYD_ROUNDS):
         centres = lloyd_step(rows, centres, dim)
     slack = V.slack_for(centres, *V.partners(rows, n, dim, PARTNERS, least))
-    cells = V.to_cells(rows, centres, dim, slack, BLOCK, codes=True)
+    cells = V.to_cells(rows, centres, dim, slack, V.BLOCK, codes=True)
     stars = stored(clustered(cells, "cell", "part", size=2 * n * (4 * dim + 40)).sortWithinPartitions("cell", "part", "role").mapInArrow(_stars(dim, least), "id string, root string, x binary"), "stars")
     joined = components(stars, "id", "root")
     held = stars.where("x IS NOT NULL").select("id", "x").dropDuplicates(["id"])

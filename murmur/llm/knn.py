@@ -24,9 +24,6 @@ from murmur.operators.skew import skew_join
 from murmur.sources.shared import stored
 from murmur.sources.tables import clustered
 
-#: Members of a cell in one task's tile and visitors of one tile.
-BLOCK, TILE = 4096, 512
-
 
 def best(rows: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best entries of each row: higher similarity first, then the smaller id."""
@@ -97,8 +94,9 @@ def _joined(dim: int, k: int, least: float):
             nonlocal members, homes
             ids, u = np.concatenate([h[0] for h in homes]), np.concatenate([h[1] for h in homes])
             members, homes = _Members(ids, u, k, least), []
-            for i in range(0, len(members.ids), TILE):
-                yield _out(*members.meet(members.ids[i : i + TILE], members.u[i : i + TILE], own=True))
+            tile = V.tile_rows(len(members.ids))
+            for i in range(0, len(members.ids), tile):
+                yield _out(*members.meet(members.ids[i : i + tile], members.u[i : i + tile], own=True))
 
         def close() -> Iterator[pa.RecordBatch]:
             nonlocal members
@@ -120,8 +118,9 @@ def _joined(dim: int, k: int, least: float):
                 if homes:
                     yield from settle()
                 if members is not None:  # visitors of a part without members meet nobody
-                    for i in range(0, len(ids), TILE):
-                        yield _out(*members.meet(ids[i : i + TILE], u[i : i + TILE], own=False))
+                    tile = V.tile_rows(len(members.ids))
+                    for i in range(0, len(ids), tile):
+                        yield _out(*members.meet(ids[i : i + tile], u[i : i + tile], own=False))
         yield from close()
 
     return run
@@ -132,7 +131,7 @@ def class_lists(rows: DataFrame, n: int, dim: int, k: int, least: float, slack:
     centres = V.place_cells(rows, n, dim)
     if slack is None:
         slack = V.slack_for(centres, *V.partners(rows, n, dim, k, least))
-    cells = V.to_cells(rows, centres, dim, slack, BLOCK)
+    cells = V.to_cells(rows, centres, dim, slack, V.BLOCK)
     size = 2 * n * (4 * dim + 40)  # with visitors
     found = clustered(cells, "cell", "part", size=size).sortWithinPartitions("cell", "part", "role").mapInArrow(_joined(dim, k, least), "a string, b string, sim double")
     found = found.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"))  # a pair may meet in several cells

@@ -23,8 +23,10 @@ from murmur.sources.tables import clustered
 BROADCAST_KEYS = 1_000_000
 #: Vectors used to place the cells: a bounded sample by hash of id, at most this many and this many a cell.
 SAMPLE, PER_CELL = 65_536, 128
-#: Cells that are fitted at once, on the driver or in a task. More cells (of over 270 million vectors) are fitted in two levels.
+#: Cells that are fitted at once, on the driver or in a task. More cells (of over a billion vectors) are fitted in two levels.
 AT_ONCE = 16_384
+#: Members of a cell in one task, pairs of one tile.
+BLOCK, TILE_PAIRS = 32_768, 1 << 21
 #: Vectors whose partners are looked up by brute force to fit the slack, and the share of these partners that must meet.
 QUERIES, MEET = 1024, 0.99
 
@@ -113,8 +115,13 @@ def raw_vectors(rows: DataFrame, wanted: DataFrame, dim: int) -> DataFrame:
 
 
 def cells_for(n: int) -> int:
-    """About the square root of the number of vectors: so many cells, each of as many members, are least work."""
-    return int(max(1, np.sqrt(n)))
+    """Half the square root of the number of vectors: work grows as n^1.5, and with fewer borders there are fewer visits."""
+    return int(max(1, np.sqrt(n) / 2))
+
+
+def tile_rows(members: int) -> int:
+    """Rows of a tile that meets so many members at once: about TILE_PAIRS products."""
+    return max(16, min(512, TILE_PAIRS // max(1, members)))
 
 
 def sampled(rows: DataFrame, share: float, salt: str) -> DataFrame:
@@ -140,7 +147,7 @@ def _fitted(x: np.ndarray, wanted: int, rounds: int) -> np.ndarray:
 
 
 def place_cells(rows: DataFrame, n: int, dim: int, rounds: int = 10) -> np.ndarray:
-    """Unit centres of about sqrt(n) cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
+    """Unit centres of ``cells_for(n)`` cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
 
     The driver's sample has about SAMPLE vectors at most (a share by hash, 10 % above it); all rows are assigned to cells afterwards. Above AT_ONCE
     cells the driver fits the square root of their number and tasks fit the rest inside (``inner_cells``).
@@ -220,7 +227,7 @@ def partners(rows: DataFrame, n: int, dim: int, k: int, least: float) -> tuple[n
 
 
 def slack_for(centres: np.ndarray, u: np.ndarray, w: np.ndarray, least_pairs: int = 200, default: float = 0.03, share: float = MEET) -> float:
-    """The slack with which so large a share of pairs meets: that one of a pair whose turn it is then visits the home of the other.
+    """The slack with which so large a share of pairs meets: one of a pair then visits the home of the other.
 
     Of too few pairs nothing can be said: then it is at least the default.
     """
@@ -228,7 +235,7 @@ def slack_for(centres: np.ndarray, u: np.ndarray, w: np.ndarray, least_pairs: in
         return default
     hu, hw = nearest(u, centres), nearest(w, centres)
     dot = lambda x, c: np.einsum("ij,ij->i", x, centres[c])
-    need = np.where(hu == hw, 0, np.where(visits(hu, hw), dot(u, hu) - dot(u, hw), dot(w, hw) - dot(w, hu)))
+    need = np.minimum(dot(w, hw) - dot(w, hu), dot(u, hu) - dot(u, hw))
     found = float(np.quantile(need, share)) + 1e-4
     return found if len(u) >= least_pairs else max(found, default)
 
@@ -251,14 +258,9 @@ def nearest(x: np.ndarray, centres: np.ndarray, chunk: int = 2048) -> np.ndarray
     return np.concatenate([(x[i : i + chunk] @ centres.T).argmax(1) for i in range(0, len(x), chunk)]) if len(x) else np.empty(0, np.int64)
 
 
-def visits(home: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    """Which of two cells' members visit the other: one way only, for a meeting serves both. By turns the smaller and the larger number."""
-    return (home < cell) == ((home + cell) % 2 == 1)
-
-
 def to_cells(rows: DataFrame, centres: np.ndarray, dim: int, slack: float, block: int, codes: bool = False) -> DataFrame:
-    """(cell, part, role, id, x): every vector in its nearest cell (role 0) and as a visitor (role 1) in those cells, of the ones it
-    ``visits``, whose centre's cosine is within ``slack`` of the nearest.
+    """(cell, part, role, id, x): every vector in its nearest cell (role 0) and as a visitor (role 1) in all cells
+    whose centre's cosine is within ``slack`` of the nearest.
 
     Cells of more than ``block`` members, by an exact count, are split into parts by hash of id; a member is at home
     in one part and visits the others, so that no task holds a whole cell. ``x`` is the vector's bytes; with ``codes``,
@@ -285,8 +287,6 @@ def to_cells(rows: DataFrame, centres: np.ndarray, dim: int, slack: float, block
                 s = u.astype(np.float32) @ c.T
                 home = s.argmax(1)
                 r, cell = np.nonzero(s >= s[np.arange(len(s)), home][:, None] - np.float32(slack))
-                meant = (cell == home[r]) | visits(home[r], cell)
-                r, cell = r[meant], cell[meant]
                 data = [v.tobytes() for v in raw]
                 small = packed(u) if codes else data
                 away = cell != home[r]
