@@ -22,7 +22,7 @@ from murmur.sources.tables import clustered
 #: Keys of rows to leave out are sent to every executor up to this number (16 bytes each); beyond it they are joined.
 BROADCAST_KEYS = 1_000_000
 #: Vectors used to place the cells: a bounded sample by hash of id, at most this many and this many a cell.
-SAMPLE, PER_CELL = 65_536, 128
+SAMPLE, PER_CELL = 65_536, 256
 #: Cells that are fitted at once, on the driver or in a task. More cells (of over a billion vectors) are fitted in two levels.
 AT_ONCE = 16_384
 #: Members of a cell in one task, pairs of one tile.
@@ -146,7 +146,7 @@ def _fitted(x: np.ndarray, wanted: int, rounds: int) -> np.ndarray:
     return x if len(x) <= wanted else lloyd(x, x[np.random.default_rng(7).permutation(len(x))[:wanted]].copy(), rounds)
 
 
-def place_cells(rows: DataFrame, n: int, dim: int, rounds: int = 10) -> np.ndarray:
+def place_cells(rows: DataFrame, n: int, dim: int, rounds: int = 25) -> np.ndarray:
     """Unit centres of ``cells_for(n)`` cells, fitted on a bounded sample of ``rows`` (id, x) by hash of id.
 
     The driver's sample has about SAMPLE vectors at most (a share by hash, 10 % above it); all rows are assigned to cells afterwards. Above AT_ONCE
@@ -164,7 +164,7 @@ def place_cells(rows: DataFrame, n: int, dim: int, rounds: int = 10) -> np.ndarr
     return centres if top == wanted else inner_cells(rows, centres, wanted, n, dim, rounds)
 
 
-def inner_cells(rows: DataFrame, top: np.ndarray, wanted: int, n: int, dim: int, rounds: int = 10) -> np.ndarray:
+def inner_cells(rows: DataFrame, top: np.ndarray, wanted: int, n: int, dim: int, rounds: int = 25) -> np.ndarray:
     """Centres of about ``wanted`` cells inside those of ``top``: each is fitted in a task on a sample of its own vectors.
 
     About PER_CELL vectors for each wanted cell are drawn, at most SAMPLE for a task: larger cells are divided by hash of id. What the
