@@ -151,7 +151,7 @@ def similar(df: DataFrame, fields: dict[str, int], k: int = 10, least: float = 0
     names = list(fields)
     known = stored(V.keys(df, fields, key, version), "keys")
     hs = [f"h{i}" for i in range(len(names))]
-    live = known.groupBy("id").agg(F.max_by(F.struct("v", *hs), "v").alias("s")).select("id", "s.*")
+    live = known.groupBy("id").agg(F.max(F.struct("v", *hs)).alias("s")).select("id", "s.*")  # rows that tie are identical
     live = stored(live, "live")
     results = []
     for i, (field, dim) in enumerate(fields.items()):
@@ -167,19 +167,18 @@ def similar(df: DataFrame, fields: dict[str, int], k: int = 10, least: float = 0
         every = known.where(F.col(f"h{i}").isNotNull()).select("id", "v")
         rows = V.vectors(df, field, i, classes, every, key, version)
         lists = class_lists(rows, n, dim, k, least, slack)
-        others = lists.join(few.withColumnRenamed("rep", "b"), "b", "left").select("a", F.coalesce("id", "b").alias("b"), "sim")
-        copies = few.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"))
+        others = lists.join(few.withColumnRenamed("rep", "b"), "b", "left").select("a", F.coalesce("id", "b").alias("b"), "sim", F.lit(False).alias("own"))
+        copies = few.select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("sim"), F.lit(True).alias("own"))
         by_class = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
-        whole = others.union(copies).withColumn("r", by_class).where(F.col("r") <= k + 1)
-        # classes of one need no join; the members of a large class stay where they are
-        whole = stored(whole.drop("r"), f"lists{i}")
-        copied = several.select(F.col("rep").alias("a"))
-        alone = whole.join(copied, "a", "left_anti").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "sim")
-        held = members.withColumnRenamed("rep", "a")
-        many = skew_join(held, whole, ["a"], classes.where("n > 1").select(F.col("id").alias("a"), "n")).select(F.col("id").alias("id_a"), F.col("b").alias("id_b"), "sim")
-        spread = alone.union(many).where("id_a <> id_b")
+        marked = others.union(copies).withColumn("r", by_class).withColumn("several", F.max("own").over(Window.partitionBy("a")))
+        whole = stored(marked.where(F.col("r") <= k + 1).select("a", "b", "sim", "r", "several"), f"lists{i}")
+        # the list of a class of one is its record's; the members of a large class stay where they are
+        alone = whole.where((F.col("r") <= k) & ~F.col("several")).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "sim")
+        counts = classes.where("n > 1").select(F.col("id").alias("a"), "n")
+        many = skew_join(members.withColumnRenamed("rep", "a"), whole.where("several").select("a", "b", "sim"), ["a"], counts).select(F.col("id").alias("id_a"), F.col("b").alias("id_b"), "sim").where("id_a <> id_b")
         rank = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("sim"), "id_b"))
-        results.append(spread.withColumn("r", rank).where(F.col("r") <= k).select(F.lit(field).alias("field"), "id_a", "id_b", "sim"))
+        listed = alone.union(many.withColumn("r", rank).where(F.col("r") <= k).drop("r"))
+        results.append(listed.select(F.lit(field).alias("field"), "id_a", "id_b", "sim"))
     if not results:
         return df.sparkSession.createDataFrame([], "field string, id_a string, id_b string, sim double")
     out = results[0]
