@@ -86,13 +86,14 @@ def cover(last: Column, length: int) -> Column:
     return F.transform(mine, lambda b: F.struct(b["l"].alias("level"), (b["n"] + F.call_function("shiftleft", base, F.lit(top) - b["l"])).alias("node")))
 
 
-def trailing(nodes: DataFrame, dates: DataFrame, entity: Sequence[str], day: str, periods: Sequence[int]) -> DataFrame:
+def trailing(nodes: DataFrame, dates: DataFrame, entity: Sequence[str], day: str, periods: Sequence[int], repeated: bool = True) -> DataFrame:
     """(entity..., day, total_<n>, average_<n> ...) of each row of ``dates`` and each period of n days.
 
     A day without activity has total 0; averages are the total over the n days of the period. Entities compare
-    null-safe, so a null entity is one of its own.
+    null-safe, so a null entity is one of its own. ``repeated``: whether a row of ``dates`` may occur twice; if not, a shuffle less.
     """
-    asked = dates.select(*entity, day).distinct()
+    asked = dates.select(*entity, day)
+    asked = asked.distinct() if repeated else asked
     parts = F.array(*[F.struct(F.lit(n).alias("period"), cover(day_number(F.col(day)), n).alias("blocks")) for n in periods])
     probe = asked.select(*entity, day, F.explode(parts).alias("_p")).select(*entity, day, F.col("_p.period").alias("period"), F.explode("_p.blocks").alias("_b"))
     probe = probe.select(*entity, day, "period", F.col("_b.level").alias("level"), F.col("_b.node").alias("node"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.operators import rolling
 from murmur.plans.registry import query
-from murmur.sources.tables import table
+from murmur.sources.tables import clustered, table
 
 SERIES = ["author_id", "platform"]
 PERIODS = (7, 30)
@@ -33,8 +33,9 @@ def trailing_gains(snapshots: DataFrame) -> DataFrame:
     daily = gains(captures(snapshots))
     nodes = rolling.tree(daily, SERIES, "captured_on", "gain", max(PERIODS))
     span = daily.groupBy(*SERIES).agg(F.min("captured_on").alias("a"), F.max("captured_on").alias("b"))
+    span = clustered(span, *SERIES)  # few bytes that become many days: in as many tasks as shuffles have
     dates = span.select(*SERIES, F.explode(F.sequence("a", "b", F.expr("interval 1 day"))).alias("captured_on"))
-    return rolling.trailing(nodes, dates, SERIES, "captured_on", PERIODS)
+    return rolling.trailing(nodes, dates, SERIES, "captured_on", PERIODS, repeated=False)
 
 
 _DAILY = """WITH c AS (SELECT author_id, platform, captured_on, max_by(followers, captured_at) AS followers FROM follower_snapshots
