@@ -73,8 +73,8 @@ def p6_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     columns = ["weighted_score", "creator_baseline"]
     ps = [0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
     found = quantiles.percentiles(quantiles.sketches(posts, "author_id", columns), "author_id", ps)
-    shown = [F.get("value", F.lit(i)).alias(f"p{int(p * 100)}") for i, p in enumerate(ps)]
-    return found.select("author_id", "metric", "n", *shown, F.get("lo", F.lit(2)).alias("median_lo"), F.get("hi", F.lit(2)).alias("median_hi"))
+    shown = [F.round(F.get("value", F.lit(i)), 6).alias(f"p{int(p * 100)}") for i, p in enumerate(ps)]
+    return found.select("author_id", "metric", "n", *shown, F.round(F.get("lo", F.lit(2)), 6).alias("median_lo"), F.round(F.get("hi", F.lit(2)), 6).alias("median_hi"))
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,7 +132,11 @@ LATEST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY
 
 def oracle_sql() -> dict[str, str]:
     named = "author_id IS NOT NULL AND author_id <> ''"
+    at = ", ".join(f"round(quantile_cont(v, {p}), 6) AS p{int(p * 100)}" for p in (0.1, 0.25, 0.5, 0.75, 0.9, 0.99))
     return {
+        # exact while no author has more than quantiles.K values, as up to scale 0.01; beyond that the query's bounds hold the exact value
+        "p6_percentiles": f"""SELECT author_id, metric, count(*) AS n, {at}, round(quantile_cont(v, 0.5), 6) AS median_lo, round(quantile_cont(v, 0.5), 6) AS median_hi FROM (SELECT author_id, 'weighted_score' AS metric, weighted_score AS v FROM {LATEST} WHERE {named}
+            UNION ALL SELECT author_id, 'creator_baseline', creator_baseline FROM {LATEST} WHERE {named}) WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY author_id, metric""",
         "p3_found": f"""SELECT author_id, id AS post_id FROM (SELECT author_id, id, row_number() OVER (PARTITION BY author_id ORDER BY x_score DESC, id) AS r
             FROM {LATEST} WHERE {named} AND x_score IS NOT NULL) WHERE r <= 5""",
         "p6_found": f"""WITH a AS (SELECT author_id, count(weighted_score) AS n, quantile_cont(weighted_score, 0.5) AS m, quantile_cont(weighted_score, 0.9) AS t,
