@@ -502,7 +502,7 @@ def clusters(df: DataFrame, field: str, dim: int, text: str | None = None, least
     empty = df.sparkSession.createDataFrame([], "id string, cluster_id string, near double")
     if n == 0:
         return empty
-    rows = V.vectors(df, field, 0, classes, known.where("h0 IS NOT NULL").select("id", "v"), key, version)
+    rows = V.packed_rows(V.vectors(df, field, 0, classes, known.where("h0 IS NOT NULL").select("id", "v"), key, version), dim)
     k = V.cells_for(n)
     top = k if k <= V.AT_ONCE else V.cells_for(k)
     centres = seed_centres(rows, n, dim, top)

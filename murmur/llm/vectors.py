@@ -13,7 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmur.functions.dense import unit, unpack
+from murmur.functions.dense import unit
+from murmur.functions.dense import unpack as unpack_list
 from murmur.operators.grouped_arrow import by_group
 from murmur.operators.versions import version_of
 from murmur.sources.shared import stored
@@ -31,6 +32,27 @@ BLOCK, TILE_PAIRS = 32_768, 1 << 21
 QUERIES, MEET = 1024, 0.99
 
 
+def unpack(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, matrix): the usable vectors of an array column, or all of a column of bytes that ``packed_rows`` wrote."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not pa.types.is_binary(column.type):
+        return unpack_list(column, dim)
+    x = np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+    return np.arange(len(column)), x
+
+
+def packed_rows(rows: DataFrame, dim: int) -> DataFrame:
+    """(id, x): the usable vectors of ``rows`` (id, x) as bytes, written once for many passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, x = unpack(batch.column(1), dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([v.tobytes() for v in x], pa.binary())], names=["id", "x"])
+
+    return stored(rows.select("id", "x").mapInArrow(run, "id string, x binary"), "vectors")
+
+
 def vector_hash(x: np.ndarray) -> list[bytes]:
     """A 128-bit hash of each row's bytes; negative zero equals zero."""
     import xxhash
