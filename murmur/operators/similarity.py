@@ -6,12 +6,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmur.functions.dense import unit, unpack
 from murmur.functions.scalars import first_sentence
+from murmur.operators.grouped_arrow import by_group
 from murmur.sources import settings as S
+from murmur.sources.tables import clustered
 
 
 def scored(df: DataFrame, key: str, field: str, vector: Sequence[float], more: Sequence[str] = ()) -> DataFrame:
@@ -231,24 +234,86 @@ def novelty(matches: DataFrame, wanted: DataFrame, history: DataFrame, now_ms: i
     return rows.select("id", F.when(F.col("has"), score).otherwise(0.0).alias("score"), status.alias("status"), F.when(known, F.col("match")).alias("match"), F.when(F.col("has") & covered, F.floor(age + 0.5)).alias("age_days"))
 
 
+#: Posts and drafts of a block; the most blocks of a period's posts while one block would hold them all.
+BLOCK_POSTS, BLOCK_DRAFTS, MOST_SPREAD = 65_536, 32_768, 8
+#: Similarities that a task holds at once.
+_TILE = 1 << 22
+
+
+def draft_blocks(posts: DataFrame, drafts: DataFrame, days: int = S.DRAFT_DAYS) -> DataFrame:
+    """(period, db, pb, side, day, name, archetype, x): posts (side 1) and drafts (side 0) in blocks that hold every pair of a post and a draft of its day
+    and the ``days`` before in exactly one; the drafts of a block come first, both by day.
+
+    A period is as long as the window, so a post meets two periods at most and a draft is of one. Large periods are a grid of blocks of their posts and
+    drafts. Both inputs are read twice: let them be written tables.
+    """
+    period = lambda day: F.floor(F.unix_date(day) / (days + 1))
+    p = posts.where("id IS NOT NULL AND day IS NOT NULL").select(F.explode(F.array_distinct(F.array(period(F.date_sub("day", days)), period(F.col("day"))))).alias("period"), "day", "id", "x")
+    d = drafts.where("draft IS NOT NULL AND day IS NOT NULL").select(period(F.col("day")).alias("period"), "day", "draft", "archetype", "y")
+    blocks = lambda n, size: F.ceil(F.col(n) / size)
+    most = F.greatest(F.least(blocks("np", BLOCK_POSTS // MOST_SPREAD), F.lit(MOST_SPREAD)), blocks("np", BLOCK_POSTS))
+    sizes = p.groupBy("period").agg(F.count("*").alias("np")).join(d.groupBy("period").agg(F.count("*").alias("nd")), "period")
+    sizes = F.broadcast(sizes.select("period", most.alias("pbs"), blocks("nd", BLOCK_DRAFTS).alias("dbs")))  # a row a period
+    all_of, one_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)), lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    p = p.join(sizes, "period").select("period", all_of("dbs").alias("db"), one_of("id", "pbs").alias("pb"), F.lit(1).alias("side"), "day", F.col("id").alias("name"), F.lit(None).cast("string").alias("archetype"), F.col("x").cast("array<float>").alias("x"))
+    d = d.join(sizes, "period").select("period", one_of("draft", "dbs").alias("db"), all_of("pbs").alias("pb"), F.lit(0).alias("side"), "day", F.col("draft").alias("name"), "archetype", F.col("y").cast("array<float>").alias("x"))
+    return clustered(p.unionByName(d), "period", "db", "pb").sortWithinPartitions("period", "db", "pb", "side", "day")
+
+
 def draft_matches(posts: DataFrame, drafts: DataFrame, dim: int, days: int = S.DRAFT_DAYS, least: float = S.DRAFT_SIMILAR) -> DataFrame:
     """(id, draft, archetype, similarity): J16: each post (id, day, x) with the most similar draft (draft, day, archetype, y) of its day and the ``days`` before.
 
-    An equi-join on the days of the window; the smaller draft id when equal. Posts whose best is under ``least`` have no row.
+    Products of blocks of vectors, so no pair is a row; the smaller draft id when equal. Posts whose best is under ``least`` have no row.
     """
-    recent = posts.select("id", "x", F.explode(F.sequence(F.date_sub("day", days), F.col("day"))).alias("day"))
-    both = recent.join(drafts.select("draft", "day", "archetype", "y"), "day").where("draft <> id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, x = unpack(batch.column(3), dim)
-            b, y = unpack(batch.column(4), dim)
-            at, i, j = np.intersect1d(a, b, return_indices=True)
-            s = np.round(np.einsum("ij,ij->i", unit(x[i]), unit(y[j])), 6) if len(at) else np.empty(0)
-            take = pa.array(at)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(3)], pa.array(s)], names=["id", "draft", "archetype", "s"])
-
-    pairs = both.select("id", "draft", "archetype", F.col("x").cast("array<float>"), F.col("y").cast("array<float>"))
-    scored_ = pairs.mapInArrow(run, "id string, draft string, archetype string, s double")
+    def work(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
+        t = t.combine_chunks()
+        first = int((t["side"].to_numpy() == 0).sum())
+        (a, y), (b, x) = (unpack(part["x"], dim) for part in (t.slice(0, first), t.slice(first)))
+        if not len(a) or not len(b):
+            return
+        left, right = t.slice(0, first).select(["name", "archetype", "day"]).take(pa.array(a)), t.slice(first).select(["name", "day"]).take(pa.array(b))
+        x, y = unit(x), unit(y)
+        of, at = (c["day"].cast(pa.int32()).to_numpy() for c in (left, right))
+        order = pc.sort_indices(left, sort_keys=[("name", "ascending"), ("archetype", "ascending")], null_placement="at_start").to_numpy().astype(np.int64)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        # pairs (post, draft) of one id are none
+        same = pc.index_in(left["name"], value_set=(names := right["name"].unique())).to_numpy(zero_copy_only=False)
+        kind = pc.index_in(right["name"], value_set=names).to_numpy(zero_copy_only=False)
+        own = np.argsort(np.where(np.isnan(same := same.astype(float)), -1, same), kind="stable")
+        codes = np.where(np.isnan(same), -1, same)[own]
+        start, end = np.searchsorted(codes, kind, "left"), np.searchsorted(codes, kind, "right")
+        own_post = np.repeat(np.arange(len(kind)), end - start)
+        own_draft = own[np.arange(len(own_post)) - np.repeat(np.cumsum(end - start) - (end - start), end - start) + np.repeat(start, end - start)]
+        posts_, drafts_, scores = [], [], []
+        edges = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
+        for i0, i1 in zip(edges, edges[1:]):
+            lo, hi = int(np.searchsorted(of, at[i0] - days, "left")), int(np.searchsorted(of, at[i0], "right"))
+            if lo == hi:
+                continue
+            step = max(1, _TILE // (hi - lo))
+            for r in range(i0, i1, step):
+                s = x[r : min(r + step, i1)] @ y[lo:hi].T
+                f, l = np.searchsorted(own_post, [r, r + len(s)])
+                inside = (own_draft[f:l] >= lo) & (own_draft[f:l] < hi)
+                s[own_post[f:l][inside] - r, own_draft[f:l][inside] - lo] = -np.inf
+                top = np.round(s.max(1), 6)
+                top[top < least] = np.inf  # none is kept
+                i, j = np.nonzero(s >= (top - 6e-7)[:, None])  # all that may round to the top
+                hit = np.round(s[i, j], 6) == top[i]
+                i, j = i[hit], j[hit]
+                if len(i):
+                    cut = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
+                    posts_.append(i[cut] + r)
+                    drafts_.append(order[np.minimum.reduceat(rank[lo + j], cut)])
+                    scores.append(top[i[cut]])
+        if posts_:
+            best = left.take(pa.array(np.concatenate(drafts_)))
+            columns = [right["name"].take(pa.array(np.concatenate(posts_))), best["name"], best["archetype"]]
+            found = pa.table([*[c.cast(pa.string()) for c in columns], pa.array(np.concatenate(scores))], names=["id", "draft", "archetype", "s"])
+            yield from found.combine_chunks().to_batches()
+
+    scored_ = draft_blocks(posts, drafts, days).mapInArrow(by_group(["period", "db", "pb"], work), "id string, draft string, archetype string, s double")
     best = scored_.groupBy("id").agg(F.min(F.struct((-F.col("s")).alias("n"), "draft", "archetype")).alias("b"))
     return best.select("id", "b.draft", "b.archetype", (-F.col("b.n")).alias("similarity")).where(F.col("similarity") >= least)

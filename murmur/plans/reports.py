@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from murmur.functions import scalars as sc
 from murmur.operators import similarity as v
+from murmur.operators.versions import latest
 from murmur.plans import growth
 from murmur.plans import similarity as sim
 from murmur.plans.corpus import CREATORS, POSTS, creators, posts
@@ -176,9 +177,13 @@ def drafts(spark: SparkSession, sf: str) -> DataFrame:
 
     Dated draft files are read by ``sources.landing.draft_files``.
     """
-    own = sim.live_vectors(spark, sf, "embedding", ("author_id", "posted_at", "platform")).where((F.col("author_id") == OWN) & F.col("posted_at").isNotNull())
-    own = own.select("id", F.to_date("posted_at").alias("day"), "platform", "x", F.unix_millis("posted_at").alias("ms"))
-    return v.draft_matches(own.where(F.col("ms") >= S.NOW_MS - 90 * _D), own.select(F.col("id").alias("draft"), "day", F.col("platform").alias("archetype"), F.col("x").alias("y")), sim.DIM)
+    first = S.NOW_MS - 90 * _D
+    day = F.to_date("posted_at")
+    needed = (F.col("author_id") == OWN) & (day >= F.date_sub(F.to_date(F.timestamp_millis(F.lit(first))), S.DRAFT_DAYS))
+    # of other rows only id and version are shuffled
+    rows = table(spark, sf, "posts").withColumn("own", F.when(needed, F.struct(day.alias("day"), "platform", F.col("embedding").alias("x"), F.unix_millis("posted_at").alias("ms"))))
+    own = stored(latest(rows, ["own"]).where("own IS NOT NULL").select("id", "own.*"), "own")
+    return v.draft_matches(own.where(F.col("ms") >= first), own.select(F.col("id").alias("draft"), "day", F.col("platform").alias("archetype"), F.col("x").alias("y")), sim.DIM)
 
 
 _INPUT = f"(SELECT DISTINCT trim(x) AS x FROM (SELECT profile_url AS x FROM creators UNION ALL SELECT '@' || author_id FROM creators) WHERE trim(x) <> '')"

@@ -400,6 +400,41 @@ def test_drafts(spark, tmp_path):
     assert [tuple(r) for r in v.draft_matches(posts, drafts, 2).collect()] == [("p", "a", "s", 0.995037)]
 
 
+def test_drafts_of_busy_days(spark):
+    from murmur.functions.dense import unit
+    from murmur.operators import similarity as v
+
+    rng = np.random.default_rng(5)
+    n, dim, days = 1500, 8, 2
+    x = rng.integers(-2, 3, (n, dim)).astype(np.float32)  # many equal similarities, some without a direction
+    day = rng.integers(0, 5, n)
+    frame = [(f"k{k:05d}", dt.date(2026, 5, 1) + dt.timedelta(int(day[k])), "ab"[k % 2], x[k].tolist()) for k in rng.permutation(n)]
+    table = spark.createDataFrame(frame, "id string, day date, kind string, x array<float>").localCheckpoint()
+    posts = table.select("id", "day", "x")
+    drafts = table.selectExpr("id draft", "day", "kind archetype", "x y").unionByName(table.where("id < 'k00100'").selectExpr("id draft", "date_add(day, 1) day", "'0' archetype", "x y"))
+    # no row a pair: 1.3 million of them
+    assert v.draft_blocks(posts, drafts, days).count() <= 3 * n + 200
+    got = {r["id"]: (r["draft"], r["archetype"], r["similarity"]) for r in v.draft_matches(posts, drafts, dim, days, 0.9).collect()}
+    left = [(r["draft"], r["day"].toordinal(), r["archetype"], r["y"]) for r in drafts.collect()]
+    left = [r for r in left if any(r[3])]
+    y, of = unit(np.array([r[3] for r in left])), np.array([r[1] for r in left])
+    want = {}
+    for name, at, _, z in frame:
+        if any(z):
+            s = np.round(y @ unit(np.array([z]))[0], 6)
+            near = [(-s[j], left[j][0], left[j][2]) for j in np.flatnonzero((of <= at.toordinal()) & (of >= at.toordinal() - days)) if left[j][0] != name]
+            if near and -min(near)[0] >= 0.9:
+                want[name] = (min(near)[1], min(near)[2], -min(near)[0])
+    assert len(want) > 100 and got == want
+    # the same from many small blocks
+    sizes = v.BLOCK_POSTS, v.BLOCK_DRAFTS
+    v.BLOCK_POSTS, v.BLOCK_DRAFTS = 160, 90
+    try:
+        assert {r["id"]: (r["draft"], r["archetype"], r["similarity"]) for r in v.draft_matches(posts, drafts, dim, days, 0.9).collect()} == want
+    finally:
+        v.BLOCK_POSTS, v.BLOCK_DRAFTS = sizes
+
+
 def test_novelty_states(spark):
     from murmur.operators import similarity as v
     from murmur.sources.settings import DAY_MS, NOW_MS
