@@ -7,10 +7,13 @@ A search explodes only the query's own tokens out of each text, so postings that
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmur.functions.stemming import stem, stemmed
 
@@ -36,16 +39,47 @@ def phrases(terms: Sequence[str], stems: bool = True) -> list[list[str]]:
     return out
 
 
-def _tokens_of(df: DataFrame, key: str, text: str, wanted: set[str], stems: bool) -> DataFrame:
-    """(key, pos, token, n): places of the wanted tokens in each text, and the text's number of tokens."""
-    rows = df.select(F.col(key).alias("k"), tokens(F.col(text)).alias("t"))
+def _may_be(word: Column, wanted: set[str], stems: bool) -> Column:
+    """Whether a word can be (have as its stem) one of ``wanted``. A stem keeps its word's first letter and the second, but for a y that becomes i; words
+    that differ there need not be stemmed."""
     if not stems:
-        hits = F.filter(F.transform("t", lambda x, i: F.struct(i.alias("pos"), x.alias("token"))), lambda s: s["token"].isin(*sorted(wanted)))
-        return rows.select("k", F.size("t").alias("n"), F.explode(hits).alias("h")).select("k", "h.pos", "h.token", "n")
-    flat = rows.select("k", F.size("t").alias("n"), F.posexplode("t").alias("pos", "word"))
-    # a stem begins with its word's two first letters, but for very short words: most others are out before they reach Python
-    near = flat.where(F.substring("word", 1, 2).isin(*sorted({w[:2] for w in wanted})) | (F.length("word") <= 4))
-    return near.withColumn("token", stemmed("word")).where(F.col("token").isin(*sorted(wanted))).select("k", "pos", "token", "n")
+        return word.isin(*sorted(wanted))
+    two = {w[:2] for w in wanted if len(w) > 1} | {w[0] + "y" for w in wanted if w[1:2] == "i"}
+    return F.substring(word, 1, 2).isin(*sorted(two)) | F.substring(word, 1, 1).isin(*sorted(w for w in wanted if len(w) == 1))
+
+
+def condensed(df: DataFrame, text: str, terms: Sequence[str], stems: bool = True) -> DataFrame:
+    """``df`` with all that a search for ``terms`` needs of ``text`` in its place: the number of tokens, and place and word of those that may be the terms'.
+
+    ``matches`` and ``ranked`` take it instead of the text, for the same terms only. It is narrow, so that the version rule can go without texts.
+    """
+    wanted = {w for p in phrases(terms, stems) for w in p}
+    rows = df.withColumn("_tokens", tokens(F.col(text)))
+    words = F.filter(F.transform("_tokens", lambda x, i: F.struct(i.alias("pos"), x.alias("token"))), lambda s: _may_be(s["token"], wanted, stems))
+    return rows.withColumn(text, F.struct(F.size("_tokens").alias("n"), words.alias("words"))).drop("_tokens")
+
+
+def _is_condensed(df: DataFrame, text: str) -> bool:
+    return isinstance(df.schema[text].dataType, T.StructType)
+
+
+def _tokens_of(df: DataFrame, key: str, text: str, terms: Sequence[str], stems: bool) -> DataFrame:
+    """(k, pos, token, n): places of the terms' tokens in each text, and the text's number of tokens."""
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = rows if _is_condensed(df, text) else condensed(rows, "t", terms, stems)
+    flat = rows.select("k", F.col("t.n").alias("n"), F.explode("t.words").alias("h")).select("k", "h.pos", "h.token", "n")
+    if not stems:
+        return flat
+    wanted = pa.array(sorted({w for p in phrases(terms) for w in p}), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(2).dictionary_encode()
+            stems_ = pa.array([stem(w) for w in words.dictionary.to_pylist()], pa.string()).take(words.indices)
+            columns = [batch.column(0), batch.column(1), stems_, batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["k", "pos", "token", "n"]).filter(pc.is_in(stems_, value_set=wanted))
+
+    return flat.mapInArrow(run, f"k {dict(flat.dtypes)['k']}, pos int, token string, n int")
 
 
 def matches(df: DataFrame, key: str, text: str, terms: Sequence[str], match: str = "any", stems: bool = True) -> DataFrame:
@@ -56,7 +90,7 @@ def matches(df: DataFrame, key: str, text: str, terms: Sequence[str], match: str
     asked = phrases(terms, stems)
     if not asked:
         return df.select(F.col(key), F.lit(0).cast("long").alias("phrases")).where(F.lit(False))
-    places = _tokens_of(df, key, text, {w for p in asked for w in p}, stems)
+    places = _tokens_of(df, key, text, terms, stems)
     parts = [F.struct(F.lit(i).alias("p"), F.lit(o).alias("o"), F.lit(w).alias("w"), F.lit(len(p)).alias("m")) for i, p in enumerate(asked) for o, w in enumerate(p)]
     at = places.select("k", "pos", "token", F.explode(F.array(*parts)).alias("x")).where(F.col("x.w") == F.col("token"))
     starts = at.groupBy("k", F.col("x.p").alias("p"), (F.col("pos") - F.col("x.o")).alias("start"), F.col("x.m").alias("m")).agg(F.count("*").alias("n")).where("n = m")
@@ -73,9 +107,9 @@ def ranked(df: DataFrame, key: str, text: str, terms: Sequence[str], stems: bool
     wanted = {w for p in phrases(terms, stems) for w in p}
     if not wanted:
         return df.select(F.col(key), F.lit(0.0).alias("bm25")).where(F.lit(False))
-    size = F.size(tokens(F.col(text)))
+    size = F.col(text)["n"] if _is_condensed(df, text) else F.size(tokens(F.col(text)))
     stats = df.agg(F.count("*").alias("docs"), F.avg(size).alias("mean"))  # one row
-    tf = _tokens_of(df, key, text, wanted, stems).groupBy("k", "token").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
+    tf = _tokens_of(df, key, text, terms, stems).groupBy("k", "token").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     df_ = tf.groupBy("token").agg(F.count("*").alias("df"))  # a row a query token
     rows = tf.join(F.broadcast(df_), "token").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from murmur.operators import similarity as v
 from murmur.operators import text as t
-from murmur.operators.versions import version_of
+from murmur.operators.versions import latest, version_of
 from murmur.plans.corpus import POSTS, posts
 from murmur.plans.registry import query
 from murmur.plans.similarity import _COSINE, _QUERY, _USABLE, live_scores, query_vector
 from murmur.sources import settings as S
+from murmur.sources.shared import stored
 from murmur.sources.tables import table
 
 TERMS = ("pricing", "renewal survey", "heat pump")
@@ -71,9 +72,10 @@ def bm25(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("T6_stemmed_search")
 def stemmed_search(spark: SparkSession, sf: str) -> DataFrame:
-    rows = posts(spark, sf, ["content"])
-    held = t.matches(rows, "id", "content", ("renewals", "shipping"))
-    return t.ranked(rows, "id", "content", ("renewals", "shipping")).join(held, "id").orderBy("bm25", "id").limit(S.RETRIEVED)
+    terms = ("renewals", "shipping")
+    rows = stored(latest(t.condensed(table(spark, sf, "posts"), "content", terms), ["content"]), "condensed")
+    held = t.matches(rows, "id", "content", terms)
+    return t.ranked(rows, "id", "content", terms).join(held, "id").orderBy("bm25", "id").limit(S.RETRIEVED)
 
 
 @query("V8_Q2_hybrid", f"""WITH a AS (SELECT id, row_number() OVER (ORDER BY round(bm25, 6), posted_at DESC NULLS LAST, id) AS r FROM {_BM25} JOIN {POSTS} USING (id) QUALIFY r <= 500),

@@ -182,6 +182,28 @@ def test_search(spark):
     assert [r["id"] for r in text.ranked(df, "id", "content", ["outbound"]).orderBy("bm25").collect()] == ["e", "d"]
 
 
+def test_stemmed_search_without_texts(spark):
+    from murmur.plans.text import stemmed_search
+    from tests.oracle import DATA
+
+    texts = ["Renewals, renewed: the RENEWAL", "ship it", None, "", "oying", "shyness re-newing", "über shipments shipped ship", "a 3rd renewing ship"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "id long, content string")
+    terms = ("renewals", "shipped it", "oying", "ÜBER")
+    want = {}
+    for k, x in enumerate(texts):
+        have = [stem(w) for w in text._PY_WORD.findall((x or "").lower())]
+        n = sum(any(have[o : o + len(p)] == p for o in range(len(have))) for p in text.phrases(terms))
+        want |= {k: n} if n else {}
+    assert want == {0: 1, 1: 1, 4: 1, 6: 1, 7: 1}
+    small = text.condensed(df, "content", terms)
+    for rows_ in (df, small):
+        assert {r["id"]: r["phrases"] for r in text.matches(rows_, "id", "content", terms).collect()} == want
+    assert rows(text.ranked(small, "id", "content", terms)) == rows(text.ranked(df, "id", "content", terms)) != []
+    # words are not put on disk beside Python, and no text is shuffled
+    plan = stemmed_search(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "content#" in plan and "max_by" not in plan
+
+
 def test_fusion(spark):
     rank = lambda *ids: spark.createDataFrame([(x, k + 1) for k, x in enumerate(ids)], "id string, rank int")
     assert [r["id"] for r in similarity.fused([rank("a", "b"), rank("b", "c")], "id").orderBy("place").collect()] == ["b", "a", "c"]
